@@ -56,9 +56,9 @@ def write_archives(pages: DataFrame, path: str, date: str = DATE) -> None:
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """file, block, seq (order in the block) and value (bytes between two magics, the last up to the file's end)."""
+    """file (hash of its path), block, seq (order in the block) and value (bytes between two magics, the last up to the file's end)."""
     return spark.read.option("lineSep", MAGIC).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), "value"
+        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), "value"
     )
 
 
