@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Sites on which a line must stand to be boilerplate.
 MIN_SITES = 6
+#: Parts to which the rows of every line are dealt where lines meet boilerplate; the few boilerplate rows are repeated for each.
+SALT = 16
 #: Sketch size (2^10 registers: 3 % standard error) and the share of the threshold that counts as near it.
 LG_K, BAND = 10, 0.25
 BLANK = " \t\r"
@@ -32,12 +34,22 @@ def line_rows(documents: DataFrame) -> DataFrame:
     return lines.select("k1", "k2", "site", F.struct("doc_id", "pos").alias("at"), line.alias("line")).where("line <> ''").select("k1", "k2", "site", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
+def salted(small: DataFrame) -> DataFrame:
+    """small (h1, h2, ...) once per part."""
+    return small.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
+
+
+def dealt(lines: DataFrame) -> DataFrame:
+    """lines with the part of their document, so that no line's rows meet in one task."""
+    return lines.withColumn("part", F.pmod("k1", F.lit(SALT).cast("bigint")))
+
+
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """h1, h2 and first (the smallest place) of lines that stand on at least min_sites distinct sites."""
     spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.min("at").alias("first"))
     low, high = min_sites * (1 - BAND), min_sites * (1 + BAND)
     near = spread.where((F.col("sites") >= low) & (F.col("sites") < high))
-    exact = lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.countDistinct("site").alias("n"), F.min("at").alias("first")).where(F.col("n") >= min_sites)
+    exact = dealt(lines).join(salted(near.select("h1", "h2")), ["h1", "h2", "part"], "left_semi").groupBy("h1", "h2").agg(F.countDistinct("site").alias("n"), F.min("at").alias("first")).where(F.col("n") >= min_sites)
     return spread.where(F.col("sites") >= high).select("h1", "h2", "first").unionByName(exact.select("h1", "h2", "first"))
 
 
@@ -53,7 +65,7 @@ def mark_lines(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     (doc_id, position) stays, all others go. Null texts have no lines; equal rows are treated equally.
     """
     lines = line_rows(documents)
-    out = lines.join(boilerplate(lines, min_sites), ["h1", "h2"]).where(F.col("at") != F.col("first"))
+    out = dealt(lines).join(salted(boilerplate(lines, min_sites)), ["h1", "h2", "part"]).where(F.col("at") != F.col("first"))
     gone = out.groupBy("k1", "k2").agg(F.collect_set("at.pos").alias("gone"))
     marked = row_key(documents.select(*COLUMNS)).join(gone, ["k1", "k2"], "left").withColumn("lines", split_lines(F.col("text")))
     every = F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(F.array().cast("array<int>"))
