@@ -12,14 +12,11 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
-from collections import Counter
-from collections.abc import Iterable
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, cut_lineage, small_batches
@@ -39,7 +36,6 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine i
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": None, ".": None, "-": None, "_": None, "#": None})
 
 FEATURES = ["hit_rate", "weight_rate", "top_weight", "hits", "distinct_hits", "near_you", "you_rate", "near_hit_rate", "capital_rate", "shout_rate", "exclaim_rate", "question_rate", "punctuation_rate", "obfuscated_rate", "obfuscated_hit_rate", "log_words"]
-WORD = re.compile(r"\S+")
 LETTERS = re.compile(r"[^\W\d_]+")
 OBFUSCATED = re.compile(r"^\W*[^\W\d_]+(?:[@$*!|#._-]+|[013457])+[^\W\d_]+", re.UNICODE)
 
@@ -109,7 +105,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, limit: int = SAMPLE_R
     return rows.withColumns({"fold": (part % 2).cast("int"), "calibrate": part >= 6})
 
 
-def held_out(doc_id) -> F.Column:
+def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
@@ -195,12 +191,3 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = THRES
     scored = fit(documents, labels).score(documents.select(*columns).withColumn("body", F.col("text")), f"{keep}, body string")
     return scored.where(F.col("score") < threshold).withColumnRenamed("body", "text").select(*columns)
 
-
-def crc_held_out(doc_id: int) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 4 == 2
-
-
-def accuracy(pairs: Iterable[tuple[int, int]]) -> dict[str, float]:
-    """Precision and recall of (label, predicted) pairs, for tests and reports."""
-    c = Counter(pairs)
-    return {"precision": c[1, 1] / max(1, c[1, 1] + c[0, 1]), "recall": c[1, 1] / max(1, c[1, 1] + c[1, 0])}
