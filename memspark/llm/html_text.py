@@ -112,7 +112,9 @@ class Page:
                 self.pop_to(depth)
                 return
             if self.stack[depth][0] in ARTICLE and tag not in ("body", "html"):
-                return
+                break
+        if tag == "p":
+            self.flush()
 
     def read(self, source: str) -> None:
         at, lower = 0, None

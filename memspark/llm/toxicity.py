@@ -37,7 +37,7 @@ LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"
 
 FEATURES = ["hit_rate", "weight_rate", "top_weight", "hits", "distinct_hits", "near_you", "you_rate", "near_hit_rate", "capital_rate", "shout_rate", "exclaim_rate", "question_rate", "punctuation_rate", "obfuscated_rate", "obfuscated_hit_rate", "log_words"]
 LETTERS = re.compile(r"[^\W\d_]+")
-OBFUSCATED = re.compile(r"^\W*[^\W\d_]+(?:[@$*!|#._-]+|[013457])+[^\W\d_]+", re.UNICODE)
+OBFUSCATED = re.compile(r"[^\W\d_][@$*!|#013457]+[^\W\d_]|(?:\b[^\W\d_][._*-]){2,}[^\W\d_]\b")
 
 
 def terms_of(word: str) -> tuple[str, ...]:
@@ -70,13 +70,14 @@ def dense_features(text: str | None, weights: Weights) -> list[float]:
     hits = [(i, m) for i, m in enumerate(marks) if m]
     yous = [i for i, w in enumerate(words) if w in SECOND_PERSON]
     near = sum(any(abs(i - j) <= NEAR for j in yous[:1000]) for i, _ in hits[:1000]) if yous and hits else 0
-    letters = sum(map(len, words)) or 1
+    n_letters = sum(map(len, words))
+    letters = max(1, n_letters)
     tokens = text.split()
-    hidden = [t for t in tokens if not t.isalpha() and OBFUSCATED.match(t)]
+    hidden = [t for t in tokens if not t.isalpha() and OBFUSCATED.search(t)]
     plain = [w for t in hidden for w in LETTERS.findall(t.lower().strip(".,;:!?").translate(LEET))]
     capitals = sum(1 for c in text if c.isupper()) if not text.islower() else 0
     shouted = sum(1 for t in tokens if len(t) > 2 and t.isupper())
-    other = len(text) - letters - text.count(" ")
+    other = len(text) - n_letters - text.count(" ")
     return [
         len(hits) / n, sum(m for _, m in hits) / n, max((m for _, m in hits), default=0.0), math.log1p(len(hits)), math.log1p(len({words[i] for i, _ in hits})),
         near / max(1, len(hits)), len(yous) / n, near / n, capitals / letters, shouted / n, text.count("!") / n, text.count("?") / n, other / max(1, len(text)),
