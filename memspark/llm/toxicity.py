@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -69,7 +70,7 @@ def dense_features(text: str | None, weights: Weights) -> list[float]:
     marks = [weights[w] for w in words]
     hits = [(i, m) for i, m in enumerate(marks) if m]
     yous = [i for i, w in enumerate(words) if w in SECOND_PERSON]
-    near = sum(any(abs(i - j) <= NEAR for j in yous[:1000]) for i, _ in hits[:1000]) if yous and hits else 0
+    near = sum((k := bisect_left(yous, i - NEAR)) < len(yous) and yous[k] <= i + NEAR for i, _ in hits)
     n_letters = sum(map(len, words))
     letters = max(1, n_letters)
     tokens = text.split()
