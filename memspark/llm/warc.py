@@ -22,6 +22,8 @@ from .common import cut_lineage, shared_folder
 MAGIC, END = "WARC/1.0\r\n", "\r\n\r\n"
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 100
+#: Parts of the digests. Those that hold a repeated payload are broadcast: at most so many numbers at any input size.
+DIGEST_PARTS = 1 << 18
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -44,7 +46,10 @@ def write_archives(pages: DataFrame, path: str, date: str = DATE) -> None:
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": F.sha2(F.col("html").cast("binary"), 256), "n_bytes": F.octet_length("html")})
     first = rows.where(F.col("n_bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(first, "digest", "left").withColumn("revisit", F.coalesce(F.col("page_id") != F.col("first"), F.lit(False)))
+    part = F.pmod(F.xxhash64("digest"), F.lit(DIGEST_PARTS)).alias("part")
+    rows = rows.withColumn("part", part).join(F.broadcast(first.select(part).distinct().withColumn("seen", F.lit(True))), "part", "left")
+    alone = rows.where("seen is null").withColumn("first", F.lit(None).cast("bigint"))  # no payload of the part is repeated, so these aren't shuffled
+    rows = rows.where("seen").join(first, "digest", "left").unionByName(alone).withColumn("revisit", F.coalesce(F.col("page_id") != F.col("first"), F.lit(False)))
     kind, body = F.when(F.col("revisit"), "revisit").otherwise("response"), F.when(F.col("revisit"), "").otherwise(F.col("html"))
     record = F.concat(
         F.lit(MAGIC), header_line("WARC-Type", kind), header_line("WARC-Record-ID", page_urn(F.col("page_id"))), header_line("WARC-Target-URI", F.col("url")),
