@@ -34,8 +34,8 @@ SQL = {
     "dialogues": """SELECT conv_id, turn, role || ': ' || text AS line FROM {conversations}""",
     "notes": """SELECT DISTINCT 'c' || (doc_id % 3) AS context, CASE doc_id % 10 WHEN 0 THEN 'notes/topics/t' || doc_id || '.md' WHEN 1 THEN 'notes/n' || doc_id || '.md' ELSE 'notes/topics/deep/d' || doc_id || '.md' END AS path, substring(text, 1, 200) AS content
         FROM {documents} WHERE doc_id % 10 < 3 AND doc_id > 2 UNION ALL SELECT 'c' || n, p, '# Index of c' || n FROM (SELECT 0 AS n UNION ALL SELECT 1) AS a CROSS JOIN (SELECT 'notes/index.md' AS p UNION ALL SELECT 'notes/summary.md') AS b""",
-    "registry": """SELECT context, path, 'sha256:' || CASE WHEN length(path) % 2 = 0 THEN {sha:content} ELSE {sha:content || 'x'} END AS hash, CASE WHEN length(content) % 3 = 0 THEN TIMESTAMP '2024-05-30 00:00:00' ELSE TIMESTAMP '2024-05-01 00:00:00' END AS updated_at
-        FROM {notes} WHERE length(content) % 4 <> 0 UNION ALL SELECT 'c0', 'notes/topics/gone.md', 'sha256:0', TIMESTAMP '2024-05-01 00:00:00'""",
+    "registry": """SELECT context, path, 'sha256:' || CASE WHEN k % 5 <> 0 THEN {sha:content} ELSE {sha:content || 'x'} END AS hash, CASE WHEN k % 3 = 0 THEN TIMESTAMP '2024-05-30 00:00:00' ELSE TIMESTAMP '2024-05-01 00:00:00' END AS updated_at
+        FROM (SELECT *, length(replace(content, 'e', '')) AS k FROM {notes}) AS n WHERE k % 4 <> 0 UNION ALL SELECT 'c0', 'notes/topics/gone.md', 'sha256:0', TIMESTAMP '2024-05-01 00:00:00'""",
     "note_writes": """SELECT 'c' || (user_id % 3) AS context, 'notes/' || event_type || '.md' AS path, event_id AS seq, CASE WHEN event_id % 50 = 0 THEN 'replace' ELSE 'append' END AS mode, props AS content FROM {events}""",
     "runs": """SELECT 'u' || (user_id % 50) AS context, event_id AS place, value AS seconds, (event_id % 97) / 10.0 AS mib, event_id % 4 AS semantic_items FROM {events}""",
     "pool": """SELECT 'c' || (d.doc_id % 2) AS context, 'k' || d.doc_id AS id, d.source || '/' || d.doc_id || '.txt' AS source_path, CAST(0 AS INT) AS chunk_idx, d.text AS content, d.text AS index_text, 'doc ' || d.doc_id AS summary, e.embedding
