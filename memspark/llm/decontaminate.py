@@ -332,3 +332,16 @@ def shards_with_schema(batches: Iterator[pa.RecordBatch]):
     for rows, words in shards(noted()):
         yield (layout[0], rows), words
 
+
+def report_sql(window: int = WINDOW_WORDS) -> str:
+    """contamination_report without spans in DuckDB's SQL, written anew."""
+    words = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce({words}, []) AS ws FROM documents),
+b AS (SELECT item_id, {words} AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+v AS (SELECT item_id, ws, least(len(ws), {window}) AS l, unnest(range(1, greatest(len(ws) - {window}, 0) + 2)) AS i FROM b WHERE len(ws) > 0),
+p AS (SELECT DISTINCT item_id, l, array_to_string(ws[i:i + l - 1], ' ') AS gram FROM v),
+g AS (SELECT id, i, l, array_to_string(ws[i:i + l - 1], ' ') AS gram FROM (SELECT id, ws, l, unnest(range(1, len(ws) - l + 2)) AS i FROM d, (SELECT DISTINCT l FROM p))),
+h AS (SELECT id, i, l, item_id FROM g JOIN p USING (l, gram)),
+n AS (SELECT id, count(DISTINCT q) AS n_hit FROM (SELECT id, unnest(range(i, i + l)) AS q FROM h) GROUP BY id),
+m AS (SELECT id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS items FROM h GROUP BY id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN n USING (id) LEFT JOIN m USING (id)"""

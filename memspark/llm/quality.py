@@ -122,3 +122,28 @@ def quality_report(documents: DataFrame, labels: DataFrame, alpha: float = ALPHA
     for x in fires[1:]:
         rejected = rejected | x
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~rejected).alias("kept"), "stratum")
+
+
+def report_sql(alpha: float = ALPHA, delta: float = DELTA) -> str:
+    """quality_report in DuckDB's SQL, written anew."""
+    grid = ", ".join(f"('{r}', {k}, {t})" for r, ts in RULES.items() for k, t in enumerate(ts))
+    share, p = delta / (len(RULES) * (len(STRATA) + 1)), alpha / len(RULES)
+    tail = f"list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}::DOUBLE) + (n - j) * ln(1 - {p}::DOUBLE))))"
+    rates = {
+        "symbol_rate": "n_symbols / n_words", "capital_rate": "n_capitals / nullif(word_chars, 0)", "exclaim_rate": "n_exclaim / n_words", "dup_line_rate": "n_dup_lines / nullif(n_lines, 0)", "word_length": "word_chars / n_words",
+    }
+    return rf"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, CASE WHEN lang IN {STRATA} THEN lang ELSE 'other' END AS stratum, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram FROM (SELECT id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT id, count(DISTINCT q) AS n FROM (SELECT id, unnest([i, i + 1, i + 2]) AS q FROM (SELECT *, count(*) OVER (PARTITION BY id, gram) AS c FROM g) WHERE c > 1) GROUP BY id),
+b AS (SELECT w.id, doc_id, stratum, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+ len(ls) AS n_lines, length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS n_capitals, length(text) - length(replace(text, '!', '')) AS n_exclaim FROM w LEFT JOIN r ON w.id = r.id),
+x AS (SELECT id, stratum, doc_id, unnest({list(rates)}) AS rule, unnest([{", ".join(f"coalesce({v.replace(' n_words', ' nullif(n_words, 0)')}, 0.0)" for v in rates.values())}]) AS rate FROM b),
+c AS (SELECT stratum, x.rule, step, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND rate > cutoff) AS k, count(*) FILTER (quality = 0) AS bad, count(*) FILTER (quality = 0 AND rate > cutoff) AS bad_out
+ FROM x JOIN labels USING (doc_id) JOIN (VALUES {grid}) AS t(rule, step, cutoff) ON x.rule = t.rule WHERE quality IN (0, 1) GROUP BY ALL),
+o AS (SELECT *, CASE WHEN k >= n * {p}::DOUBLE THEN 1.0 ELSE {tail} END <= {share}::DOUBLE AS passes FROM c),
+s AS (SELECT *, bool_and(passes) OVER (PARTITION BY stratum, rule ORDER BY step) AS so_far FROM o),
+z AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM s WHERE so_far AND bad_out * n > bad * k GROUP BY ALL),
+f AS (SELECT id, bool_or(rate > cutoff) AS fires FROM x JOIN z USING (stratum, rule) GROUP BY id),
+e AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(fires, false) AS kept, stratum FROM e LEFT JOIN f USING (id)"""

@@ -9,7 +9,7 @@ from .common import table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination_report(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return decontaminate.contamination_report(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))).drop("spans")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,4 +49,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_toxicity, op4_line_dedup, op5_warc, op6_quality, op7_packing, op8_html, op9_licenses, op10_pii)}
-ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.REPORT_SQL}
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": decontaminate.report_sql(), "op4_line_dedup": line_dedup.REPORT_SQL, "op5_warc": warc.ROUND_TRIP_SQL, "op6_quality": quality.report_sql(),
+}

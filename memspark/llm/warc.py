@@ -146,3 +146,9 @@ def round_trip(pages: DataFrame) -> DataFrame:
     path = shared_folder(pages.sparkSession, "warc")
     write_archives(pages, path)
     return read_archives(pages.sparkSession, path)
+
+
+ROUND_TRIP_SQL = f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages), f AS (SELECT body, min(page_id) AS first FROM p WHERE strlen(body) >= {REVISIT_BYTES} GROUP BY body)
+SELECT page_id, strlen(p.body) AS payload_bytes, sha256(p.body) AS payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM p LEFT JOIN f ON p.body = f.body
+"""
