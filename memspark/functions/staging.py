@@ -3,13 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names (a temporary one only where that is unset), so later steps neither plan nor compute it again."""
-    sc = df.sparkSession.sparkContext
+def stage_root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only where that is unset."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        root = tempfile.mkdtemp(prefix="memspark-stage-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="memspark-stage-"))
+        sc.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def stage_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below it."""
+    return f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df as a table there, so later steps neither plan nor compute it again."""
+    stage_root(df.sparkSession)
     return df.checkpoint(eager=True)

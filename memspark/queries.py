@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from .derived import AS_OF, derived, duck
 from .functions import paths as P
 from .functions import text as T
+from .functions.staging import stage_folder
 from .operators import audit, chunk, decode, embed, extract, notes, retrieve, sync
 from .plans.ingest import index_units
-from .sources.corpus import from_rows
-from .sources.index import blobs_of, read_blobs
+from .sources.corpus import from_rows, list_corpus
+from .sources.index import blobs_of, read_blobs, read_index, write_index
+from .sources.manifest import parse_manifests, write_manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -812,3 +814,39 @@ def s7(spark, sf_dir):
 def s8(spark, sf_dir):
     refs = derived(spark, sf_dir, "manifest").where("blob_ref is not null").select("context", "root", "path", "blob_ref")
     return read_blobs(refs, blobs(spark, sf_dir)).select("path", "root", "context", F.md5("text").alias("digest"))
+
+
+@query("s1_list_corpus")
+def s1(spark, sf_dir):
+    return list_corpus(spark, sf_dir).select("context", "rel", "size")
+
+
+FILE_COLUMNS = ["context", "root", "path", "hash", "hash_at_index", "type", "blob_ref", "source_path", "source_size", "source_mtime"]
+
+
+@query("s3_s5_manifest_round_trip", f"SELECT {', '.join(FILE_COLUMNS)}, source_size AS kept FROM {M}")
+def s3(spark, sf_dir):
+    m = derived(spark, sf_dir, "manifest").withColumn("extra", F.parse_json(F.concat(F.lit('{"kept":'), F.col("source_size").cast("string"), F.lit("}"))))
+    config = F.struct(F.lit(True).alias("store_raw_content"), F.lit(7).alias("notes_update_threshold_days"))
+    heads = m.select(F.col("context").alias("name")).distinct().withColumns({"version": F.lit("0.2"), "description": F.lit("d"), "created_at": as_of(), "config": config, "extra": F.parse_json(F.lit('{"later": 1}'))})
+    listed = derived(spark, sf_dir, "registry").withColumn("extra", F.parse_json(F.lit("{}")))
+    docs = write_manifest(heads, m, listed, "2024-06-01T00:00:00Z").select(F.col("name").alias("doc_id"), "text")
+    return parse_manifests(docs)["source_files"].select(*FILE_COLUMNS, F.variant_get("extra", "$.kept", "bigint").alias("kept"))
+
+
+@query("s4_migrate_manifest", f"SELECT context, '.' AS root, rel AS path, hash, hash AS hash_at_index, 'sha256:' || hash AS blob_ref, 'semantic' AS type, doc_id AS id FROM {duck('corpus')}")
+def s4(spark, sf_dir):
+    c = derived(spark, sf_dir, "corpus")
+    entry = F.struct(F.col("doc_id").alias("id"), F.col("rel").alias("source_path"), F.col("hash").alias("source_hash"), F.concat(F.lit("sha256:"), "hash").alias("blob_hash"), F.lit("semantic").alias("layer"))
+    docs = c.groupBy("context").agg(F.collect_list(entry).alias("entries"))
+    text = F.to_json(F.struct(F.col("context").alias("name"), F.lit("0.1").alias("ctx_version"), F.lit("2024-01-01T00:00:00Z").alias("created"), F.col("entries")))
+    files = parse_manifests(docs.select(F.col("context").alias("doc_id"), text.alias("text")))["source_files"]
+    return files.select("context", "root", "path", "hash", "hash_at_index", "blob_ref", "type", F.variant_get("extra", "$.id", "bigint").alias("id"))
+
+
+@query("s6_index_round_trip", f"""WITH s AS ({SEMANTIC}) SELECT c.context, n_chunks, n_entities, n_procedures FROM (SELECT context, count(*) AS n_chunks, sum(len(e))::BIGINT AS n_entities FROM s GROUP BY context) c
+JOIN (SELECT context, count(*) AS n_procedures FROM {duck('runbooks')} GROUP BY context) p USING (context)""")
+def s6(spark, sf_dir):
+    path = stage_folder(spark, "index")
+    write_index(small_index(spark, sf_dir), path, "v1", 4)
+    return audit.index_counts(read_index(spark, path)).select("context", "n_chunks", "n_entities", "n_procedures")
