@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import detect_chunker
+from ..functions.rows import exploded as rows_of
 from ..functions.text import SPACES, extension, not_blank, token_count, trimmed
 
 CHUNK = "struct<content:string,strategy:string,start:bigint,end:bigint,session:string>"
@@ -178,7 +179,7 @@ def merged(chunks: Column, most: int) -> Column:
 
 def exploded(units: DataFrame) -> DataFrame:
     """A row per chunk; the text goes."""
-    rows = units.select(*(c for c in units.columns if c not in ("text", "chunks")), F.posexplode("chunks").alias("chunk_idx", "c"))
+    rows = rows_of(units, [c for c in units.columns if c not in ("text", "chunks")], "chunks", "chunk_idx", "c")
     return rows.select(
         *(c for c in rows.columns if c != "c"), F.col("c.content").alias("content"), F.col("c.content").alias("index_text"), F.col("c.strategy").alias("chunk_strategy"),
         F.col("c.start").alias("char_start"), F.col("c.end").alias("char_end"), F.col("c.session").alias("session_id"),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.rows import exploded
 
 #: Levels of one-element lists and of JSON inside strings that replies may be wrapped in.
 UNWRAP_DEPTH = 8
@@ -32,9 +33,9 @@ def semantic_tables(chunks: DataFrame, as_of: Column) -> tuple[DataFrame, DataFr
     key = [F.col(c) for c in ("context", "source_path", "chunk_idx")]
     rows = with_semantics(chunks).withColumns({"id": row_id(*key), "created_at": as_of})
     base = ["context", "source_path", "id", "created_at"]
-    e = rows.select(*base, F.posexplode("entities").alias("ord", "name"))
+    e = exploded(rows, base, "entities", "ord", "name")
     e = e.select("context", row_id(F.col("id"), F.lit("e"), F.col("ord")).alias("id"), "name", F.lit("entity").alias("kind"), F.col("id").alias("source_id"), "source_path", "created_at")
-    r = rows.select(*base, F.posexplode("triples").alias("ord", "t"))
+    r = exploded(rows, base, "triples", "ord", "t")
     r = r.select("context", row_id(F.col("id"), F.lit("r"), F.col("ord")).alias("id"), "t.subject", "t.predicate", "t.object", F.col("id").alias("source_id"), "source_path", "created_at")
     return rows.drop("facts", "entities", "triples"), e, r
 
