@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import exploded
+
 #: Sites on which a line must stand to be boilerplate.
 MIN_SITES = 6
 #: Parts to which the rows of every line are dealt where lines meet boilerplate; the few boilerplate rows are repeated for each.
@@ -29,7 +31,7 @@ def row_key(df: DataFrame) -> DataFrame:
 def line_rows(documents: DataFrame) -> DataFrame:
     """k1, k2, site, at (doc_id, position), h1, h2 of every line that isn't blank."""
     rows = row_key(documents.select("doc_id", "text", F.coalesce("source", F.lit("")).alias("site")))
-    lines = rows.select("k1", "k2", "site", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = exploded(rows, ["k1", "k2", "site", "doc_id"], F.split("text", "\n"), "pos", "line")
     line = F.btrim("line", F.lit(BLANK))
     return lines.select("k1", "k2", "site", F.struct("doc_id", "pos").alias("at"), line.alias("line")).where("line <> ''").select("k1", "k2", "site", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
