@@ -174,7 +174,7 @@ def test_note_writes_and_sections(spark):
     assert once == "i\n\n## Auto-updated notes\n\nb\n\n## Other\nx" == notes.section_set(once, "b") and notes.section_of(text) == "old"
 
 
-MANIFEST = {"name": "ctx", "version": "0.2", "created_at": "2024-01-01T00:00:00Z", "updated_at": "2024-01-02T00:00:00Z", "config": {"store_raw_content": True}, "later": {"a": 1}, "sources": [{"root": "/src", "added_at": "2024-01-01T00:00:00Z", "files": [{"path": "a.md", "hash": "h", "hash_at_index": "h", "indexed_at": "2024-01-01T00:00:00Z", "type": "semantic", "odd": [1]}]}], "notes": [{"path": "notes/index.md", "hash": "n", "updated_at": "2024-01-01T00:00:00Z", "tag": "t"}]}
+MANIFEST = {"name": "demo", "version": "0.2", "created_at": "2024-01-01T00:00:00Z", "updated_at": "2024-01-02T00:00:00Z", "config": {"store_raw_content": True}, "later": {"a": 1}, "sources": [{"root": "/src", "added_at": "2024-01-01T00:00:00Z", "files": [{"path": "a.md", "hash": "h", "hash_at_index": "h", "indexed_at": "2024-01-01T00:00:00Z", "type": "semantic", "odd": [1]}]}], "notes": [{"path": "notes/index.md", "hash": "n", "updated_at": "2024-01-01T00:00:00Z", "tag": "t"}]}
 OLD = {"name": "old", "ctx_version": "0.1", "created": "2024-01-01T00:00:00Z", "entries": [{"id": 7, "source_path": "x.md", "source_hash": "h1", "blob_hash": "b1", "layer": "semantic"}]}
 
 
@@ -183,13 +183,13 @@ def test_manifests(spark):
     t = parse_manifests(spark.createDataFrame(docs, "doc_id int, text string"))
     assert {r.doc_id for r in t["rejects"].collect()} == {3, 4, 5}
     got = {r.context: r for r in t["source_files"].selectExpr("*", "to_json(extra) AS x").collect()}
-    assert (got["ctx"].path, got["ctx"].x) == ("a.md", '{"odd":[1]}')
+    assert (got["demo"].path, got["demo"].x) == ("a.md", '{"odd":[1]}')
     assert (got["old"].root, got["old"].path, got["old"].hash, got["old"].hash_at_index, got["old"].blob_ref, got["old"].type, got["old"].x) == (".", "x.md", "h1", "h1", "b1", "semantic", '{"id":7}')
     config = {r.name: r.config for r in t["contexts"].collect()}
-    assert config["ctx"].store_raw_content is True and config["old"].notes_update_threshold_days == 7
+    assert config["demo"].store_raw_content is True and config["old"].notes_update_threshold_days == 7
     back = {r.name: json.loads(r.text) for r in write_manifest(t["contexts"], t["source_files"], t["note_files"], "2024-05-05T00:00:00Z").collect()}
     want = MANIFEST | {"updated_at": "2024-05-05T00:00:00Z"}
-    assert {k: v for k, v in back["ctx"].items() if k != "config"} == {k: v for k, v in want.items() if k != "config"}
+    assert {k: v for k, v in back["demo"].items() if k != "config"} == {k: v for k, v in want.items() if k != "config"}
     again = parse_manifests(spark.createDataFrame([(1, json.dumps(back["old"]))], "doc_id int, text string"))
     assert again["source_files"].count() == 1 and again["rejects"].count() == 0
 
