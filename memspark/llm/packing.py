@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import exploded
 from .common import ascii_lower
 
 CAPACITY = 2048
@@ -108,7 +109,7 @@ def cut_pieces(documents: DataFrame, capacity: int) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), words.alias("w"))
     rows = rows.select("doc_id", "source", F.size("w").alias("n"), key.alias("key")).select("doc_id", "source", "n", F.xxhash64("key").alias("c1"), F.xxhash64(F.lit(1), "key").alias("c2"))
     last = F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0))
-    cut = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece"))
+    cut = exploded(rows, rows.columns, F.sequence(F.lit(0).cast("bigint"), last), "_pos", "piece")
     start = F.col("piece") * capacity
     return cut.select("doc_id", "source", "c1", "c2", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(capacity)).alias("n_words"))
 
