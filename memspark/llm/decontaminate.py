@@ -14,12 +14,14 @@ since no phrase can occur in them.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -214,12 +216,12 @@ def cut_spans(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def phrase_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list:
-    """Broadcast blocks of benchmark items, each of about block_bytes at most; items without an id are left out."""
+    """Broadcast blocks of benchmark items, each of about block_bytes at most and pickled with its class, which executors may not have; items without an id are left out."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + int(total) // block_bytes
     sc = benchmark.sparkSession.sparkContext
-    return [sc.broadcast(Phrases([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()], window)) for k in range(n)]
+    return [sc.broadcast(cloudpickle.dumps(Phrases([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()], window))) for k in range(n)]
 
 
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], list[list[bytes]]]]:
@@ -257,8 +259,9 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
         layout = pa.schema([f for f in fields if not (last and f.name == "text")])
 
         def run(batches: Iterator[pa.RecordBatch], block=block, layout=layout) -> Iterator[pa.RecordBatch]:
+            phrases = pickle.loads(block.value)
             for rows, words in shards(batches):
-                for row, w, (spans, items) in zip(rows, words, block.value.occurrences(words), strict=True):
+                for row, w, (spans, items) in zip(rows, words, phrases.occurrences(words), strict=True):
                     row["n_words"] = len(w)
                     if spans:
                         row["hits"] = [{"s": s, "e": e} for s, e in merge_spans([*((x["s"], x["e"]) for x in row["hits"]), *spans])]
@@ -295,9 +298,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
     def run_block(block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            phrases = pickle.loads(block.value)
             for batch_rows, words in shards_with_schema(batches):
                 layout, rows = batch_rows
-                todo = {k: spans for k, (spans, _) in enumerate(block.value.occurrences(words)) if spans}
+                todo = {k: spans for k, (spans, _) in enumerate(phrases.occurrences(words)) if spans}
                 gone = set()
                 while todo:
                     for k, spans in todo.items():
@@ -308,7 +312,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
                         if not words[k]:
                             gone.add(k)
                     again = [k for k in todo if k not in gone]
-                    todo = {k: spans for k, (spans, _) in zip(again, block.value.occurrences([words[k] for k in again]), strict=True) if spans}
+                    todo = {k: spans for k, (spans, _) in zip(again, phrases.occurrences([words[k] for k in again]), strict=True) if spans}
                 rows = [r for k, r in enumerate(rows) if k not in gone]
                 for k in range(0, len(rows), 500):
                     yield pa.RecordBatch.from_pylist(rows[k : k + 500], schema=layout)
