@@ -7,10 +7,12 @@ chunk_idx and id, so results don't depend on partitions.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -91,16 +93,16 @@ def top_candidates(queries: DataFrame, candidates: DataFrame, alpha: float = 0.7
     blocks = 1 + wanted.count() // block
     sc, found = queries.sparkSession.sparkContext, []
     for k in range(blocks):
-        shared = sc.broadcast(QueryBlock(wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).collect()))
+        shared = sc.broadcast(cloudpickle.dumps(QueryBlock(wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).collect())))  # with its class, which executors may not have
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            best: pd.DataFrame | None = None
+            asked, best = pickle.loads(shared.value), None
             for batch in batches:
                 for context, own in batch.groupby("context"):
-                    if context not in shared.value.contexts:
+                    if context not in asked.contexts:
                         continue
-                    ids = shared.value.contexts[context][0]
-                    score = shared.value.scores(context, own["embedding"].tolist(), own["tokens"].tolist(), weight)
+                    ids = asked.contexts[context][0]
+                    score = asked.scores(context, own["embedding"].tolist(), own["tokens"].tolist(), weight)
                     if score.shape[1] > keep:  # all that tie with the last place stay for the full order
                         least = np.partition(score, score.shape[1] - keep, axis=1)[:, score.shape[1] - keep]
                         q, c = np.nonzero(score >= least[:, None])
