@@ -1,0 +1,153 @@
+"""Near-duplicates by the Jaccard similarity of word shingles, without loss.
+
+Two sets with a Jaccard similarity of t or more share an element among the first n - ceil(t n) + 1 of each, in any
+order that is the same for all sets. These prefixes are the join keys. Shingles that are frequent in a sample of
+documents come last in the order, so that they are seldom keys; the sample sets nothing but the order. Length and
+place bound the overlap of a pair that shares a key; what is left is compared exactly.
+
+Copies have one set. For each key, all sets are first compared to one of them, which
+puts a large group of near copies in one component with as many pairs as sets. Only pairs from different components
+are compared after that, so groups don't grow with their square.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import arrow_rows, cut_lineage, small_batches
+from .simhash import components
+
+#: Words of a shingle; similarity of a link as a fraction.
+SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
+#: Documents of the sample, times that a shingle is in it to come last, and the most of such shingles.
+SAMPLE, OFTEN, MOST = 4096, 3, 65536
+#: Places of the bitmap that tells which documents to read again; a chance hit costs a needless read.
+PLACES = 1 << 24
+#: Odd factors of a shingle's words.
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Distinct hashes of the five-word shingles in ascending order; a shorter text is one shingle, no words are none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return np.empty(0, np.int64)
+    if len(words) < SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64).view(np.int64)
+    codes = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
+    code = np.fromiter((codes[w] for w in words), np.uint64, len(words))
+    many = len(words) - SHINGLE + 1
+    mixed = np.zeros(many, np.uint64)
+    for k in range(SHINGLE):
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * FACTORS[k] + code[k : k + many]
+    mixed ^= mixed >> np.uint64(32)
+    return np.unique(mixed.view(np.int64))
+
+
+def name_of(hashes: np.ndarray) -> int:
+    """A set's name: a signed hash of its elements."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).astype(np.int64))
+
+
+def texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def frequent(documents: DataFrame) -> np.ndarray:
+    """Shingles that come last in the order, ascending."""
+    every = max(1, documents.count() // SAMPLE)
+    sample = texts(documents).where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    sets = arrow_rows(sample, lambda rows: {"hashes": [shingle_set(t) for t in rows["text"]]}, "hashes array<bigint>")
+    counts = sets.select(F.explode("hashes").alias("hash")).groupBy("hash").count().where(F.col("count") >= OFTEN)
+    return np.sort(np.array([r[0] for r in counts.orderBy(F.desc("count"), "hash").limit(MOST).collect()], np.int64))
+
+
+def prefixes(documents: DataFrame, last: np.ndarray) -> DataFrame:
+    """set, doc_id, size and prefix (hashes in order) of every row."""
+
+    def one(hashes: np.ndarray) -> np.ndarray:
+        n = len(hashes)
+        late = np.isin(hashes, last, assume_unique=True)
+        return np.concatenate((hashes[~late], hashes[late]))[: n - -(-NUMERATOR * n // DENOMINATOR) + 1]
+
+    def run(rows: dict[str, list]) -> dict[str, list]:
+        sets = [shingle_set(t) for t in rows["text"]]
+        return {"set": [name_of(s) for s in sets], "doc_id": rows["doc_id"], "size": list(map(len, sets)), "prefix": [one(s) for s in sets]}
+
+    return arrow_rows(texts(documents), run, "set bigint, doc_id bigint, size int, prefix array<bigint>")
+
+
+def may_reach(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Whether sizes and places of a shared key allow the similarity: t = p / q needs an overlap of p (|a| + |b|) / (p + q)."""
+    most = F.least(a["place"], b["place"]) + 1 + F.least(a["size"] - a["place"], b["size"] - b["place"]) - 1
+    lengths = F.least(a["size"], b["size"]) * DENOMINATOR >= F.greatest(a["size"], b["size"]) * NUMERATOR
+    return lengths & (most * (NUMERATOR + DENOMINATOR) >= (a["size"] + b["size"]) * NUMERATOR)
+
+
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """PLACES bits, with those of the doc_ids set; 2 MB for any number of ids."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES))
+    parts = ids.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    bits, width = np.zeros(PLACES // 8 + 4096, np.uint8), 4096
+    for r in parts:
+        bits[(r["k"] - 1) * width : r["k"] * width] |= np.frombuffer(bytes(r["bits"]), np.uint8)
+    return bits
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of sets that are similar enough. Only sets of pairs are made and shuffled, never texts."""
+    pairs = cut_lineage(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    bits = bitmap(nodes.join(wanted, "set", "left_semi").select(F.col("low").alias("doc_id")))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES))
+    number = (F.bitmap_bucket_number(place) - 1) * 32768 + F.bitmap_bit_position(place)
+
+    def run(rows: dict[str, list]) -> dict[str, list]:
+        sets = [shingle_set(t) for t, k in zip(rows["text"], rows["place"], strict=True) if bits[k >> 3] >> (k & 7) & 1]
+        return {"set": [name_of(s) for s in sets], "hashes": sets}
+
+    sets = cut_lineage(arrow_rows(texts(documents).withColumn("place", number), run, "set bigint, hashes array<bigint>").join(wanted, "set", "left_semi").dropDuplicates(["set"]))
+    both = pairs.join(sets.select(F.col("set").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("hashes").alias("y")), "b")
+    return cut_lineage(both.where(F.size(F.array_intersect("x", "y")) * (NUMERATOR + DENOMINATOR) >= (F.size("x") + F.size("y")) * NUMERATOR).select("a", "b"))
+
+
+def labels(edges: DataFrame, named: DataFrame) -> DataFrame:
+    """set, low and component of every named set (fp, low)."""
+    roots = components(edges, named)
+    return named.join(roots, named["low"] == roots["node"], "left").select(F.col("fp").alias("set"), "low", F.coalesce("root", "low").alias("component"))
+
+
+def links(prints: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """Edges (a, b) between sets whose components are those of all similar pairs; prints: set, size, prefix; nodes: set, low."""
+    keys = prints.select("set", "size", F.posexplode("prefix").alias("place", "key"))
+    of_key = Window.partitionBy("key")
+    held = keys.withColumns({"head": F.min(F.struct("set", "size", "place")).over(of_key), "other": F.max("set").over(of_key)}).where(F.col("head.set") != F.col("other"))
+    rows = cut_lineage(held.drop("other"))
+    near = may_reach({c: F.col(c) for c in ("size", "place")}, {c: F.col(f"head.{c}") for c in ("size", "place")})
+    first = verified(rows.where((F.col("set") != F.col("head.set")) & near).select(F.col("head.set").alias("a"), F.col("set").alias("b")).distinct(), nodes, documents)
+    named = nodes.select(F.col("set").alias("fp"), "low")
+    placed = cut_lineage(rows.drop("head").distinct().join(labels(first, named).select("set", "component"), "set"))
+    groups = placed.select("key", "component").distinct()
+    apart = groups.withColumnRenamed("component", "ca").join(groups.withColumnRenamed("component", "cb"), "key").where("ca < cb")
+    side = lambda s: placed.select("key", F.col("component").alias(f"c{s}"), F.col("set").alias(s), F.struct("size", "place").alias(f"at_{s}"))
+    met = apart.join(side("a"), ["key", "ca"]).join(side("b"), ["key", "cb"])
+    near = may_reach(*({c: F.col(f"at_{s}.{c}") for c in ("size", "place")} for s in "ab"))
+    return first.unionByName(verified(met.where(near).select("a", "b").distinct(), nodes, documents))
+
+
+def drop_similar(documents: DataFrame) -> DataFrame:
+    """documents without the near-duplicates: of each component the row with the smallest doc_id stays.
+
+    Texts whose sets of five-word shingles (A-Z lower-cased, words as in op2) have a Jaccard similarity of 0.8 or more are
+    linked; all links count. Null, empty and blank texts are alike. Repeated rows of an id leave one row. Rows
+    with a null doc_id stay, since nothing names them.
+    """
+    small_batches(documents.sparkSession)
+    given = documents.where("doc_id is not null")
+    prints = cut_lineage(prefixes(given, frequent(given)))
+    nodes = cut_lineage(prints.groupBy("set").agg(F.min("doc_id").alias("low")))
+    keep = labels(links(prints, nodes, given), nodes.select(F.col("set").alias("fp"), "low")).where("low = component").select(F.col("low").alias("doc_id")).distinct()
+    return documents.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(documents.where("doc_id is null"))
