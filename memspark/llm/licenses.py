@@ -88,12 +88,14 @@ class Notices:
         out = []
         for notice, spans in windows.items():
             for low, high in spans:
-                at, stop = max(0, low), min(len(text), high)
-                while m := self.patterns[notice].search(text, at, stop):
-                    if m.end() <= m.start():
-                        break
+                parts = [(max(0, low), min(len(text), high))]
+                while parts:  # a search gives the best copy of its part; others may stand on both sides of it
+                    at, stop = parts.pop()
+                    m = self.patterns[notice].search(text, at, stop)
+                    if not m or m.end() <= m.start():
+                        continue
                     out.append((m.start(), m.end(), notice, sum(m.fuzzy_counts)))
-                    at = m.end()
+                    parts += [(at, m.start()), (m.end(), stop)]
         kept: list[tuple[int, int, str, int]] = []
         for one in sorted(out, key=lambda x: (x[3], x[0] - x[1], x[0], x[2])):
             k = bisect_right(kept, one)

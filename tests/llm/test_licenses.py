@@ -65,3 +65,9 @@ def test_rows(spark):
     got = scan_licenses(df).collect()
     assert sorted((r.doc_id or 0, r.n_base, r.labels, r.score) for r in got) == [(0, 0, "", 0.0), (1, 1, "mit", 1.0), (1, 1, "mit", 1.0), (2, 0, "", 0.0)]
     assert scan_licenses(df.limit(0)).count() == 0
+
+
+def test_copies_left_of_the_best_one_are_found():
+    text = "mozila public license mozilla public license mozilla publik license"
+    found = Notices().find(text)
+    assert [(e, n) for _, _, n, e in found] == [(1, "mozilla public license"), (0, "mozilla public license"), (1, "mozilla public license")]
