@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where that is unset."""
+    """The folder that spark.checkpoint.dir names. Where that is unset, a temporary one serves a local session; a cluster must name one."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="memspark-stage-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
