@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import stage_folder, staged
+
 #: Upper and lower-case ASCII; lower-casing is limited to A-Z throughout.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,27 +33,41 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-        if not root:
-            root = tempfile.mkdtemp(prefix="memspark-shared-")
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the folder that all executors share."""
+    return stage_folder(spark, name)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder, so that a lost executor costs no recomputation of earlier rounds."""
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint(eager=True)
+    return staged(df)
+
+
+def doc_id() -> Column:
+    """doc_id as a bigint; one that is no number counts as null."""
+    return F.col("doc_id").try_cast("bigint").alias("doc_id")
+
+
+def row_key(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    """df with k1, k2: 128 bits of (doc_id, text). Equal rows share them, and share every decision."""
+    text = F.col("text").cast("string")
+    return df.withColumns({"k1": F.xxhash64(name, text), "k2": F.xxhash64(F.lit(1), text, name)})
+
+
+def joined_by_count(rows: DataFrame, facts: DataFrame, key: str | tuple[str, str], many: int) -> DataFrame:
+    """rows joined with facts, which has one row per key and n, the number of rows with that key.
+
+    Keys of over a thousandth of the rows (`many` at most) are joined by a broadcast of at most 1,000 facts, so that a key with a
+    third of all rows meets in no single task; the others are joined by the key. n is dropped. Both tables should be materialised.
+    """
+    left, right = key if isinstance(key, tuple) else (key, key)
+    least = max(1000, many // 1000)
+    facts = facts.withColumnRenamed(right, "_key")
+    hot, rest = facts.where(F.col("n") > least).drop("n"), facts.where(F.col("n") <= least).drop("n")
+    rows = rows.withColumnRenamed(left, "_key")
+    often = rows.join(F.broadcast(hot), "_key")
+    seldom = rows.join(F.broadcast(hot.select("_key")), "_key", "left_anti").join(rest, "_key")
+    return often.unionByName(seldom).withColumnRenamed("_key", left)
 
 
 def fold_words(text: str | None) -> list[bytes]:

@@ -217,7 +217,7 @@ def cut_spans(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def phrase_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list:
     """Broadcast blocks of benchmark items, each of about block_bytes at most and pickled with its class, which executors may not have; items without an id are left out."""
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
+    items = benchmark.select(F.col("item_id").try_cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + int(total) // block_bytes
     sc = benchmark.sparkSession.sparkContext
@@ -249,7 +249,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     """
     small_batches(documents.sparkSession)
     state = documents.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("bigint").alias("n_words"),
+        F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("bigint").alias("n_words"),
         F.array().cast("array<struct<s:bigint,e:bigint>>").alias("hits"), F.array().cast("array<bigint>").alias("items"),
     )
     fields = [pa.field("doc_id", pa.int64()), pa.field("text", pa.string()), pa.field("n_words", pa.int64()), pa.field("hits", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), pa.field("items", pa.list_(pa.int64()))]

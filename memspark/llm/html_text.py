@@ -204,4 +204,4 @@ def extract_text(pages: DataFrame) -> DataFrame:
         text = [main_text(h) for h in rows["html"]]
         return {"page_id": rows["page_id"], "url": rows["url"], "text": text, "n_chars": list(map(len, text))}
 
-    return arrow_rows(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html"), run, "page_id bigint, url string, text string, n_chars bigint")
+    return arrow_rows(pages.select(F.col("page_id").try_cast("bigint").alias("page_id"), "url", "html"), run, "page_id bigint, url string, text string, n_chars bigint")

@@ -158,4 +158,4 @@ def scan_licenses(documents: DataFrame, notices: dict[str, str] = NOTICES) -> Da
         return {"doc_id": rows["doc_id"]} | {n: [x[n] for x in found] for n in names}
 
     schema = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans array<struct<label:string,notice:string,edits:int,start:int,end:int>>"
-    return arrow_rows(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)
+    return arrow_rows(documents.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)

@@ -106,7 +106,7 @@ def cut_pieces(documents: DataFrame, capacity: int) -> DataFrame:
     """doc_id, source, c1, c2, piece, start, n_words: consecutive runs of at most `capacity` words of each text."""
     words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
     key = ascii_lower(F.array_join("w", " "))
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), words.alias("w"))
+    rows = documents.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), words.alias("w"))
     rows = rows.select("doc_id", "source", F.size("w").alias("n"), key.alias("key")).select("doc_id", "source", "n", F.xxhash64("key").alias("c1"), F.xxhash64(F.lit(1), "key").alias("c2"))
     last = F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0))
     cut = exploded(rows, rows.columns, F.sequence(F.lit(0).cast("bigint"), last), "_pos", "piece")

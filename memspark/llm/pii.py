@@ -353,7 +353,7 @@ def find_pii(documents: DataFrame, field: Field | None = None) -> DataFrame:
         }
 
     schema = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, found array<struct<kind:string,start:int,end:int,base:boolean>>"
-    return arrow_rows(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)
+    return arrow_rows(documents.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)
 
 
 def mask_pii(documents: DataFrame, field: Field | None = None) -> DataFrame:
@@ -374,4 +374,4 @@ def mask_pii(documents: DataFrame, field: Field | None = None) -> DataFrame:
         found = find_all(rows["text"], Field(*arrays))
         return {"doc_id": rows["doc_id"], "text": [masked(t, x) for t, x in zip(rows["text"], found, strict=True)]}
 
-    return arrow_rows(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id bigint, text string")
+    return arrow_rows(documents.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id bigint, text string")

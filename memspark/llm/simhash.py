@@ -1,42 +1,64 @@
 """SimHash near-duplicates with a pigeonring filter.
 
-A fingerprint of 64 bits is cut into three segments that lie on a ring. If two fingerprints differ
-in at most 2 bits, then by the pigeonring principle some segment starts a chain whose first k
-segments differ in at most 2k/3 bits, for every k: 0 bits in the first, 1 in the first two, 2 in all.
-
-The chain's first two steps are made the join key, so candidates come from an equi-join: the pair
-agrees in the first segment, and in the second after clearing at most one bit of the one that has
-it set. The key holds about 42 bits, which keeps chance candidates rare at any corpus size. The
-chain's last step is the full Hamming check.
-
-Documents are collapsed to distinct fingerprints before any join, so large groups of copies cost
-one row. A fingerprint has at most 2,080 others within 2 bits, so links grow with the fingerprints
-and not with the square of a group.
+A fingerprint of 64 bits is cut into segments that lie on a ring. If two fingerprints differ in at most t bits
+and there are m segments, then by the pigeonring principle some segment starts a chain whose first k segments differ in
+at most k t / m bits, for every k.
+
+Links by bits (`near_duplicates`, at most 2 bits). With three segments the chain's first two steps are made the join key:
+the pair agrees in the first segment, and in the second after clearing at most one bit of the one that has it set. The
+key holds about 42 bits, which keeps chance candidates rare at any corpus size. The chain's last step is the full
+Hamming check. A fingerprint has at most 2,080 others within 2 bits, so links grow with the fingerprints.
+
+Links by similarity (`similar_rows`, Jaccard similarity of word shingles). A pair of similarity 0.8 differs in about 10 of 64
+bits, and a chain's key for that many would be 3 or 4 bits. There the join key is instead a band: the LEAST smallest
+shingles of a text in one of BANDS random orders, which two texts share with a chance of about 0.8^5 a band.
+The pigeonring chain and the full Hamming check prune the pairs, and the shingle sets decide exactly. Bands miss a pair at the
+bound with a chance of about 3 in a million. Sets of at most FEW shingles also meet in all their subsets that lack one
+shingle, which misses none.
+
+Before any join, documents are collapsed to distinct fingerprints or shingle sets, so large groups of copies cost one row.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut_lineage, small_batches
+from ..functions.rows import exploded
+from .common import arrow_rows, cut_lineage, doc_id, joined_by_count, row_key, small_batches
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
-#: (lowest bit, bits) of the ring's segments.
+#: (lowest bit, bits) of the segments of the ring for links by bits.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Hashes that are unpacked to bits at once.
 BLOCK = 65536
 
+#: Links by similarity: words of a shingle, similarity as a fraction.
+WORDS, SIMILAR = 5, (4, 5)
+#: Random orders, shingles that make a band's key, and sets so small that their subsets are keys too.
+BANDS, LEAST, FEW = 32, 5, 9
+#: Segments of 8 bits on the ring, and the bits in which a similar pair may differ: 5 standard deviations above the mean at 0.8.
+RING, BUDGET = 8, 28
+#: Odd factors of a shingle's words; masks and odd factors of the bands' orders.
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+MASKS = np.array([xxhash.xxh64_intdigest(b"mask %d" % k) for k in range(BANDS)], np.uint64)
+ORDERS = np.array([xxhash.xxh64_intdigest(b"order %d" % k) | 1 for k in range(BANDS)], np.uint64)
+#: Places of the bitmap that tells which documents to read again; a chance hit costs a needless read.
+PLACES = 1 << 24
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash over word shingles, repeats included; no words give 0."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return 0
-    grams = zip(*(words[k:] for k in range(shingle)), strict=False) if len(words) >= shingle else [words]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in grams), np.uint64)
+
+# --- fingerprints ----------------------------------------------------------------------------------
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Runs of [^\\x20\\x09-\\x0D], A-Z lower-cased, as UTF-8."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), BLOCK):
         part = hashes[k : k + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -44,15 +66,27 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash over word shingles, repeats included; no words give 0."""
+    words = words_of(text)
+    if not words:
+        return 0
+    grams = zip(*(words[k:] for k in range(shingle)), strict=False) if len(words) >= shingle else [words]
+    return majority(np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in grams), np.uint64))
+
+
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed bigint) of every row; words are runs of [^\\x20\\x09-\\x0D], A-Z lower-cased."""
+    """doc_id and fp (the fingerprint as a signed bigint) of every row."""
     small_batches(documents.sparkSession)
 
     def run(rows: dict[str, list]) -> dict[str, list]:
         values = np.array([fingerprint(t, shingle) for t in rows["text"]], np.uint64)
         return {"doc_id": rows["doc_id"], "fp": values.view(np.int64)}
 
-    return arrow_rows(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id bigint, fp bigint")
+    return arrow_rows(documents.select(doc_id(), F.col("text").cast("string").alias("text")), run, "doc_id bigint, fp bigint")
+
+
+# --- links by bits -----------------------------------------------------------------------------------
 
 
 def bits_of(fp: Column, segment: int) -> Column:
@@ -86,58 +120,215 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
-def components(edges: DataFrame, weights: DataFrame) -> DataFrame:
-    """(node, root) of every node with an edge: root is the component's node of the smallest weight.
+# --- components --------------------------------------------------------------------------------------
+
 
-    weights: (fp, low) gives each node its rank, low being unique. Alternating large-star and small-star
-    rounds; every round is cut off in the shared folder. Rows per round never exceed the edges.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of the edges (a, b) but the roots: root is the component's smallest node.
+
+    Alternating large-star and small-star rounds; every round is cut off in the shared folder. Rows per round never
+    exceed the edges. Nodes with many neighbours are joined by a broadcast of at most some 2,000 rows.
     """
-    named = edges.join(weights.select(F.col("fp").alias("a"), F.col("low").alias("u")), "a").join(weights.select(F.col("fp").alias("b"), F.col("low").alias("v")), "b")
-    pairs = cut_lineage(named.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))  # u > v
+    pairs = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())  # u > v
 
-    def stars(pairs: DataFrame, large: bool) -> DataFrame:
+    def stars(pairs: DataFrame, large: bool, many: int) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = both.join(least, "u")
+        least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        joined = joined_by_count(both, least, "u", 2 * many)
         if large:  # larger neighbours move to the smallest
             out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:  # smaller neighbours and the node itself move to the smallest
             out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         return out.where("u <> v").distinct()
 
-    state = None
-    while True:
-        pairs = cut_lineage(stars(stars(pairs, True), False))
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    state = (pairs.count(), None)
+    while state[0]:
+        pairs = cut_lineage(stars(cut_lineage(stars(pairs, True, state[0])), False, state[0]))
+        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
         state = now
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def with_root(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """nodes with the root of their component; a node without edges is its own."""
+    roots = components(edges)
+    return nodes.join(roots, nodes[node] == roots["node"], "left").withColumn("root", F.coalesce("root", node)).drop("node")
+
+
 def near_duplicates(documents: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits) and component_id of every row.
 
     Texts whose fingerprints differ in at most `distance` bits are linked; component_id is the smallest
     doc_id reachable over links, the row's own included. Null, empty and blank texts have fingerprint
-    zero and are linked like any other. Repeated rows are kept and fall in one component. A row
-    with a null doc_id gets the component of the rows of its fingerprint, or null where none has an id; such
-    fingerprints link nothing. Other columns are not read.
+    zero and are linked like any other. Repeated rows are kept and fall in one component. Rows with a null
+    doc_id (or one that is no number) link like others; a component without any id has a null component_id.
+    Other columns are not read.
     """
     prints = cut_lineage(fingerprints(documents, shingle))
-    groups = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    named = groups.where("low is not null")
-    roots = components(links(groups.select("fp"), distance), named) if distance else None
-    found = groups if roots is None else groups.join(roots, groups["low"] == roots["node"], "left").select("fp", F.coalesce("root", "low").alias("component_id"))
-    if roots is None:
-        found = found.withColumnRenamed("low", "component_id")
-    return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
+    rooted = cut_lineage(with_root(groups, links(groups.select("fp"), distance), "fp"))
+    ids = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("prints"))
+    found = joined_by_count(rooted.drop("low"), ids.withColumnRenamed("prints", "n").withColumnRenamed("root", "of"), ("root", "of"), rooted.count())
+    found = cut_lineage(found.select("fp", "component_id", "n"))
+    return joined_by_count(prints, found, "fp", prints.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- links by similarity -------------------------------------------------------------------------------
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Distinct hashes of the five-word shingles in ascending order; a shorter text is one shingle, no words are none."""
+    words = words_of(text)
+    if not words:
+        return np.empty(0, np.uint64)
+    if len(words) < WORDS:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64)
+    codes = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
+    code = np.fromiter((codes[w] for w in words), np.uint64, len(words))
+    many = len(words) - WORDS + 1
+    mixed = np.zeros(many, np.uint64)
+    for k in range(WORDS):
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * FACTORS[k] + code[k : k + many]
+    mixed ^= mixed >> np.uint64(32)
+    return np.unique(mixed)
+
+
+def name_of(hashes: np.ndarray, seed: int = 0) -> int:
+    """A set's name: a signed hash of its elements."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), seed)).astype(np.int64))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """Keys of a set: for each order its least shingles, and for small sets all subsets that lack one or none."""
+    n, keys = len(hashes), []
+    if 1 < n <= FEW:
+        keys = [name_of(hashes, 1), *(name_of(np.delete(hashes, k), 1) for k in range(n))]
+    if n >= LEAST:
+        least = np.empty((BANDS, 0), np.uint64)
+        for k in range(0, n, BLOCK):
+            least = np.concatenate((least, (hashes[None, k : k + BLOCK] ^ MASKS[:, None]) * ORDERS[:, None]), axis=1)
+            if least.shape[1] > LEAST:
+                least = np.partition(least, LEAST - 1, axis=1)[:, :LEAST]
+        mixed = MASKS.copy()
+        for column in np.sort(least, axis=1).T:
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * FACTORS[0] + column
+        keys += (mixed ^ (mixed >> np.uint64(32))).view(np.int64).tolist()
+    return keys
+
+
+def keyed_rows(documents: DataFrame) -> DataFrame:
+    """documents with k1, k2: 128 bits of (doc_id, text), which equal rows share."""
+    return row_key(documents.select(doc_id(), F.col("text").cast("string").alias("text")))
+
+
+def shingled(documents: DataFrame) -> DataFrame:
+    """doc_id, k1, k2, set (its name), fp and keys of every row."""
+
+    def run(rows: dict[str, list]) -> dict[str, list]:
+        sets = [shingle_set(t) for t in rows["text"]]
+        fps = np.array([majority(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+        return {**{k: rows[k] for k in ("doc_id", "k1", "k2")}, "set": [name_of(s) for s in sets], "fp": fps, "keys": [band_keys(s) for s in sets]}
+
+    return arrow_rows(keyed_rows(documents), run, "doc_id bigint, k1 bigint, k2 bigint, set bigint, fp bigint, keys array<bigint>")
+
+
+def within_budget(p: Column, q: Column, budget: int = BUDGET) -> Column:
+    """Whether p and q differ in at most `budget` bits, found by a chain on the ring and then by the full Hamming check.
+
+    A chain of half the ring starts somewhere whose first k segments differ in at most k * budget / RING bits, for every k.
+    """
+    x, width = p.bitwiseXOR(q), 64 // RING
+    apart = [F.bit_count(F.shiftrightunsigned(x, k * width).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))) for k in range(RING)]
+    chains = F.lit(False)
+    for start in range(RING):
+        holds, total = F.lit(True), F.lit(0)
+        for k in range(RING // 2):
+            total = total + apart[(start + k) % RING]
+            holds = holds & (total * RING <= (k + 1) * budget)
+        chains = chains | holds
+    return chains & (F.bit_count(x) <= budget)
+
+
+def bitmap(rows: DataFrame) -> np.ndarray:
+    """PLACES bits, with those of k1 set; 2 MB for any number of rows."""
+    at, width = F.pmod("k1", F.lit(PLACES)), 4096
+    parts = rows.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    bits = np.zeros(PLACES // 8 + width, np.uint8)
+    for r in parts:
+        bits[(r["k"] - 1) * width : r["k"] * width] |= np.frombuffer(bytes(r["bits"]), np.uint8)
+    return bits
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of sets that are similar enough. Only sets of pairs are made again and shuffled, never texts."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    bits = bitmap(nodes.join(wanted, "set", "left_semi").select("k1"))
+    place = F.pmod("k1", F.lit(PLACES))
+    number = (F.bitmap_bucket_number(place) - 1) * 32768 + F.bitmap_bit_position(place)
+
+    def run(rows: dict[str, list]) -> dict[str, list]:
+        sets = [shingle_set(t) for t, k in zip(rows["text"], rows["place"], strict=True) if bits[k >> 3] >> (k & 7) & 1]
+        return {"set": [name_of(s) for s in sets], "hashes": [s.view(np.int64) for s in sets]}
+
+    made = arrow_rows(keyed_rows(documents).select("text", number.alias("place")), run, "set bigint, hashes array<bigint>")
+    sets = cut_lineage(made.join(wanted, "set", "left_semi").dropDuplicates(["set"]))
+    side = lambda name, hashes: sets.select(F.col("set").alias(name), F.col("hashes").alias(hashes))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    over, under = SIMILAR
+    return cut_lineage(both.where(F.size(F.array_intersect("x", "y")) * (over + under) >= (F.size("x") + F.size("y")) * over).select("a", "b"))
+
+
+def band_links(nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """Edges (a, b) between sets (nodes: set, fp, k1, keys) whose components are those of all similar pairs that share a key.
+
+    The sets of a key are dealt to about sqrt(n) parts. Each is first compared with the head of its part, and each of those with
+    the head of the key; heads differ from key to key. That puts a large group of near copies in one component, with as many
+    pairs as sets and no task that holds the group. Only pairs from different components are compared after that.
+    """
+    many = nodes.count()
+    rows = exploded(nodes, ["set", "fp"], "keys", "_pos", "key").select("key", "set", "fp")
+    turn = F.struct(F.xxhash64("set", "key").alias("turn"), "set", "fp")
+    part = F.pmod(F.xxhash64("set"), F.lit(1 + int(many**0.5)))
+    in_part = rows.withColumn("head", F.min(turn).over(Window.partitionBy("key", part)))
+    own = F.col("head.set") == F.col("set")
+    of_key = in_part.where(own).select("key", "set", "fp", F.min(turn).over(Window.partitionBy("key")).alias("head"))
+    met = in_part.where(~own).unionByName(of_key.where(~own))
+    met = cut_lineage(met.select("key", "set", "fp", F.col("head.set").alias("head"), F.col("head.fp").alias("head_fp")))
+    near = met.where(within_budget(F.col("fp"), F.col("head_fp")))
+    first = verified(cut_lineage(near.select(F.least("set", "head").alias("a"), F.greatest("set", "head").alias("b")).distinct()), nodes, documents)
+
+    members = met.select("key", "set", "fp").unionByName(met.select("key", F.col("head").alias("set"), F.col("head_fp").alias("fp"))).distinct()
+    placed = cut_lineage(with_root(members, first, "set"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    left = placed.join(mixed, "key", "left_semi")
+    side = lambda s: left.select("key", F.col("root").alias(f"root_{s}"), F.col("set").alias(s), F.col("fp").alias(f"fp_{s}"))
+    across = side("a").join(side("b"), "key").where((F.col("root_a") < F.col("root_b")) & within_budget(F.col("fp_a"), F.col("fp_b")))
+    more = cut_lineage(across.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
+    return first if more.isEmpty() else cut_lineage(first.unionByName(verified(more, nodes, documents)))
+
+
+def similar_rows(documents: DataFrame) -> DataFrame:
+    """doc_id, k1, k2, set and root of every row: rows of a root are near-duplicates of each other.
+
+    Texts whose sets of five-word shingles (A-Z lower-cased, words as in `near_duplicates`) have a Jaccard similarity of 0.8
+    or more are linked; all links count. Null, empty and blank texts are alike. k1, k2 are hashes of (doc_id, text).
+    """
+    small_batches(documents.sparkSession)
+    rows = cut_lineage(shingled(documents))
+    nodes = cut_lineage(rows.groupBy("set").agg(F.min("k1").alias("k1"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count("*").alias("n")))
+    rooted = cut_lineage(with_root(nodes.select("set", "n"), band_links(nodes.drop("n"), documents), "set"))
+    return joined_by_count(rows.drop("keys", "fp"), rooted, "set", rows.count())
 
 
-def drop_near_duplicates(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """documents without the near-duplicates: of each component the row with the smallest doc_id stays.
+def drop_near_duplicates(documents: DataFrame) -> DataFrame:
+    """documents without the near-duplicates of `similar_rows`: of each group one row stays, that with the smallest doc_id.
 
-    Repeated rows of that id leave one row. Rows with a null doc_id stay, since nothing names them.
+    Rows without an id come last in a group; of rows with one id that with the smaller hash of its text stays, and of equal
+    rows one. Rows with one id whose texts are not similar are no duplicates. An empty table stays empty; all columns are kept.
     """
-    keep = near_duplicates(documents.where("doc_id is not null"), distance).where("doc_id = component_id").select("doc_id").distinct()
-    return documents.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(documents.where("doc_id is null"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    stays = similar_rows(documents).groupBy("root").agg(F.min(order).alias("row")).select("row.k1", "row.k2")
+    keyed = row_key(documents.withColumn("_id", F.col("doc_id").try_cast("bigint")), "_id").drop("_id")
+    return keyed.join(stays, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*documents.columns)

@@ -99,11 +99,11 @@ def featurise(rows: DataFrame, weights: Weights, keep: str) -> DataFrame:
 
 def training_rows(documents: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, text, toxic, fold (0 or 1), calibrate of at most `limit` labelled rows outside the held-out part."""
-    usable = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("double").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
+    usable = labels.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col("toxic").cast("double").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     usable = usable.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # at most `limit` narrow rows, so they are broadcast
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(8))
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = documents.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
     return rows.withColumns({"fold": (part % 2).cast("int"), "calibrate": part >= 6})
 
 
@@ -181,7 +181,7 @@ def toxicity_report(documents: DataFrame, labels: DataFrame, threshold: float =
     classes every score is the share of toxic rows among them (0 if there are none). Rows with a null doc_id are
     not held out. Repeated rows are scored each; other columns are not read.
     """
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = documents.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = fit(documents, labels).score(rows)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 

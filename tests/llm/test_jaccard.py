@@ -1,0 +1,62 @@
+import random
+import re
+
+import corpus_pipeline
+from memspark.llm import jaccard
+
+
+def grams(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def similar(x, y):
+    return x == y or 5 * len(x & y) >= 4 * len(x | y)
+
+
+def kept(texts):
+    sets = {k: grams(t) for k, t in texts.items()}
+    group = {k: k for k in sets}
+    near = {k: [j for j in sets if similar(sets[k], sets[j])] for k in sets}
+    while True:
+        new = {k: min(group[j] for j in near[k]) for k in sets}
+        if new == group:
+            return {k for k in sets if group[k] == k}, sum(map(len, near.values())) - len(near)
+        group = new
+
+
+def corpus():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bcdfgaeiou") for _ in range(5))
+    common = [word() for _ in range(12)]
+    texts = {0: None, 1: "", 2: " \t", 3: "one two", 4: "ONE two", 5: "one two three four five"}
+    for k in range(60):
+        words = [word() for _ in range(rng.choice((6, 20, 60, 200)))]
+        if k % 3 == 0:
+            words += common
+        for _ in range(rng.randint(1, 5)):
+            texts[len(texts)] = " ".join(words)
+            words = list(words)
+            for _ in range(rng.randint(0, max(1, len(words) // 40))):
+                words[rng.randrange(len(words))] = word()
+    ids = rng.sample(range(1000), len(texts))
+    return {ids[k]: t for k, t in texts.items()}
+
+
+def test_stage_equals_brute_force(spark, tmp_path):
+    texts = corpus()
+    want, pairs = kept(texts)
+    assert pairs > 60
+    docs = spark.createDataFrame([(k, t, "x") for k, t in texts.items()] + [(None, "one two", "x")], "doc_id bigint, text string, extra string")
+    out = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    got = [r["doc_id"] for r in out.collect()]
+    assert sorted(got, key=lambda k: -1 if k is None else k) == [None, *sorted(want)]
+
+
+def test_similarity_bound(spark):
+    base = [f"w{k}" for k in range(94)]  # 90 shingles; a changed word in the midst costs 5: 80 of 100, 79 of 101
+    changed = [*base[:30], "x", *base[31:60], "y", *base[61:]]
+    for other, alike in ((changed, True), ([*changed[:-1], "z"], False)):
+        docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other))], "doc_id bigint, text string")
+        assert jaccard.drop_similar(docs).count() == (1 if alike else 2)
