@@ -284,12 +284,12 @@ def band_links(nodes: DataFrame, documents: DataFrame) -> DataFrame:
     """Edges (a, b) between sets (nodes: set, fp, k1, keys) whose components are those of all similar pairs that share a key.
 
     The sets of a key are dealt to about sqrt(n) parts. Each is first compared with the head of its part, and each of those with
-    the head of the key; heads differ from key to key. That puts a large group of near copies in one component, with as many
+    the head of the key. Heads are least in one order for all keys, so that a set meets few of them. That puts a large group of near copies in one component, with as many
     pairs as sets and no task that holds the group. Only pairs from different components are compared after that.
     """
     many = nodes.count()
     rows = exploded(nodes, ["set", "fp"], "keys", "_pos", "key").select("key", "set", "fp")
-    turn = F.struct(F.xxhash64("set", "key").alias("turn"), "set", "fp")
+    turn = F.struct(F.xxhash64("set").alias("turn"), "set", "fp")
     part = F.pmod(F.xxhash64("set"), F.lit(1 + int(many**0.5)))
     in_part = rows.withColumn("head", F.min(turn).over(Window.partitionBy("key", part)))
     own = F.col("head.set") == F.col("set")
