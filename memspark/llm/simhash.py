@@ -45,6 +45,8 @@ RING, BUDGET = 8, 28
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 MASKS = np.array([xxhash.xxh64_intdigest(b"mask %d" % k) for k in range(BANDS)], np.uint64)
 ORDERS = np.array([xxhash.xxh64_intdigest(b"order %d" % k) | 1 for k in range(BANDS)], np.uint64)
+#: One part of the sets of a key for so many sets of all: a key with a third of all sets has a third of so many in a part.
+PART_SETS = 50_000
 #: Places of the bitmap that tells which documents to read again; a chance hit costs a needless read.
 PLACES = 1 << 24
 
@@ -261,9 +263,12 @@ def bitmap(rows: DataFrame) -> np.ndarray:
     return bits
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of sets that are similar enough. Only sets of pairs are made again and shuffled, never texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+def sets_of(members: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """set, hashes, size and shared (shingles that another member has too) of the sets named in members.
+
+    Only the members' sets are made again and shuffled, never texts. A shingle that no other member has is in no overlap.
+    """
+    wanted = members.select("set").distinct()
     bits = bitmap(nodes.join(wanted, "set", "left_semi").select("k1"))
     place = F.pmod("k1", F.lit(PLACES))
     number = (F.bitmap_bucket_number(place) - 1) * 32768 + F.bitmap_bit_position(place)
@@ -273,40 +278,64 @@ def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFr
         return {"set": [name_of(s) for s in sets], "hashes": [s.view(np.int64) for s in sets]}
 
     made = arrow_rows(keyed_rows(documents).select("text", number.alias("place")), run, "set bigint, hashes array<bigint>")
-    sets = cut_lineage(made.join(wanted, "set", "left_semi").dropDuplicates(["set"]))
+    sets = cut_lineage(made.join(wanted, "set", "left_semi").dropDuplicates(["set"]).withColumn("size", F.size("hashes")))
+    alone = exploded(sets, ["set"], "hashes", "_pos", "hash").groupBy("hash").agg(F.min("set").alias("set"), F.count("*").alias("n")).where("n = 1")
+    own = alone.groupBy("set").agg(F.count("*").alias("own"))
+    return cut_lineage(sets.join(own, "set", "left").select("set", "hashes", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared")))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of sets that are similar enough."""
     side = lambda name, hashes: sets.select(F.col("set").alias(name), F.col("hashes").alias(hashes))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     over, under = SIMILAR
     return cut_lineage(both.where(F.size(F.array_intersect("x", "y")) * (over + under) >= (F.size("x") + F.size("y")) * over).select("a", "b"))
 
 
-def band_links(nodes: DataFrame, documents: DataFrame) -> DataFrame:
-    """Edges (a, b) between sets (nodes: set, fp, k1, keys) whose components are those of all similar pairs that share a key.
+def headed(rows: DataFrame, first: Column, part: Column) -> DataFrame:
+    """rows (key, set, ...) that aren't heads, with head: a struct that begins with `first`, then set, fp, size, shared where rows have them.
 
-    The sets of a key are dealt to about sqrt(n) parts. Each is first compared with the head of its part, and each of those with
-    the head of the key. Heads are least in one order for all keys, so that a set meets few of them. That puts a large group of near copies in one component, with as many
-    pairs as sets and no task that holds the group. Only pairs from different components are compared after that.
+    The sets of a key are dealt to parts; a set's head is the least of its part, and that of the least of a part the least of the key.
+    So no task holds the rows of a key, however many there are.
     """
-    many = nodes.count()
-    rows = exploded(nodes, ["set", "fp"], "keys", "_pos", "key").select("key", "set", "fp")
-    turn = F.struct(F.xxhash64("set").alias("turn"), "set", "fp")
-    part = F.pmod(F.xxhash64("set"), F.lit(1 + int(many**0.5)))
+    turn = F.struct(first.alias("first"), *(c for c in rows.columns if c != "key"))
     in_part = rows.withColumn("head", F.min(turn).over(Window.partitionBy("key", part)))
     own = F.col("head.set") == F.col("set")
-    of_key = in_part.where(own).select("key", "set", "fp", F.min(turn).over(Window.partitionBy("key")).alias("head"))
-    met = in_part.where(~own).unionByName(of_key.where(~own))
-    met = cut_lineage(met.select("key", "set", "fp", F.col("head.set").alias("head"), F.col("head.fp").alias("head_fp")))
-    near = met.where(within_budget(F.col("fp"), F.col("head_fp")))
-    first = verified(cut_lineage(near.select(F.least("set", "head").alias("a"), F.greatest("set", "head").alias("b")).distinct()), nodes, documents)
+    of_key = in_part.where(own).withColumn("head", F.min(turn).over(Window.partitionBy("key")))
+    return in_part.where(~own).unionByName(of_key.where(~own))
+
+
+def may_link(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Whether bits, sizes and shared shingles allow the similarity: t = p / q needs an overlap of p (|a| + |b|) / (p + q)."""
+    over, under = SIMILAR
+    return (F.least(a["shared"], b["shared"]) * (over + under) >= (a["size"] + b["size"]) * over) & within_budget(a["fp"], b["fp"])
+
+
+def band_links(nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """Edges (a, b) between sets (nodes: set, fp, k1, keys) whose components are those of all similar pairs that share a key.
+
+    Each set of a key is first compared with a head: the set with the smallest share of shingles of its own, which is the one
+    that copies of a text are most alike. That puts a large group of near copies in one component, with few pairs a set. Only pairs
+    from different components are compared after that.
+    """
+    part = F.pmod(F.xxhash64("set"), F.lit(1 + nodes.count() // PART_SETS))
+    met = cut_lineage(headed(exploded(nodes, ["set", "fp"], "keys", "_pos", "key").select("key", "set", "fp"), F.xxhash64("set"), part))
+    members = met.select("key", "set", "fp").unionByName(met.select("key", "head.set", "head.fp")).distinct()
+    sets = sets_of(members, nodes, documents)
+    members = cut_lineage(members.join(sets.drop("hashes"), "set").select("key", "set", "fp", "size", "shared"))
+    names = ("fp", "size", "shared")
+    stars = headed(members, 1 - F.col("shared") / F.col("size"), part).where(may_link({c: F.col(c) for c in names}, {c: F.col(f"head.{c}") for c in names}))
+    pairs = stars.select(F.least("set", "head.set").alias("a"), F.greatest("set", "head.set").alias("b")).distinct()
+    first = verified(cut_lineage(pairs), sets)
 
-    members = met.select("key", "set", "fp").unionByName(met.select("key", F.col("head").alias("set"), F.col("head_fp").alias("fp"))).distinct()
     placed = cut_lineage(with_root(members, first, "set"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     left = placed.join(mixed, "key", "left_semi")
-    side = lambda s: left.select("key", F.col("root").alias(f"root_{s}"), F.col("set").alias(s), F.col("fp").alias(f"fp_{s}"))
-    across = side("a").join(side("b"), "key").where((F.col("root_a") < F.col("root_b")) & within_budget(F.col("fp_a"), F.col("fp_b")))
-    more = cut_lineage(across.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
-    return first if more.isEmpty() else cut_lineage(first.unionByName(verified(more, nodes, documents)))
+    side = lambda s: left.select("key", F.struct("root", "set", *names).alias(s))
+    apart = (F.col("p.root") < F.col("q.root")) & may_link(*({c: F.col(f"{s}.{c}") for c in names} for s in "pq"))
+    across = side("p").join(side("q"), "key").where(apart)
+    more = cut_lineage(across.select(F.least("p.set", "q.set").alias("a"), F.greatest("p.set", "q.set").alias("b")).distinct())
+    return first if more.isEmpty() else cut_lineage(first.unionByName(verified(more, sets)))
 
 
 def similar_rows(documents: DataFrame) -> DataFrame:
