@@ -1,10 +1,13 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read as blocks of text in page order, each with its root-to-leaf path of block tags. Text length and
-punctuation are summed per path and divided by the path's blocks; both ratios are smoothed along the page between
-neighbours under the same parent (so that a heading gains from the paragraphs behind it), averaged per path and
-fused. Paths below a share of the page's best are dropped. Containers that name themselves as something else than
-the article (menus, footers, adverts, forms, comments, ...) count nothing; those inside <article> or <main> count more.
+A page is read as blocks of text in page order, each with its root-to-leaf path of block tags. Text length and punctuation are
+summed per path and divided by the path's blocks. Both ratios are smoothed along the page between neighbours under the same parent
+(so that a heading gains from the paragraphs behind it), averaged per path and fused. Linked text takes away from a path. From the
+root on, the container that holds most of the text is followed down to the main one; a path outside it counts by the squared share of
+the text in its own branch. Paths below a share of the page's best score are dropped.
+
+Tags and names that announce something else than the article (menus, footers, adverts, forms, comments, ...) are a prior: they make a
+path's score smaller, they rule nothing out. Only what a browser doesn't show is left out at once.
 """
 
 from __future__ import annotations
@@ -18,8 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, small_batches
 
-#: Share of the best path's score that a path needs; the weight of paths inside <article> or <main>.
-LEAST_SHARE, ARTICLE_WEIGHT = 0.05, 8.0
+#: Share of the best path's score that a path needs; the factor of tags and names that announce something else.
+LEAST_SHARE, PRIOR = 0.05, 0.02
+#: What linked text takes away from a path inside <article> or <main>, where a list of links may be text; elsewhere it takes all.
+LINKED = 0.7
+#: Share of a container's text that a child needs to be followed to the main container.
+MOST_TEXT = 0.6
 #: Smoothing over blocks at distance 0, 1, 2.
 KERNEL = (1.0, 0.6, 0.2)
 
@@ -27,40 +34,43 @@ KERNEL = (1.0, 0.6, 0.2)
 RAW = frozenset("script style noscript template iframe svg math object textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rt s samp small span strike strong sub sup time tt u var".split())
-NOT_ARTICLE = frozenset("nav aside footer form button select dialog menu fieldset head".split())
+OTHER = frozenset("nav aside footer form button select dialog menu fieldset".split())
+ARTICLE = frozenset("nav aside footer form button select dialog menu fieldset head".split())
 ARTICLE = frozenset(("article", "main"))
 #: What closes what, where end tags may be left out.
 SAME_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIST_ROOTS = frozenset("ul ol dl table select menu".split())
-#: Words of class, id or role that name a container which isn't the article.
-NAMED = frozenset("ad ads adv nav toc rss hidden search banner contentinfo complementary navigation alert dialog login signup meta byline tags tag cta".split())
-NAMED_START = ("advert", "sponsor", "promo", "sidebar", "comment", "disqus", "repl", "footer", "header", "masthead", "menu", "navbar", "navig", "breadcrumb", "cookie", "consent", "gdpr", "notice", "popup", "modal", "overlay", "share", "sharing", "social", "related", "recommend", "newsletter", "subscri", "widget", "pagination", "pager", "skip", "respon", "discussion", "feedback")
-
-TAG = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^<>\"']|\"[^\"]{0,5000}\"|'[^']{0,5000}')*+|[^<>]*)>|(!--)|[!?/][^>]*>)")
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre blockquote figcaption caption address".split())
+#: Words of class, id or role (parts between hyphens or underscores) that announce something else than the article.
+NAMED = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted banner sidebar comment comments commentlist disqus reply replies respond discussion "
+    "footer masthead nav navbar navigation menu toc breadcrumb breadcrumbs skiplink pager pagination cookie cookies consent gdpr notice alert popup modal overlay dialog "
+    "share sharing social related recommended recommendations newsletter subscribe subscription signup login search widget contentinfo complementary byline tags cta feedback".split()
+)
+#: Whole names of that kind.
+NAMED_WHOLE = frozenset("header site-header page-header top-header".split())
+
+TAG = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+|[^<>]*)>|(!--)|[!?/][^>]*>)")
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 
 
 def names_other(attributes: str) -> bool:
-    """Whether class, id or role say that an element isn't part of the article."""
-    if not attributes:
-        return False
-    if HIDDEN.search(attributes):
-        return True
+    """Whether class, id or role announce something else than the article."""
     for m in NAMES.finditer(attributes):
-        for word in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()):
-            if word in NAMED or word.startswith(NAMED_START):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            if name in NAMED_WHOLE or not NAMED.isdisjoint(re.split(r"[^a-z0-9]+", name)):
                 return True
     return False
 
 
 class Page:
-    """Blocks of a page: text, path, parent, link characters; paths: label, whether in an article, whether ruled out."""
+    """Blocks of a page (text, path, link characters); for each path its parent, its prior and whether it is a container."""
 
     def __init__(self, source: str):
-        self.paths: dict[tuple[int, str], int] = {}
-        self.parent, self.inside, self.out = [-1], [False], [False]
+        self.paths: dict[tuple, int] = {}
+        self.parent, self.prior, self.holds, self.inside, self.hidden = [-1], [1.0], [True], [False], [False]
         self.blocks: list[tuple[str, int, int]] = []
         self.stack: list[tuple[str, int]] = [("", 0)]
         self.parts: list[str] = []
@@ -74,7 +84,7 @@ class Page:
             self.parts, self.link_chars = [], 0
 
     def add(self, text: str) -> None:
-        if text and not self.out[self.stack[-1][1]]:
+        if text and not self.hidden[self.stack[-1][1]]:
             self.parts.append(text)
             if self.links:
                 self.link_chars += len(text)
@@ -95,15 +105,18 @@ class Page:
                 if self.stack[depth][0] in LIST_ROOTS:
                     break
         up = self.stack[-1][1]
-        inside = self.inside[up] or tag in ARTICLE
-        out = self.out[up] or tag in NOT_ARTICLE or (tag == "header" and not self.inside[up]) or (tag not in ARTICLE and tag not in ("html", "body") and names_other(attributes))
-        key = (up, f"{tag}{'!' if out else ''}")
+        other = tag in OTHER or (tag == "header" and not self.inside[up]) or (bool(attributes) and tag not in (*ARTICLE, "html", "body") and names_other(attributes))
+        hidden = self.hidden[up] or tag == "head" or (bool(attributes) and HIDDEN.search(attributes) is not None)
+        own = len(self.parent) if tag not in LEAVES else -1  # containers of one name are apart, leaves under a parent are one path
+        key = (up, tag, other, hidden, own)
         path = self.paths.get(key)
         if path is None:
             path = self.paths[key] = len(self.parent)
             self.parent.append(up)
-            self.inside.append(inside)
-            self.out.append(out)
+            self.prior.append(self.prior[up] * (PRIOR if other else 1.0))
+            self.holds.append(tag not in LEAVES)
+            self.inside.append(self.inside[up] or tag in ARTICLE)
+            self.hidden.append(hidden)
         self.stack.append((tag, path))
 
     def close(self, tag: str) -> None:
@@ -151,6 +164,35 @@ class Page:
         self.flush()
 
 
+def branches(parent: list[int], holds: list[bool], chars: np.ndarray) -> np.ndarray:
+    """For every path 1 inside the main container, else the share of the text in the largest container above it (or itself) that is outside."""
+    many = len(parent)
+    below = chars.copy()
+    for p in range(many - 1, 0, -1):  # a path comes behind its parent
+        below[parent[p]] += below[p]
+    heaviest = [0] * many
+    for p in range(1, many):
+        if holds[p] and (not heaviest[parent[p]] or below[p] > below[heaviest[parent[p]]]):
+            heaviest[parent[p]] = p
+    main = 0
+    while heaviest[main] and below[heaviest[main]] >= MOST_TEXT * below[main]:
+        main = heaviest[main]
+    above = {main}
+    while parent[main] >= 0:
+        main = parent[main]
+        above.add(main)
+    main, total = max(above), max(below[0], 1)
+    share = np.zeros(many)
+    for p in range(many):
+        if p == main or p and share[parent[p]] == 1:
+            share[p] = 1
+        elif p not in above:
+            share[p] = max(below[p] / total, share[parent[p]] if parent[p] not in above else 0)
+        else:
+            share[p] = chars[p] / total
+    return share
+
+
 def path_scores(page: Page) -> np.ndarray:
     """Fused, smoothed ratio of every path of the page."""
     n = len(page.blocks)
@@ -172,8 +214,9 @@ def path_scores(page: Page) -> np.ndarray:
                 weight[a] += same
         fused *= np.bincount(path, total / weight, many) / blocks
     share = np.bincount(path, linked, many) / np.maximum(np.bincount(path, length, many), 1)
-    prior = np.where(page.out, 0.0, np.where(page.inside, ARTICLE_WEIGHT, 1.0))
-    return np.sqrt(fused) * (1 - share) * prior
+    prior, linked_part = np.array(page.prior), np.where(page.inside, LINKED, 1.0)
+    inside = branches(page.parent, page.holds, np.bincount(path, (length - linked) * prior[path], many))
+    return np.sqrt(fused) * (1 - linked_part * share) * prior * inside**2
 
 
 def main_text(source: str | None) -> str:
@@ -182,13 +225,8 @@ def main_text(source: str | None) -> str:
     if not page.blocks:
         return ""
     score = path_scores(page)
-    used = {p for _, p, _ in page.blocks}
-    least = LEAST_SHARE * max(score[p] for p in used)
-    if any(page.inside[p] and score[p] > 0 for p in used):  # outside an article that has text, a path needs more
-        chosen = {p for p in used if score[p] >= least and score[p] > 0 and (page.inside[p] or score[p] >= 0.5 * least / LEAST_SHARE)}
-    else:
-        chosen = {p for p in used if score[p] >= 4 * least and score[p] > 0}
-    return "\n\n".join(t for t, p, _ in page.blocks if p in chosen)
+    least = LEAST_SHARE * max(score[p] for _, p, _ in page.blocks)
+    return "\n\n".join(t for t, p, _ in page.blocks if score[p] > 0 and score[p] >= least)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-from memspark.llm.html_text import Page, extract_text, main_text
+from memspark.llm.html_text import KERNEL, LINKED, MOST_TEXT, Page, extract_text, main_text, path_scores
 
 ARTICLE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>no</article>";</script></head><body class="no-sidebar">
 <header><a href="/">Site name</a></header><nav><ul><li><a href="/a">Menu one</a><li><a href="/b">Menu two</a></ul></nav><!-- <p>comment</p> -->
@@ -46,3 +46,85 @@ def test_rows(spark):
     assert len(got) == 4 and all(r.n_chars == len(r.text) for r in got)
     assert sorted(r.text for r in got)[0] == "" and "é only" in {r.text for r in got}
     assert extract_text(df.limit(0)).count() == 0
+
+
+def plain_scores(page):
+    """path_scores, by plain loops over blocks and paths."""
+    def fused(p):
+        out = 1.0
+        for ratio in (length, marks):
+            own = [smoothed(i, ratio) for i, (_, q, _) in enumerate(page.blocks) if q == p]
+            out *= sum(own) / len(own)
+        return out
+
+    def length(p):
+        own = [len(t) for t, q, _ in page.blocks if q == p]
+        return sum(own) / len(own)
+
+    def marks(p):
+        own = [sum(c in ".,;:!?…。、，！？" for c in t) for t, q, _ in page.blocks if q == p]
+        return sum(own) / len(own) + 1
+
+    def smoothed(i, ratio):
+        near = [(KERNEL[abs(i - j)], q) for j, (_, q, _) in enumerate(page.blocks) if abs(i - j) < 3 and page.parent[q] == page.parent[page.blocks[i][1]]]
+        return sum(w * ratio(q) for w, q in near) / sum(w for w, _ in near)
+
+    def above(p):
+        return [p, *above(page.parent[p])] if p > 0 else [0]
+
+    def text(p):
+        return sum((len(t) - min(k, len(t))) * page.prior[q] for t, q, k in page.blocks if p in above(q))
+
+    main = 0
+    while True:
+        inner = [p for p in range(1, len(page.parent)) if page.holds[p] and page.parent[p] == main]
+        best = max(inner, key=lambda p: (text(p), -p), default=None)
+        if best is None or text(best) < MOST_TEXT * text(main):
+            break
+        main = best
+
+    def inside(p):
+        if main in above(p):
+            return 1.0
+        if p in above(main):
+            return sum((len(t) - min(k, len(t))) * page.prior[q] for t, q, k in page.blocks if q == p) / max(text(0), 1)
+        return max(text(q) for q in above(p) if q not in above(main)) / max(text(0), 1)
+
+    linked = lambda p: sum(min(k, len(t)) for t, q, k in page.blocks if q == p) / max(1, sum(len(t) for t, q, _ in page.blocks if q == p))
+    return {p: fused(p) ** 0.5 * (1 - (LINKED if page.inside[p] else 1) * linked(p)) * page.prior[p] * inside(p) ** 2 for _, p, _ in page.blocks}
+
+
+def test_scores_equal_brute_force():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 30)):
+            words = ", ".join("word" * rng.randint(1, 9) for _ in range(rng.randint(0, 8)))
+            parts.append(rng.choice(["<div>", "</div>", "<section class='x'>", "</section>", "<ul>", "</ul>", "<nav>", "</nav>", "<div class='comment-list'>"]))
+            parts.append(rng.choice(["<p>{}</p>", "<li>{}", "<h2>{}</h2>", "<p><a href=1>{}</a> more", "{}"]).format(words))
+        page = Page("".join(parts))
+        if page.blocks:
+            score, want = path_scores(page), plain_scores(page)
+            assert all(abs(score[p] - v) <= 1e-9 * max(1, v) for p, v in want.items())
+
+
+def test_ratios_find_the_article_without_any_hint(monkeypatch):
+    from memspark.llm import html_text
+
+    monkeypatch.setattr(html_text, "NAMED", frozenset())
+    monkeypatch.setattr(html_text, "NAMED_WHOLE", frozenset())
+    monkeypatch.setattr(html_text, "OTHER", frozenset())
+    own = [f"Paragraph {k} of the article, which goes on for a while, as such paragraphs do; it has commas, and more." for k in range(8)]
+    other = ["<div><ul><li><a href=1>Menu one</a><li><a href=2>Menu two</a></ul></div>", "<div>We use cookies, really.</div>", "<div>Buy this now, it is good.</div>"]
+    last = ["<div><p>Related: other things, many of them.</p></div>", "<div>&copy; site, imprint, all of it.</div>"]
+    for wrapped in ("{}", "<div id=x>{}</div>"):
+        page = wrapped.format("".join([*other, "<div><h1>Head of it</h1>", *(f"<p>{t}" for t in own[:4]), "<div><ul><li>a point</ul>", *(f"<p>{t}" for t in own[4:]), "</div></div>", *last]))
+        assert main_text(page).split("\n\n") == ["Head of it", *own[:4], "a point", *own[4:]]
+
+
+def test_long_attributes_and_names():
+    assert main_text(f"<article><p>Some text, here.<img alt='{'a>' * 6000}'><p data-x=\"{'<b>' * 9000}\">More text, here.</article>") == "Some text, here.\n\nMore text, here."
+    assert main_text("<div class='table-responsive shared-content'><p>Some text, and more of it.</p></div>") == "Some text, and more of it."
+    assert main_text("<article><ul><li><a href=1>All of it linked</a></ul><p>Some text, and more.</article>") == "All of it linked\n\nSome text, and more."
