@@ -17,13 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, shared_folder
+from .common import cut_lineage, joined_by_count, shared_folder
 
 MAGIC, END = "WARC/1.0\r\n", "\r\n\r\n"
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 100
-#: Parts of the digests. Those that hold a repeated payload are broadcast: at most so many numbers at any input size.
-DIGEST_PARTS = 1 << 18
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -43,13 +41,12 @@ def write_archives(pages: DataFrame, path: str, date: str = DATE) -> None:
     others revisit records without a payload; rows without a page_id are response records. A null html is an
     empty payload. Repeated rows are a record each.
     """
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    rows = pages.select(F.col("page_id").try_cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": F.sha2(F.col("html").cast("binary"), 256), "n_bytes": F.octet_length("html")})
-    first = rows.where(F.col("n_bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    part = F.pmod(F.xxhash64("digest"), F.lit(DIGEST_PARTS)).alias("part")
-    rows = rows.withColumn("part", part).join(F.broadcast(first.select(part).distinct().withColumn("seen", F.lit(True))), "part", "left")
-    alone = rows.where("seen is null").withColumn("first", F.lit(None).cast("bigint"))  # no payload of the part is repeated, so these aren't shuffled
-    rows = rows.where("seen").join(first, "digest", "left").unionByName(alone).withColumn("revisit", F.coalesce(F.col("page_id") != F.col("first"), F.lit(False)))
+    named = cut_lineage(rows.where(F.col("n_bytes") >= REVISIT_BYTES).select("page_id", "digest"))  # who revisits is decided on narrow rows
+    first = cut_lineage(named.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    revisits = joined_by_count(named, first, "digest", named.count()).where(F.col("page_id") != F.col("first")).distinct()
+    rows = rows.join(revisits, ["page_id", "digest"], "left").withColumn("revisit", F.col("first").isNotNull())
     kind, body = F.when(F.col("revisit"), "revisit").otherwise("response"), F.when(F.col("revisit"), "").otherwise(F.col("html"))
     record = F.concat(
         F.lit(MAGIC), header_line("WARC-Type", kind), header_line("WARC-Record-ID", page_urn(F.col("page_id"))), header_line("WARC-Target-URI", F.col("url")),
@@ -61,12 +58,20 @@ def write_archives(pages: DataFrame, path: str, date: str = DATE) -> None:
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """file (hash of its path), block, seq (order in the block) and value (bytes between two magics, the last up to the file's end)."""
+    """file (hash of its path), block, seq (order in the block) and value (bytes between two magics, the last up to the file's end).
+
+    The blocks are those of this read; another read may be cut elsewhere.
+    """
     return spark.read.option("lineSep", MAGIC).text(path).select(
         F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), "value"
     )
 
 
+def content_key() -> tuple[Column, Column]:
+    """h1, h2: 128 bits of a piece's content, by which another read finds it again wherever its blocks are cut."""
+    return F.xxhash64("value").alias("h1"), F.xxhash64(F.lit(1), "value").alias("h2")
+
+
 def field(header: Column, name: str) -> Column:
     found = F.regexp_extract(header, f"(?mi)^{name}:[ \\t]*([^\\r\\n]*)", 1)
     return F.when(found != "", found)
@@ -81,7 +86,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     whole = F.octet_length("value") >= F.col("head") + F.col("length")
     payload = F.substring(F.col("value").cast("binary"), F.col("head") + 1, F.col("length").cast("int"))
     narrow = parsed.select(
-        "file", "block", "seq", "size", "head", "length", F.coalesce(whole, F.lit(False)).alias("whole"), F.when(whole, F.sha2(payload, 256)).alias("digest"),
+        "file", "block", "seq", "size", "head", "length", *content_key(), F.coalesce(whole, F.lit(False)).alias("whole"), F.when(whole, F.sha2(payload, 256)).alias("digest"),
         field(F.col("header"), "WARC-Type").alias("type"), field(F.col("header"), "WARC-Record-ID").alias("record_id"), field(F.col("header"), "WARC-Target-URI").alias("url"),
         field(F.col("header"), "WARC-Refers-To").alias("refers"), field(F.col("header"), "WARC-Payload-Digest").alias("declared"),
     )
@@ -109,11 +114,11 @@ def reachable(chain: DataFrame) -> DataFrame:
 
 
 def rejoined(spark: SparkSession, path: str, records: DataFrame, rows: DataFrame) -> DataFrame:
-    """file, off, digest of records whose payload holds magic: their pieces are read again and put together."""
+    """file, off, digest of records whose payload holds magic: their pieces are read again, found by content, and put together."""
     broken = records.where("not whole").select("file", "off", "next", "head", "length")
-    parts = broken.join(rows.select("file", "block", "seq", F.col("off").alias("at")), "file").where("at >= off and at < next")
-    text = pieces(spark, path).join(parts, ["file", "block", "seq"])
-    joined = text.groupBy("file", "off", "head", "length").agg(F.array_sort(F.collect_list(F.struct("at", F.col("value").cast("binary").alias("value")))).alias("p"))
+    parts = cut_lineage(broken.join(rows.select("file", F.col("off").alias("at"), "h1", "h2"), "file").where("at >= off and at < next"))
+    found = pieces(spark, path).select("value", *content_key()).join(parts.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+    joined = found.join(parts, ["h1", "h2"]).groupBy("file", "off", "head", "length").agg(F.array_sort(F.collect_list(F.struct("at", F.col("value").cast("binary").alias("value")))).alias("p"))
     data = F.expr(f"aggregate(p, cast('' AS binary), (a, x) -> CASE WHEN x.at = off THEN x.value ELSE concat(a, cast('{MAGIC[:8]}\\r\\n' AS binary), x.value) END)")
     return joined.select("file", "off", F.sha2(F.substring(data, F.col("head") + 1, F.col("length").cast("int")), 256).alias("digest"))
 

@@ -1,6 +1,7 @@
 import hashlib
 from collections import defaultdict
 
+from memspark.llm import warc
 from memspark.llm.common import shared_folder
 from memspark.llm.warc import read_archives, reachable, round_trip, write_archives
 
@@ -71,3 +72,23 @@ def test_pointer_jumping(spark):
 
 def test_empty(spark):
     assert round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_splits_that_move_between_the_reads(spark, monkeypatch):
+    rows, path = pages(), shared_folder(spark, "warc")
+    write_archives(spark.createDataFrame(rows, SCHEMA).coalesce(1), path)
+    key, again = "spark.sql.files.maxPartitionBytes", warc.rejoined
+    before = spark.conf.get(key)
+
+    def moved(*given):
+        spark.conf.set(key, "1700")
+        return again(*given)
+
+    monkeypatch.setattr(warc, "rejoined", moved)
+    try:
+        spark.conf.set(key, "50000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert result(read_archives(spark, path)) == expected(rows)
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
