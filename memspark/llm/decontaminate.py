@@ -4,8 +4,8 @@ Each task gathers its documents into shards of bounded size, indexes a shard's w
 order, Burrows-Wheeler transform, wavelet-matrix ranks, sampled suffix positions), searches all
 test phrases backwards at once, locates their occurrences and merges them to removal spans.
 
-The test phrases travel to the tasks in blocks of bounded size; with more than one block the
-documents pass through one narrow map step per block. Nothing is shuffled.
+The test phrases travel to the tasks in blocks of bounded size, one of which is unpacked at a time. A report
+passes through one narrow map step per block, cutting through one step that repeats until no block hits. Nothing is shuffled.
 
 Two exact reductions keep the index small: words outside the phrases' vocabulary become one
 separator symbol, and runs of vocabulary words shorter than the shortest phrase are left out,
@@ -296,32 +296,29 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     schema = out.schema
     blocks = phrase_blocks(benchmark, window, block_bytes)
 
-    def run_block(block):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            phrases = pickle.loads(block.value)
-            for batch_rows, words in shards_with_schema(batches):
-                layout, rows = batch_rows
-                todo = {k: spans for k, (spans, _) in enumerate(phrases.occurrences(words)) if spans}
-                gone = set()
-                while todo:
-                    for k, spans in todo.items():
-                        data = rows[k]["text"].encode("utf-8", "surrogatepass")
-                        rows[k]["text"] = cut_spans(data, byte_spans(data, spans)).decode("utf-8", "surrogatepass")
-                        rows[k]["n_chars"] = len(rows[k]["text"])
-                        words[k] = fold_words(rows[k]["text"])
-                        if not words[k]:
-                            gone.add(k)
-                    again = [k for k in todo if k not in gone]
-                    todo = {k: spans for k, (spans, _) in zip(again, phrases.occurrences([words[k] for k in again]), strict=True) if spans}
-                rows = [r for k, r in enumerate(rows) if k not in gone]
-                for k in range(0, len(rows), 500):
-                    yield pa.RecordBatch.from_pylist(rows[k : k + 500], schema=layout)
-
-        return run
-
-    for block in [*blocks, *(blocks if len(blocks) > 1 else [])]:  # a second pass for phrases that other blocks' cuts bring together
-        out = out.mapInArrow(run_block(block), schema)
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (layout, rows), words in shards_with_schema(batches):
+            todo, gone = list(range(len(rows))), set()
+            while todo:  # all blocks see one text, then it is cut; so the blocks' size changes nothing
+                spans: dict[int, list[tuple[int, int]]] = {}
+                for block in blocks:
+                    phrases = pickle.loads(block.value)
+                    for k, (found, _) in zip(todo, phrases.occurrences([words[k] for k in todo]), strict=True):
+                        if found:
+                            spans[k] = merge_spans([*spans.get(k, ()), *found])
+                for k, found in spans.items():
+                    data = rows[k]["text"].encode("utf-8", "surrogatepass")
+                    rows[k]["text"] = cut_spans(data, byte_spans(data, found)).decode("utf-8", "surrogatepass")
+                    rows[k]["n_chars"] = len(rows[k]["text"])
+                    words[k] = fold_words(rows[k]["text"])
+                    if not words[k]:
+                        gone.add(k)
+                todo = [k for k in spans if k not in gone]
+            rows = [r for k, r in enumerate(rows) if k not in gone]
+            for k in range(0, len(rows), 500):
+                yield pa.RecordBatch.from_pylist(rows[k : k + 500], schema=layout)
+
+    return out.mapInArrow(run, schema)
 
 
 def shards_with_schema(batches: Iterator[pa.RecordBatch]):

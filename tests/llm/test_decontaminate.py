@@ -106,3 +106,13 @@ def test_long_text_makes_its_own_shard():
     words = [fold_words("p q r s t u v w x y z " * 30000), fold_words("p q r s t u v w x y")]
     out = phrases.occurrences(words)
     assert out[0][1] == [1] and sum(e - s for s, e in out[0][0]) == 330000 and out[1] == ([(0, 10)], [1])
+
+
+def test_cutting_ends_with_no_phrase_whatever_the_blocks(spark):
+    inner, outer = [f"i{k}" for k in range(10)], [f"o{k}" for k in range(10)]
+    nested = outer[:5] + inner[:5] + [f"n{k}" for k in range(10)] + inner[5:] + outer[5:]
+    bench = spark.createDataFrame([(1, " ".join(inner)), (2, " ".join(outer)), (3, " ".join(f"n{k}" for k in range(10))), (4, " ".join(inner[4:] + outer[:4]))], "item_id bigint, text string")
+    rows = [(1, " ".join(["keep", *nested, "this"])), (2, " ".join(inner + outer)), (3, " ".join(nested)), (4, None), (5, "clean text")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    results = [sorted((r.doc_id, r.text) for r in decontaminate(docs, bench, block_bytes=size).collect()) for size in (1, 100, 8_000_000)]
+    assert results[0] == results[1] == results[2] == [(1, "keep\nthis"), (4, None), (5, "clean text")]
