@@ -8,7 +8,7 @@ pass, and the regex library's bounded-error matching verifies the window around
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import ahocorasick
 import regex
@@ -46,12 +46,12 @@ class Notices:
     """Seeds and verifying patterns of a set of notices."""
 
     def __init__(self, notices: dict[str, str] = NOTICES, chars_per_edit: int = CHARS_PER_EDIT, most: int = MOST_EDITS):
-        self.notices = notices
+        self.notices, self.given = notices, (notices, chars_per_edit, most)
         self.edits = {n: min(most, len(n) // chars_per_edit) for n in notices}
         self.automaton = None
 
     def __reduce__(self):
-        return Notices, (self.notices,)
+        return Notices, self.given
 
     def seeds(self, notice: str) -> list[tuple[int, str]]:
         """(place in the notice, seed), one more than its edits."""
@@ -74,28 +74,15 @@ class Notices:
         """(start, end, notice, edits) of the copies in a text of folded words joined by single spaces. Of overlapping copies the one with the fewest edits counts, of those the longest."""
         if self.automaton is None:
             self.build()
-        windows: dict[str, list[list[int]]] = {}
+        windows: set[tuple[str, int]] = set()  # a seed's own window: a copy lies at most its edits off; an unchanged copy's seeds have one
         for last, (size, where) in self.automaton.iter(text):
-            for notice, at in where:
-                k = self.edits[notice]
-                low = last + 1 - size - at - k
-                spans = windows.setdefault(notice, [])
-                high = low + len(notice) + 2 * k
-                if spans and low <= spans[-1][1]:
-                    spans[-1][1], spans[-1][0] = max(spans[-1][1], high), min(spans[-1][0], low)
-                else:
-                    spans.append([low, high])
-        out = []
-        for notice, spans in windows.items():
-            for low, high in spans:
-                parts = [(max(0, low), min(len(text), high))]
-                while parts:  # a search gives the best copy of its part; others may stand on both sides of it
-                    at, stop = parts.pop()
-                    m = self.patterns[notice].search(text, at, stop)
-                    if not m or m.end() <= m.start():
-                        continue
-                    out.append((m.start(), m.end(), notice, sum(m.fuzzy_counts)))
-                    parts += [(at, m.start()), (m.end(), stop)]
+            windows.update((notice, last + 1 - size - at) for notice, at in where)
+        out = set()
+        for notice, start in windows:
+            k = self.edits[notice]
+            m = self.patterns[notice].search(text, max(0, start - k), min(len(text), start + len(notice) + 2 * k))
+            if m and m.end() > m.start():
+                out.add((m.start(), m.end(), notice, sum(m.fuzzy_counts)))
         kept: list[tuple[int, int, str, int]] = []
         for one in sorted(out, key=lambda x: (x[3], x[0] - x[1], x[0], x[2])):
             k = bisect_right(kept, one)
@@ -109,9 +96,10 @@ def base_places(folded: bytes) -> list[tuple[int, str]]:
     out = []
     for phrase, label in BASE.items():
         wanted = b" " + phrase.encode() + b" "
-        at = folded.find(wanted)
+        at, word, counted = folded.find(wanted), 0, 0
         while at >= 0:
-            out.append((folded.count(b" ", 0, at), label))
+            word, counted = word + folded.count(b" ", counted, at), at
+            out.append((word, label))
             at = folded.find(wanted, at + 1)
     return out
 
@@ -130,8 +118,9 @@ def scan(text: str | None, notices: Notices) -> dict:
     spans = []
     if found:
         places = places_of_words(text)
+        gaps = [m.start() for m in re.finditer(" ", plain)]
         for start, end, notice, edits in found:
-            first, last = plain.count(" ", 0, start + 1), plain.count(" ", 0, max(start, end - 1))
+            first, last = bisect_right(gaps, start), bisect_left(gaps, max(start, end - 1))
             spans.append({"label": notices.notices[notice], "notice": notice, "edits": edits, "start": places[first][0], "end": places[last][1]})
     labels = {label for _, label in base}
     starts = [at for at, _ in base]

@@ -71,3 +71,50 @@ def test_copies_left_of_the_best_one_are_found():
     text = "mozila public license mozilla public license mozilla publik license"
     found = Notices().find(text)
     assert [(e, n) for _, _, n, e in found] == [(1, "mozilla public license"), (0, "mozilla public license"), (1, "mozilla public license")]
+
+
+def test_every_one_of_adjacent_copies_is_found():
+    rng, known = random.Random(6), Notices()
+    for notice in NOTICES:
+        for _ in range(12):
+            text, places = "", []
+            for _ in range(rng.randint(2, 5)):
+                x = list(notice)
+                for _ in range(rng.randint(0, known.edits[notice])):
+                    i = rng.randrange(2, len(x) - 2)
+                    x[i : i + rng.randint(0, 1)] = rng.choice(["", "q", "z"])
+                text += (" " if text else "") + "".join(x)
+                places.append((len(text) - len(x), len(text)))
+            found = [f for f in known.find(text) if f[2] == notice]
+            for s, e in places:
+                assert any(min(e, b) - max(s, a) > (e - s) / 2 for a, b, *_ in found), (text, found)
+
+
+def test_found_copies_equal_a_scan_of_all_windows():
+    rng, known = random.Random(9), Notices({"alpha beta gamma delta": "x", "one two three four five six": "y"})
+    pool = "alpha beta gama gamma delta delt one two thre three four five sixx six".split()
+    for _ in range(40):
+        text = " ".join(rng.choice(pool) for _ in range(40))
+        spans = {(n, a) for n, k in known.edits.items() for a in range(len(text)) for b in range(a + len(n) - k, min(len(text), a + len(n) + k) + 1) if edits(n, text[a:b]) <= k}
+        found = known.find(text)
+        for n, a in spans:  # no copy is left that overlaps none of those found
+            assert any(s < a + len(n) and e > a for s, e, *_ in found), (text, n, a)
+
+
+def test_parameters_survive_pickling():
+    import pickle
+
+    known = pickle.loads(pickle.dumps(Notices({"one two three four": "x"}, chars_per_edit=6, most=2)))
+    assert known.edits == {"one two three four": 2} and known.find("on two thre four")[0][3] == 2
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    known, took = Notices(), []
+    for n in (4000, 16000):
+        began = time.perf_counter()
+        r = scan("relased under the mit license, mozila public license " * n, known)
+        took.append(time.perf_counter() - began)
+        assert r["n_base"] == n and len(r["spans"]) == 2 * n
+    assert took[1] < 8 * took[0]
