@@ -98,12 +98,13 @@ def featurise(rows: DataFrame, weights: Weights, keep: str) -> DataFrame:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, text, toxic, fold (0 or 1), calibrate of at most `limit` labelled rows outside the held-out part."""
+    """doc_id, text, toxic, fold (0 or 1), calibrate of at most `limit` labelled ids outside the held-out part; one text for an id."""
     usable = labels.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col("toxic").cast("double").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     usable = usable.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # at most `limit` narrow rows, so they are broadcast
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(8))
     rows = documents.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("turn"), "text")).alias("one"), F.max("toxic").alias("toxic")).select("doc_id", "one.text", "toxic")
     return rows.withColumns({"fold": (part % 2).cast("int"), "calibrate": part >= 6})
 
 
@@ -177,7 +178,7 @@ def toxicity_report(documents: DataFrame, labels: DataFrame, threshold: float =
     """doc_id, held_out, score, predicted of every row.
 
     Scores depend on the text alone; null and empty texts score as texts of no words. Labels of null, unknown or
-    held-out ids are not used; of several labels for an id the toxic one counts. Without labelled rows of both
+    held-out ids are not used; of several labels for an id the toxic one counts, and of several texts one is learned from. Without labelled rows of both
     classes every score is the share of toxic rows among them (0 if there are none). Rows with a null doc_id are
     not held out. Repeated rows are scored each; other columns are not read.
     """

@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from memspark.llm.toxicity import FEATURES, Weights, dense_features, drop_toxic, toxicity_report
+from memspark.llm.toxicity import FEATURES, Weights, dense_features, drop_toxic, toxicity_report, training_rows
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string"
 BAD = {"en": ["idiot", "scum"], "de": ["lowei" + x for x in ("en", "er", "haft", "ung")]}
@@ -70,3 +70,10 @@ def test_features():
     f = dict(zip(FEATURES, dense_features("You IDIOT, 1d1ot and lowerung!", w), strict=True))
     assert f["top_weight"] == 3.0 and f["near_you"] > 0 and f["obfuscated_rate"] > 0 and f["obfuscated_hit_rate"] > 0 and f["capital_rate"] > 0 and f["exclaim_rate"] > 0
     assert len(dense_features(None, w)) == len(FEATURES) and not any(dense_features("", w))
+
+
+def test_repeated_documents_stay_within_the_limit(spark):
+    docs, labels, _ = corpus(200)
+    df = spark.createDataFrame(docs, SCHEMA).crossJoin(spark.range(20)).drop("id")
+    rows = training_rows(df, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), 10).collect()
+    assert len(rows) == 10 == len({r.doc_id for r in rows}) and all(r.text == docs[r.doc_id][1] for r in rows)
