@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import cut_lineage
+
 SPACE = r"[\x20\x09-\x0D]"
 #: At most this share of good documents may be rejected per stratum, save with probability DELTA.
 ALPHA, DELTA = 0.05, 0.05
@@ -90,10 +92,12 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 def certified_cutoffs(rates: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per stratum with labelled rows: stratum, and for each rule its certified cutoff or null.
 
-    A rule also needs to reject a larger share of bad documents than of good ones, else it is switched off.
+    A document that stands several times is one draw with its highest rates (and its first stratum by name); of several labels a
+    bad one counts. A rule also needs to reject a larger share of bad documents than of good ones, else it is switched off.
     """
-    quality = labels.select("doc_id", F.col("quality").alias("good")).where("doc_id is not null and good in (0, 1)")
-    held = rates.select("doc_id", "stratum", *RULES).join(quality, "doc_id")
+    quality = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("good"))
+    once = rates.where("doc_id is not null").groupBy("doc_id").agg(F.min("stratum").alias("stratum"), *(F.max(r).alias(r) for r in RULES))
+    held = once.join(quality, "doc_id")  # a document is one draw, however often it or its label stands
     grid = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(k).alias("step"), F.lit(t).alias("cutoff"), (F.col(r) > t).alias("out")) for r, ts in RULES.items() for k, t in enumerate(ts))))
     flat = held.select("stratum", "good", grid.alias("g")).select("stratum", "good", "g.*")
     good, out = F.col("good") == 1, F.col("out")
@@ -114,8 +118,9 @@ def quality_report(documents: DataFrame, labels: DataFrame, alpha: float = ALPHA
     stratum fires. Without labelled rows nothing is certified and only the base rule rejects. Repeated rows are
     judged each; a null lang is in the stratum "other"; other columns are not read.
     """
-    cuts = certified_cutoffs(cheap_rates(documents), labels, alpha, delta)  # at most len(STRATA) + 1 rows
-    rows = cheap_rates(documents, repeats=True).join(F.broadcast(cuts), "stratum", "left")
+    rates = cut_lineage(cheap_rates(documents, repeats=True))  # numbers only, so texts are read once
+    cuts = certified_cutoffs(rates, labels, alpha, delta)  # at most len(STRATA) + 1 rows
+    rows = rates.join(F.broadcast(cuts), "stratum", "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     fires = [F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False)) for r in RULES]
     rejected = fires[0]
@@ -140,7 +145,8 @@ b AS (SELECT w.id, doc_id, stratum, len(ws) AS n_words, length(array_to_string(w
  len(ls) AS n_lines, length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS n_capitals, length(text) - length(replace(text, '!', '')) AS n_exclaim FROM w LEFT JOIN r ON w.id = r.id),
 x AS (SELECT id, stratum, doc_id, unnest({list(rates)}) AS rule, unnest([{", ".join(f"coalesce({v.replace(' n_words', ' nullif(n_words, 0)')}, 0.0)" for v in rates.values())}]) AS rate FROM b),
 c AS (SELECT stratum, x.rule, step, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND rate > cutoff) AS k, count(*) FILTER (quality = 0) AS bad, count(*) FILTER (quality = 0 AND rate > cutoff) AS bad_out
- FROM x JOIN labels USING (doc_id) JOIN (VALUES {grid}) AS t(rule, step, cutoff) ON x.rule = t.rule WHERE quality IN (0, 1) GROUP BY ALL),
+ FROM (SELECT doc_id, rule, min(stratum) AS stratum, max(rate) AS rate FROM x GROUP BY ALL) x JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY ALL) USING (doc_id)
+ JOIN (VALUES {grid}) AS t(rule, step, cutoff) ON x.rule = t.rule GROUP BY ALL),
 o AS (SELECT *, CASE WHEN k >= n * {p}::DOUBLE THEN 1.0 ELSE {tail} END <= {share}::DOUBLE AS passes FROM c),
 s AS (SELECT *, bool_and(passes) OVER (PARTITION BY stratum, rule ORDER BY step) AS so_far FROM o),
 z AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM s WHERE so_far AND bad_out * n > bad * k GROUP BY ALL),

@@ -3,9 +3,10 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
-from memspark.llm.quality import ALPHA, DELTA, RULES, STRATA, binomial_tail, certified_cutoffs, cheap_rates, quality_report
+from memspark.llm.quality import ALPHA, DELTA, RULES, STRATA, binomial_tail, certified_cutoffs, cheap_rates, quality_report, report_sql
 
 SCHEMA = "doc_id bigint, text string, lang string, n_words string"
 
@@ -98,3 +99,25 @@ def test_empty_and_repeated(spark):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert quality_report(spark.createDataFrame([], SCHEMA), labels).count() == 0
     assert quality_report(spark.createDataFrame([(1, "a", "en", ""), (1, "a", "en", ""), (None, None, None, None)], SCHEMA), labels).count() == 3
+
+
+def test_equals_sql_where_cutoffs_are_certified(spark):
+    """The method rejects rows here, repeated labels and documents included, and SQL rejects the same."""
+    docs, labels, data, _ = labelled(spark)
+    docs = docs.unionByName(docs.where("doc_id % 9 = 0"))
+    labels = labels.unionByName(labels.where("doc_id % 4 = 0")).unionByName(labels.where("doc_id % 50 = 0").selectExpr("doc_id", "1 - quality AS quality", "toxic"))
+    got = quality_report(docs, labels).toPandas()
+    c = duckdb.connect()
+    c.register("documents", docs.toPandas())
+    c.register("labels", labels.toPandas())
+    want = c.execute(report_sql()).df()
+    key = ["doc_id", "kept", "base_failed", "n_words", "n_symbols", "n_repeat_words", "stratum"]
+    assert sorted(map(tuple, got[key].values.tolist())) == sorted(map(tuple, want[key].values.tolist()))
+    assert (~got.kept & ~got.base_failed).sum() > 100
+
+
+def test_repeated_labels_and_documents_are_one_draw(spark):
+    docs, labels, _, _ = labelled(spark, 60)
+    many = spark.range(40)
+    cuts = certified_cutoffs(cheap_rates(docs.crossJoin(many).drop("id")), labels.crossJoin(many).drop("id")).collect()
+    assert all(getattr(r, f"cut_{rule}") is None for r in cuts for rule in RULES)
