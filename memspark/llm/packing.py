@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rows import exploded
-from .common import ascii_lower
+from .common import ascii_lower, cut_lineage
 
 CAPACITY = 2048
 #: Expected pieces of a shard; a shard is packed in one task's memory.
@@ -102,11 +102,12 @@ def pack_shard(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return pieces
 
 
-def cut_pieces(documents: DataFrame, capacity: int) -> DataFrame:
+def cut_pieces(documents: DataFrame, capacity: int, cluster: str | None = None) -> DataFrame:
     """doc_id, source, c1, c2, piece, start, n_words: consecutive runs of at most `capacity` words of each text."""
     words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
-    key = ascii_lower(F.array_join("w", " "))
-    rows = documents.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), words.alias("w"))
+    named = F.lit(None).cast("string") if cluster is None else F.concat(F.lit("\n"), F.col(cluster).cast("string"))
+    key = F.coalesce("named", ascii_lower(F.array_join("w", " ")))
+    rows = documents.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), words.alias("w"), named.alias("named"))
     rows = rows.select("doc_id", "source", F.size("w").alias("n"), key.alias("key")).select("doc_id", "source", "n", F.xxhash64("key").alias("c1"), F.xxhash64(F.lit(1), "key").alias("c2"))
     last = F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0))
     cut = exploded(rows, rows.columns, F.sequence(F.lit(0).cast("bigint"), last), "_pos", "piece")
@@ -114,19 +115,19 @@ def cut_pieces(documents: DataFrame, capacity: int) -> DataFrame:
     return cut.select("doc_id", "source", "c1", "c2", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(capacity)).alias("n_words"))
 
 
-def pack(documents: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def pack(documents: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, cluster: str | None = None) -> DataFrame:
     """One row per piece: shard, bin (within the shard), slot, doc_id, piece, start (word), n_words, source.
 
-    Pieces of a bin hold at most `capacity` words together; no two share a source or a duplicate cluster (equal
-    words, A-Z lower-cased). A text longer than `capacity` words is cut to consecutive pieces, so all pieces
-    together are the whole corpus. Null and empty texts are one piece of no words; a null source is a source of
+    Pieces of a bin hold at most `capacity` words together; no two share a source or a duplicate cluster: the value of the
+    column `cluster`, or, where none is named or it is null, texts of equal words (A-Z lower-cased). A text longer than
+    `capacity` words is cut to consecutive pieces, so all pieces together are the whole corpus. Null and empty texts are one piece of no words; a null source is a source of
     its own; repeated rows and rows without a doc_id are packed like others. Other columns are not read.
     """
-    pieces = cut_pieces(documents, capacity)
-    words = F.size(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"))
-    total = documents.select(F.ceil(words / capacity).alias("k")).agg(F.sum("k")).first()[0] or 0
-    shards = 1 + int(total) // shard_pieces
-    rows = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "c1", "c2", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), F.lit(shards)))
+    pieces = cut_lineage(cut_pieces(documents, capacity, cluster).withColumn("k", F.xxhash64("doc_id", "piece", "c1", "c2")))
+    many = pieces.count()
+    often = pieces.groupBy("k").count().where(F.col("count") > max(1000, many // 1000)).select("k", F.lit(True).alias("often"))  # at most 1,000 rows
+    turn = F.when(F.col("often"), F.monotonically_increasing_id())  # equal rows are alike, so any dealing will do
+    rows = pieces.join(F.broadcast(often), "k", "left").withColumn("shard", F.pmod(F.xxhash64("k", turn), F.lit(1 + many // shard_pieces))).drop("k", "often")
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         return pack_shard(batch, capacity)[["shard", "bin", "slot", "doc_id", "piece", "start", "n_words", "source"]]

@@ -73,3 +73,18 @@ def test_whole_corpus_is_packed(spark):
 
 def test_empty(spark):
     assert pack(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_equal_rows_are_dealt_to_many_shards(spark):
+    docs = spark.range(12000).selectExpr("7 AS doc_id", "'same words' AS text", "'s' AS source").unionByName(spark.range(100).selectExpr("id AS doc_id", "concat('w', id) AS text", "'t' AS source"))
+    got = pack(docs, shard_pieces=512).toPandas()
+    sizes = got.groupby("shard").size()
+    assert len(got) == 12100 and len(sizes) > 20 and sizes.max() < 1024
+
+
+def test_named_clusters_never_share_a_bin(spark):
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('a b c ', id) AS text", "concat('s', id) AS source", "if(id % 3 = 0, null, id % 5) AS near")
+    got = pack(docs, capacity=64, cluster="near").toPandas()
+    got["near"] = got["doc_id"] % 5
+    got = got[got.doc_id % 3 != 0]
+    assert not got.duplicated(["shard", "bin", "near"]).any() and got.groupby("bin").size().max() > 1
