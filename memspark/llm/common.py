@@ -54,20 +54,17 @@ def row_key(df: DataFrame, name: str = "doc_id") -> DataFrame:
     return df.withColumns({"k1": F.xxhash64(name, text), "k2": F.xxhash64(F.lit(1), text, name)})
 
 
-def joined_by_count(rows: DataFrame, facts: DataFrame, key: str | tuple[str, str], many: int) -> DataFrame:
+def joined_by_count(rows: DataFrame, facts: DataFrame, keys: str | list[str], many: int) -> DataFrame:
     """rows joined with facts, which has one row per key and n, the number of rows with that key.
 
     Keys of over a thousandth of the rows (`many` at most) are joined by a broadcast of at most 1,000 facts, so that a key with a
     third of all rows meets in no single task; the others are joined by the key. n is dropped. Both tables should be materialised.
     """
-    left, right = key if isinstance(key, tuple) else (key, key)
-    least = max(1000, many // 1000)
-    facts = facts.withColumnRenamed(right, "_key")
+    keys, least = [keys] if isinstance(keys, str) else keys, max(1000, many // 1000)
     hot, rest = facts.where(F.col("n") > least).drop("n"), facts.where(F.col("n") <= least).drop("n")
-    rows = rows.withColumnRenamed(left, "_key")
-    often = rows.join(F.broadcast(hot), "_key")
-    seldom = rows.join(F.broadcast(hot.select("_key")), "_key", "left_anti").join(rest, "_key")
-    return often.unionByName(seldom).withColumnRenamed("_key", left)
+    often = rows.join(F.broadcast(hot), keys)
+    seldom = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys)
+    return often.unionByName(seldom)
 
 
 def fold_words(text: str | None) -> list[bytes]:

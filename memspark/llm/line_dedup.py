@@ -2,7 +2,8 @@
 
 Every line hash gets a HyperLogLog sketch of the sites it stands on; the sketches merge by
 aggregation, so a line on a third of all pages costs one row per map task. Estimates far from the
-threshold decide at once; lines near it get an exact count of distinct sites. DataFrame functions only.
+threshold decide at once; lines near it get an exact count of distinct sites. Texts are split once to narrow rows of hashes. Lines
+that hold over a thousandth of all rows meet their boilerplate row by a broadcast of at most 1,000 rows. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -11,11 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rows import exploded
+from .common import cut_lineage, joined_by_count, row_key
 
 #: Sites on which a line must stand to be boilerplate.
 MIN_SITES = 6
-#: Parts to which the rows of every line are dealt where lines meet boilerplate; the few boilerplate rows are repeated for each.
-SALT = 16
 #: Sketch size (2^10 registers: 3 % standard error) and the share of the threshold that counts as near it.
 LG_K, BAND = 10, 0.25
 BLANK = " \t\r"
@@ -23,11 +23,6 @@ BLANK = " \t\r"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def row_key(df: DataFrame) -> DataFrame:
-    """k1, k2: 128 bits of (doc_id, text). Equal rows share them, and share every decision."""
-    return df.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit(1), "text", "doc_id")})
-
-
 def line_rows(documents: DataFrame) -> DataFrame:
     """k1, k2, site, at (doc_id, position), h1, h2 of every line that isn't blank."""
     rows = row_key(documents.select("doc_id", "text", F.coalesce("source", F.lit("")).alias("site")))
@@ -36,23 +31,16 @@ def line_rows(documents: DataFrame) -> DataFrame:
     return lines.select("k1", "k2", "site", F.struct("doc_id", "pos").alias("at"), line.alias("line")).where("line <> ''").select("k1", "k2", "site", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def salted(small: DataFrame) -> DataFrame:
-    """small (h1, h2, ...) once per part."""
-    return small.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
-
-
-def dealt(lines: DataFrame) -> DataFrame:
-    """lines with the part of their document, so that no line's rows meet in one task."""
-    return lines.withColumn("part", F.pmod("k1", F.lit(SALT).cast("bigint")))
-
-
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """h1, h2 and first (the smallest place) of lines that stand on at least min_sites distinct sites."""
-    spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.min("at").alias("first"))
+def boilerplate(lines: DataFrame, many: int, min_sites: int = MIN_SITES) -> DataFrame:
+    """h1, h2, first (the smallest place) and n (places) of lines that stand on at least min_sites distinct sites."""
     low, high = min_sites * (1 - BAND), min_sites * (1 + BAND)
-    near = spread.where((F.col("sites") >= low) & (F.col("sites") < high))
-    exact = dealt(lines).join(salted(near.select("h1", "h2")), ["h1", "h2", "part"], "left_semi").groupBy("h1", "h2").agg(F.countDistinct("site").alias("n"), F.min("at").alias("first")).where(F.col("n") >= min_sites)
-    return spread.where(F.col("sites") >= high).select("h1", "h2", "first").unionByName(exact.select("h1", "h2", "first"))
+    sites = F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K)))
+    spread = lines.groupBy("h1", "h2").agg(sites.alias("sites"), F.min("at").alias("first"), F.count("*").alias("n"))
+    spread = cut_lineage(spread.where(F.col("sites") >= low))
+    near = spread.where(F.col("sites") < high).select("h1", "h2", "n")
+    exact = joined_by_count(lines, near, ["h1", "h2"], many).groupBy("h1", "h2").agg(F.countDistinct("site").alias("exact")).where(F.col("exact") >= min_sites)
+    decided = spread.where(F.col("sites") >= high).unionByName(spread.join(exact.select("h1", "h2"), ["h1", "h2"], "left_semi"))
+    return cut_lineage(decided.select("h1", "h2", "first", "n"))
 
 
 def split_lines(text: Column) -> Column:
@@ -66,10 +54,15 @@ def mark_lines(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     without blanks at their ends; blank lines always stay. Of a boilerplate line the occurrence with the smallest
     (doc_id, position) stays, all others go. Null texts have no lines; equal rows are treated equally.
     """
-    lines = line_rows(documents)
-    out = dealt(lines).join(salted(boilerplate(lines, min_sites)), ["h1", "h2", "part"]).where(F.col("at") != F.col("first"))
-    gone = out.groupBy("k1", "k2").agg(F.collect_set("at.pos").alias("gone"))
-    marked = row_key(documents.select(*COLUMNS)).join(gone, ["k1", "k2"], "left").withColumn("lines", split_lines(F.col("text")))
+    lines = cut_lineage(line_rows(documents))
+    many = lines.count()
+    out = joined_by_count(lines, boilerplate(lines, many, min_sites), ["h1", "h2"], many).where(F.col("at") != F.col("first"))
+    gone = cut_lineage(out.groupBy("k1", "k2").agg(F.collect_set("at.pos").alias("gone"), F.count("*").alias("n")).withColumn("n", F.col("n") / F.size("gone")))
+    keyed = row_key(documents.select(*COLUMNS))
+    hot = gone.where(F.col("n") > max(1000, many // 1000)).drop("n")  # equal rows, at most 1,000 of them distinct
+    often = keyed.join(F.broadcast(hot), ["k1", "k2"])
+    seldom = keyed.join(F.broadcast(hot.select("k1", "k2")), ["k1", "k2"], "left_anti").join(gone.where(F.col("n") <= max(1000, many // 1000)).drop("n"), ["k1", "k2"], "left")
+    marked = (seldom if hot.isEmpty() else seldom.unionByName(often)).withColumn("lines", split_lines(F.col("text")))
     every = F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(F.array().cast("array<int>"))
     return marked.withColumn("kept", F.when(F.col("gone").isNull(), every).otherwise(F.array_except(every, "gone"))).select(*COLUMNS, "lines", "kept")
 

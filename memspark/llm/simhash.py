@@ -171,9 +171,9 @@ def near_duplicates(documents: DataFrame, distance: int = DISTANCE, shingle: int
     prints = cut_lineage(fingerprints(documents, shingle))
     groups = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     rooted = cut_lineage(with_root(groups, links(groups.select("fp"), distance), "fp"))
-    ids = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("prints"))
-    found = joined_by_count(rooted.drop("low"), ids.withColumnRenamed("prints", "n").withColumnRenamed("root", "of"), ("root", "of"), rooted.count())
-    found = cut_lineage(found.select("fp", "component_id", "n"))
+    ids = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    found = joined_by_count(rooted.select("fp", "root", F.col("n").alias("rows")), cut_lineage(ids), "root", rooted.count())
+    found = cut_lineage(found.select("fp", "component_id", F.col("rows").alias("n")))
     return joined_by_count(prints, found, "fp", prints.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

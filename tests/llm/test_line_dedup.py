@@ -71,3 +71,12 @@ def test_texts_after_removal(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert line_report(empty).count() == 0 and dedup_lines(empty).count() == 0
+
+
+def test_hot_lines_and_equal_rows(spark):
+    """A line on all rows and one row that makes up half of the table take the broadcast way."""
+    data = [(k, f"own {k}\nshared by all", "en", f"s{k % 20}", 0) for k in range(1500)] + [(5000, "shared by all\nmore text", "en", "s1", 0)] * 1500
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {(r.doc_id, r.text) for r in dedup_lines(docs).collect()}
+    assert dedup_lines(docs).count() == 3000
+    assert got == {(0, "own 0\nshared by all"), (5000, "more text")} | {(k, f"own {k}") for k in range(1, 1500)}
