@@ -12,13 +12,13 @@ import hashlib
 import random
 import re
 from bisect import bisect_right
-from functools import lru_cache
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, small_batches
+from .common import arrow_rows, shared_folder, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of the field, in the order of reports: the patterns' kinds, then its own.
@@ -34,10 +34,11 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
 
-TOKEN = re.compile(r"[A-Za-z0-9]{16,}|[^\W\d_]+|[0-9]+|\S")
-ANCHOR = re.compile(r"[0-9@=]|\b(?:at|dot|token|secret|password|key)\b")
+#: Prefixed keys and signed tokens, long runs, words, numbers, single signs.
+TOKEN = re.compile(r"(?:[A-Za-z]{2,12}[_-]){1,3}(?=[A-Za-z]{0,40}[0-9])[A-Za-z0-9]{8,}|eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{8,}){1,2}|[A-Za-z0-9]{16,}|[^\W\d_]+|[0-9]+|\S")
+ANCHOR = re.compile(r"[0-9@=]|\b(?:at|dot|token|secret|password|key|bearer)\b")
 #: Words that announce personal data.
-CUES = frozenset("token key secret password api tel phone call mobile fax email mail contact at dot com org net card visa ip host server".split())
+CUES = frozenset("token key secret password passwd pwd bearer api tel phone call mobile fax email mail contact at dot com org net card visa ip host server".split())
 
 
 def luhn(number: str) -> bool:
@@ -77,7 +78,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 # --- tokens and their shapes -------------------------------------------------------------------
 
-SHAPES = {s: i for i, s in enumerate(["edge", "word", "Word", "WORD", "wOrd", "x", *(f"d{k}" for k in range(1, 17)), "dlong", "mix", "hexlong", "mixlong", *(f"cue:{c}" for c in sorted(CUES)), *(f"p:{c}" for c in "@.=+()-_\"':;,/!?#$%&*|<>[]{}\\~^`"), "other"])}
+SHAPES = {s: i for i, s in enumerate(["edge", "word", "Word", "WORD", "wOrd", "x", *(f"d{k}" for k in range(1, 17)), "dlong", "mix", "hexlong", "mixlong", "keylong", *(f"cue:{c}" for c in sorted(CUES)), *(f"p:{c}" for c in "@.=+()-_\"':;,/!?#$%&*|<>[]{}\\~^`"), "other"])}
 
 
 def shape(token: str) -> int:
@@ -90,6 +91,8 @@ def shape(token: str) -> int:
         return SHAPES["x" if len(token) == 1 else "word" if token.islower() else "WORD" if token.isupper() else "Word" if token[1:].islower() else "wOrd"]
     if len(token) == 1:
         return SHAPES.get(f"p:{token}", SHAPES["other"])
+    if "-" in token or "_" in token or "." in token:
+        return SHAPES["keylong"]
     if len(token) >= 16:
         return SHAPES["hexlong" if all(c in "0123456789abcdef" for c in low) else "mixlong"]
     return SHAPES["mix"]
@@ -221,22 +224,48 @@ def train(examples: list[tuple[list[int], list[int], list[int]]], rounds: int =
 # --- the small labelled table -----------------------------------------------------------------------
 
 
-def labelled_sentences(count: int = 600, seed: int = 11) -> list[tuple[str, str]]:
-    """(kind or '', sentence with the span in ⟦ ⟧): made-up sentences of plain, shouted and junk words, half with personal data."""
-    rng = random.Random(seed)
+def forms(rng: random.Random) -> dict[str, dict[str, Callable[[], str]]]:
+    """kind -> name -> maker of a span; kind "" makes look-alikes that are no personal data. ⟦ ⟧ stand around the span where it has company."""
     word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwé") for _ in range(rng.randint(2, 9)))
-    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    group = lambda sep: sep.join(digits(4) for _ in range(4))
+    name = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(3, 8)))
+    digits = lambda *n: tuple("".join(rng.choice("0123456789") for _ in range(k)) for k in n)
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
-    letters = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz0123456789") for _ in range(n))
-    made = {
-        "email": [lambda: f"{word()}.{digits(2)}@mail{digits(1)}.example.com", lambda: f"{word()}@{word()}.org", lambda: f"{word()} at {word()} dot com", lambda: f"{word()}_{word()}@{word()}.net", lambda: f"{word()} (at) {word()} (dot) net"],
-        "ip": [lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4))],
-        "card": [lambda: digits(16), lambda: group(" "), lambda: group("-")],
-        "phone": [lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"+{digits(2)} {digits(3)} {digits(7)}", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"+{digits(2)}.{digits(3)}.{digits(3)}.{digits(3)}"],
-        "secret": [lambda: hexes(40), lambda: hexes(32), lambda: "AK" + letters(18).upper() + digits(2), lambda: letters(24) + digits(3)],
-    }
-    clean = [lambda: digits(4), lambda: f"version {digits(1)}.{digits(1)}", lambda: f"{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{digits(2)}%", lambda: f"{word()} = {digits(2)}", lambda: f"{digits(4)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"at the {word()}", lambda: f"key {word()}", lambda: f"{digits(3)} {word()}", lambda: f"${digits(3)}.{digits(2)}", lambda: f"({digits(4)})", lambda: f"{word()}{digits(2)}", lambda: f"{digits(3)},{digits(3)}", lambda: f"+ {digits(2)}", lambda: f"@{word()}"]
+    mixed = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz") for _ in range(n - 4)) + digits(4)[0]
+    says = lambda *words: rng.choice(words)
+    return {
+        "email": {
+            "plain": lambda: f"⟦{name()}@{name()}.org⟧", "dotted": lambda: f"⟦{name()}.{name()}@{name()}.co.uk⟧", "number": lambda: f"⟦{name()}{digits(2)[0]}@{name()}.example.com⟧", "under": lambda: f"⟦{name()}_{name()}@{name()}.net⟧",
+            "spelled": lambda: f"⟦{name()} at {name()} dot com⟧", "brackets": lambda: f"⟦{name()} (at) {name()} (dot) net⟧", "squares": lambda: f"⟦{name()} [at] {name()} [dot] com⟧", "spelled dots": lambda: f"⟦{name()} dot {name()} at {name()} dot org⟧",
+        },
+        "ip": {"plain": lambda: "⟦" + ".".join(str(rng.randint(0, 255)) for _ in range(4)) + "⟧"},
+        "card": {"run": lambda: f"⟦{digits(16)[0]}⟧", "spaces": lambda: "⟦" + " ".join(digits(4, 4, 4, 4)) + "⟧", "hyphens": lambda: "⟦" + "-".join(digits(4, 4, 4, 4)) + "⟧"},
+        "phone": {
+            "international": lambda: "⟦+{} {} {}⟧".format(*digits(2, 3, 7)), "brackets": lambda: "⟦({}) {}-{}⟧".format(*digits(3, 3, 4)), "hyphens": lambda: "⟦{}-{}-{}⟧".format(*digits(3, 3, 4)), "points": lambda: "⟦{}.{}.{}⟧".format(*digits(3, 3, 4)),
+            "called": lambda: says("tel", "call", "phone", "mobile", "fax") + says(" ", ": ") + "⟦0{} {} {}⟧".format(*digits(2, 4, 4)), "slash": lambda: says("tel", "phone") + says(" ", ": ") + "⟦0{}/{}⟧".format(*digits(3, 7)),
+            "long": lambda: "⟦+{}.{}.{}.{}⟧".format(*digits(2, 3, 3, 3)), "area": lambda: "⟦+1 ({}) {}-{}⟧".format(*digits(3, 3, 4)),
+        },
+        "secret": {
+            "hex": lambda: f"⟦{hexes(rng.choice((32, 40, 64)))}⟧", "mixed": lambda: f"⟦{mixed(rng.randint(20, 40))}⟧", "upper": lambda: f"⟦AK{mixed(18).upper()}⟧", "prefixed": lambda: f"⟦{says('sk', 'pk')}-{says('live', 'test', 'prod')}-{mixed(rng.randint(16, 28))}⟧",
+            "under": lambda: f"⟦{says('ghp', 'npm', 'xoxb', 'glpat')}_{mixed(rng.randint(20, 36))}⟧", "signed": lambda: f"⟦eyJ{mixed(20)}.{mixed(24)}.{mixed(30)}⟧",
+            "bearer": lambda: f"Bearer ⟦{mixed(rng.randint(24, 40))}⟧", "password": lambda: says("password", "passwd", "pwd") + says("=", ": ", " = ") + f"⟦{name()}{digits(3)[0]}{name()}⟧",
+        },
+        "": {
+            "year": lambda: digits(4)[0], "version": lambda: "version {}.{}".format(*digits(1, 1)), "points": lambda: "{}.{}.{}".format(*digits(1, 1, 2)), "percent": lambda: f"{digits(2)[0]}%", "sets": lambda: f"{word()} = {digits(2)[0]}",
+            "date": lambda: f"{digits(4)[0]}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", "time": lambda: "{}:{}".format(*digits(2, 2)), "at": lambda: f"at the {word()}", "key": lambda: f"key {word()}", "count": lambda: f"{digits(3)[0]} {word()}", "money": lambda: "${}.{}".format(*digits(3, 2)),
+            "bracket": lambda: f"({digits(4)[0]})", "numbered": lambda: f"{word()}{digits(2)[0]}", "thousands": lambda: "{},{}".format(*digits(3, 3)), "plus": lambda: f"+ {digits(2)[0]}", "handle": lambda: f"@{word()}", "millions": lambda: "{}.{}.{}".format(*digits(1, 3, 3)),
+            "long run": lambda: digits(rng.choice((17, 20, 24)))[0], "called": lambda: f"call {word()} {digits(1)[0]}", "dot": lambda: f"a dot at {word()}", "password": lambda: f"password {word()}", "compound": lambda: f"{name()}-{name()}-{digits(4)[0]}", "ids": lambda: "{} {} {}".format(*digits(3, 2, 2)),
+        },
+    }
+
+
+def labelled_sentences(count: int = 900, seed: int = 11, without: frozenset[tuple[str, str]] = frozenset(), only: tuple[str, str] | None = None) -> list[tuple[str, str]]:
+    """(kind or '', sentence with the span in ⟦ ⟧): made-up sentences of plain, shouted and junk words, half with personal data.
+
+    without: (kind, form) left out, so that recall can be measured on forms that the table lacks; only: that form alone.
+    """
+    rng = random.Random(seed)
+    made = {k: [f for n, f in by.items() if (k, n) not in without and only in (None, (k, n))] for k, by in forms(rng).items()}
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwé") for _ in range(rng.randint(2, 9)))
     out = []
     for k in range(count):
         style = rng.choice(["plain", "plain", "plain", "shout", "junk"])
@@ -244,15 +273,11 @@ def labelled_sentences(count: int = 600, seed: int = 11) -> list[tuple[str, str]
         left, right = ([filler() for _ in range(rng.randint(0, 7))] for _ in "ab")
         if left:
             left[0] = left[0].capitalize()
-        kind = rng.choice(ALL_KINDS) if k % 2 else ""
-        if kind:
-            body = f"⟦{rng.choice(made[kind])()}⟧"
-            if kind == "secret":
-                body = rng.choice(["token = \"{}\"", "key: {}", "password={}", "secret {}", "{}"]).format(body)
-            body += rng.choice(["", "", ".", ","])
-        else:
-            body = rng.choice(clean)()
-        out.append((kind, " ".join([*left, body, *right])))
+        kind = only[0] if only else rng.choice(ALL_KINDS) if k % 2 else ""
+        body = rng.choice(made[kind])()
+        if kind == "secret" and body.startswith("⟦"):
+            body = rng.choice(["token = \"{}\"", "key: {}", "api_key={}", "secret {}", "{}"]).format(body)
+        out.append((kind, " ".join([*left, body + (rng.choice(["", "", ".", ","]) if kind else ""), *right])))
     return out
 
 
@@ -266,14 +291,21 @@ def examples_of(kind: str, sentence: str) -> list[tuple[list[int], list[int], li
     return out
 
 
-@lru_cache(maxsize=1)
-def default_field() -> Field:
-    return train([x for r in labelled_sentences() for x in examples_of(*r)])
+def labelled_table(spark: SparkSession) -> DataFrame:
+    """The training table (kind, sentence), written to the shared folder and read from there."""
+    path = shared_folder(spark, "pii-labelled")
+    spark.createDataFrame(labelled_sentences(), "kind string, sentence string").coalesce(1).write.parquet(path)
+    return spark.read.parquet(path)
 
 
-def labelled_table(spark: SparkSession) -> DataFrame:
-    """The training table: kind, sentence."""
-    return spark.createDataFrame(labelled_sentences(), "kind string, sentence string")
+FITTED: list["Field"] = []
+
+
+def default_field(spark: SparkSession) -> Field:
+    """The field fitted to labelled_table, once for a driver."""
+    if not FITTED:
+        FITTED.append(fit_field(labelled_table(spark)))
+    return FITTED[0]
 
 
 def fit_field(labelled: DataFrame, limit: int = 5000) -> Field:
@@ -285,8 +317,10 @@ def fit_field(labelled: DataFrame, limit: int = 5000) -> Field:
 # --- the operator ---------------------------------------------------------------------------------
 
 
-def plausible(kind: str, text: str) -> bool:
-    """Whether a span of the field may count; numbers of the patterns' kinds must pass the same tests."""
+def plausible(kind: str, text: str, before: str = "", behind: str = "") -> bool:
+    """Whether a span of the field may count; numbers of the patterns' kinds must pass the same tests and be no part of a longer number."""
+    if kind in ("card", "phone") and (re.search(r"[0-9][\x20.-]?$", before) or re.match(r"[\x20.-]?[0-9]", behind)):
+        return False
     digits = re.sub(r"[^0-9]", "", text)
     if kind == "card":
         return 16 <= len(digits) <= 19 and luhn(digits)
@@ -296,7 +330,8 @@ def plausible(kind: str, text: str) -> bool:
         return 8 <= len(digits) <= 15
     if kind == "email":
         return re.search(r"@.*(?:\.|\bdot\b)|\bat\b.*\bdot\b", text) is not None
-    return len(text) >= 16 and text.isalnum() and bool(digits) and len(digits) < len(text)
+    named = re.search(r"(?:password|passwd|pwd|secret|token|key)[\"']?\s?[=:]\s?[\"']?$", before, re.I) is not None
+    return len(text) >= (8 if named else 16) and len(digits) >= (1 if named else 3) and len(digits) < len(text) and re.fullmatch(r"[A-Za-z0-9_.-]+", text) is not None
 
 
 def find_all(texts: list[str | None], field: Field) -> list[list[tuple[str, int, int, bool]]]:
@@ -322,7 +357,7 @@ def find_all(texts: list[str | None], field: Field) -> list[list[tuple[str, int,
             s, e = spans[first][0], spans[t - 1][1]
             k = bisect_right(taken[i], (s, s))
             clash = any(a < e and s < b for a, b in taken[i][max(0, k - 4) : k + 1])
-            if not clash and plausible(ALL_KINDS[kind], texts[i][s:e]):
+            if not clash and plausible(ALL_KINDS[kind], texts[i][s:e], texts[i][max(0, s - 20) : s], texts[i][e : e + 2]):
                 found[i].append((ALL_KINDS[kind], s, e, False))
     order = {k: n for n, k in enumerate(ALL_KINDS)}
     return [sorted(x, key=lambda y: (order[y[0]], y[1], y[2])) for x in found]
@@ -340,7 +375,7 @@ def find_pii(documents: DataFrame, field: Field | None = None) -> DataFrame:
     stay null; other columns are not read.
     """
     small_batches(documents.sparkSession)
-    model = field or default_field()
+    model = field or default_field(documents.sparkSession)
     arrays = model.weights, model.moves, model.first
 
     def run(rows: dict[str, list]) -> dict[str, list]:
@@ -359,7 +394,7 @@ def find_pii(documents: DataFrame, field: Field | None = None) -> DataFrame:
 def mask_pii(documents: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id and text of every row, with each span replaced by its kind in angle brackets; a null text stays null."""
     small_batches(documents.sparkSession)
-    model = field or default_field()
+    model = field or default_field(documents.sparkSession)
     arrays = model.weights, model.moves, model.first
 
     def masked(text: str | None, spans: list[tuple]) -> str | None:
