@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.rows import exploded
+from ..functions.staging import staged
 
 #: Levels of one-element lists and of JSON inside strings that replies may be wrapped in.
 UNWRAP_DEPTH = 8
@@ -23,7 +24,7 @@ def row_id(*parts: Column) -> Column:
 
 
 def with_semantics(chunks: DataFrame) -> DataFrame:
-    """chunks with facts, entities, triples and summary of index_text. Each is a stored column of its own, so nothing is computed twice."""
+    """chunks with facts, entities, triples and summary of index_text. Each is a column of its own, so within a plan nothing is computed twice."""
     rows = chunks.withColumns({"facts": T.facts(F.col("index_text")), "entities": T.entities(F.col("index_text"))})
     return rows.withColumns({"triples": T.triples(F.col("facts"), F.col("entities")), "summary": T.summary(F.col("index_text"), F.col("source_path"), F.col("facts"), F.col("entities"))})
 
@@ -31,7 +32,7 @@ def with_semantics(chunks: DataFrame) -> DataFrame:
 def semantic_tables(chunks: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Chunk, entity and relation rows of chunks (context, source_path, chunk_idx, index_text, ...); created_at is as_of, in seconds."""
     key = [F.col(c) for c in ("context", "source_path", "chunk_idx")]
-    rows = with_semantics(chunks).withColumns({"id": row_id(*key), "created_at": as_of})
+    rows = staged(with_semantics(chunks).withColumns({"id": row_id(*key), "created_at": as_of}))  # one parse for three tables
     base = ["context", "source_path", "id", "created_at"]
     e = exploded(rows, base, "entities", "ord", "name")
     e = e.select("context", row_id(F.col("id"), F.lit("e"), F.col("ord")).alias("id"), "name", F.lit("entity").alias("kind"), F.col("id").alias("source_id"), "source_path", "created_at")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -85,30 +86,35 @@ def distill_prompts(topics: DataFrame, summaries: DataFrame) -> DataFrame:
 # --- the managed section --------------------------------------------------------------------------------
 
 
-def split_section(text: str) -> tuple[list[str], list[str], list[str]] | None:
-    """Lines before, in and after the managed section; None without one."""
-    rows = text.split("\n")
-    at = next((i for i, x in enumerate(rows) if x.strip() in (SECTION, OLD_SECTION)), None)
-    if at is None:
+HEADING = f"(?:{re.escape(SECTION)}|{re.escape(OLD_SECTION)})\\r*$"
+MANAGED, NEXT = re.compile(f"^{HEADING}", re.M), re.compile(f"^(?!{HEADING})## ", re.M)
+
+
+def managed_range(text: str) -> tuple[int, int] | None:
+    """Start and end of the managed section: from its heading, a whole line, to the next other second-level heading."""
+    head = MANAGED.search(text)
+    if head is None:
         return None
-    end = next((i for i in range(at + 1, len(rows)) if rows[i].startswith("## ")), len(rows))
-    return rows[:at], rows[at + 1 : end], rows[end:]
+    after = NEXT.search(text, head.end())
+    return head.start(), after.start() if after else len(text)
 
 
 def section_of(text: str | None) -> str:
-    found = split_section(text or "")
-    return "\n".join(found[1]).strip() if found else ""
+    """The lines below the heading, as they are; empty without a section."""
+    found = managed_range(text or "")
+    if found is None:
+        return ""
+    body = text[found[0] : found[1]].partition("\n")[2].removesuffix("\n")
+    return re.sub(r"\r$", "", body, flags=re.M)
 
 
 def section_set(text: str | None, body: str | None) -> str:
-    section = f"{SECTION}\n\n{(body or '').strip()}\n"
-    found = split_section(text or "")
-    if found is None:
-        before = (text or "").rstrip()
-        return f"{before}\n\n{section}" if before else section
-    before, _, after = found
-    head = "\n".join(before).rstrip()
-    return (f"{head}\n\n" if head else "") + section + ("\n" + "\n".join(after) if after else "")
+    """The section stands in the old one's place, or behind the text and a blank line; of the body only line breaks at its end go."""
+    text, section = text or "", f"{SECTION}\n\n{(body or '').rstrip(chr(10))}\n"
+    if (found := managed_range(text)) is not None:
+        return text[: found[0]] + section + text[found[1] :]
+    gap = "" if not text or text.endswith("\n\n") else "\n" if text.endswith("\n") else "\n\n"
+    return text + gap + section
 
 
 def extract_section(text: Column) -> Column:
@@ -121,7 +127,7 @@ def extract_section(text: Column) -> Column:
 
 
 def replace_section(text: Column, body: Column) -> Column:
-    """The text with the managed section's body set, in place or appended; setting twice equals setting once."""
+    """The text with the managed section's body set, in place or appended. Setting twice equals setting once for bodies without second-level headings."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

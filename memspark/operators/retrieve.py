@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ from .extract import parsed, text_of, unwrapped
 CANDIDATES = 50
 #: Queries that travel to a task at once.
 QUERY_BLOCK = 256
+#: Blocks that go with one scan of the candidates.
+SCAN_BLOCKS = 8
 LEXICAL_SHARE, PROCEDURE_LEXICAL, DECAY_DAYS = 0.2, 0.15, 130.0
 DIGITS = 9
 
@@ -85,20 +88,22 @@ def top_candidates(queries: DataFrame, candidates: DataFrame, alpha: float = 0.7
     """query_id, id, source, chunk_idx, score of the best `keep` candidates per query.
 
     queries: query_id, context, text, embedding. candidates: context, id, source, chunk_idx, index_text, embedding.
-    Queries are read in blocks of about `block`; the candidates pass through one map step per block.
+    Queries are read in blocks of about `block`; SCAN_BLOCKS of them go with one scan of the candidates.
     """
     weight = min(1.0, max(0.0, alpha))
     wanted = queries.select("query_id", "context", "embedding", F.array_distinct(tokenize(F.col("text"))).alias("tokens"))
     rows = candidates.select("context", "id", "source", "chunk_idx", "embedding", F.array_distinct(tokenize(F.col("index_text"))).alias("tokens"))
     blocks = 1 + wanted.count() // block
     sc, found = queries.sparkSession.sparkContext, []
-    for k in range(blocks):
-        shared = sc.broadcast(cloudpickle.dumps(QueryBlock(wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).collect())))  # with its class, which executors may not have
+    block_of = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    for k in range(0, blocks, SCAN_BLOCKS):
+        each = [wanted.where(block_of == n).collect() for n in range(k, min(blocks, k + SCAN_BLOCKS))]
+        shared = sc.broadcast(cloudpickle.dumps([QueryBlock(rows_) for rows_ in each]))  # with its class, which executors may not have
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            asked, best = pickle.loads(shared.value), None
+            every, best = pickle.loads(shared.value), None
             for batch in batches:
-                for context, own in batch.groupby("context"):
+                for (context, own), asked in product(list(batch.groupby("context")), every):
                     if context not in asked.contexts:
                         continue
                     ids = asked.contexts[context][0]

@@ -7,9 +7,10 @@ blob_ref, source_path, source_size, source_mtime. The source of a manifest row i
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.paths import FORMAT_LIMIT, classify_path
+from ..functions.paths import FORMAT_LIMIT, classify_path, route_decoder
 
 KEY = ["context", "root", "source_rel"]
 DEFAULT_RATE, PROCEDURE_SECONDS, ITEM_SECONDS, MIB = 45.0, 8.0, 2.0, 1 << 20
@@ -47,11 +48,21 @@ def fully_indexed_by_stat(manifest: DataFrame, files: DataFrame, store_raw: bool
 
 
 def plan_add(files: DataFrame, manifest: DataFrame, layer: str | None = None, store_raw: bool = False, limit: int = FORMAT_LIMIT) -> DataFrame:
-    """files with action (infrastructure, junk, denied, too_large, already_indexed, needs_work) and layer."""
-    done = fully_indexed(manifest, files, store_raw).withColumnRenamed("source_rel", "rel").withColumn("_done", F.lit(True))
-    kind = classify_path(F.col("rel"))
-    action = F.when(kind != "keep", kind).when(F.col("size") > limit, "too_large").when(F.col("_done"), "already_indexed").otherwise("needs_work")
-    return files.join(done, ["context", "root", "rel"], "left").withColumn("action", action).withColumn("layer", F.lit(layer)).drop("_done")
+    """files with action (infrastructure, junk, denied, too_large, already_indexed, needs_work) and layer.
+
+    Plain text from STREAM_FROM bytes on is streamed: it is never too large, and counts as indexed by size and modification time.
+    All other files are too large beyond `limit`, and count as indexed by content hash. A column head (text of the first 4,096
+    bytes) serves the choice of a decoder where files have one.
+    """
+    key = ["context", "root", "rel"]
+    by_hash = fully_indexed(manifest, files, store_raw).select(*KEY, F.lit(True).alias("_same"), F.lit(None).cast("boolean").alias("_as_before"))
+    by_stat = fully_indexed_by_stat(manifest, files, store_raw).select(*KEY, F.lit(None).cast("boolean").alias("_same"), F.lit(True).alias("_as_before"))
+    done = by_hash.unionByName(by_stat).groupBy(*KEY).agg(F.max("_same").alias("_same"), F.max("_as_before").alias("_as_before")).withColumnRenamed("source_rel", "rel")
+    kind, head = classify_path(F.col("rel")), F.col("head") if "head" in files.columns else F.lit(None).cast("string")
+    streamed = route_decoder(F.col("rel"), head, F.col("size")) == "stream"
+    indexed = F.when(streamed, F.col("_as_before")).otherwise(F.col("_same"))
+    action = F.when(kind != "keep", kind).when(~streamed & (F.col("size") > limit), "too_large").when(indexed, "already_indexed").otherwise("needs_work")
+    return files.join(done, key, "left").withColumn("action", action).withColumn("layer", F.lit(layer)).drop("_same", "_as_before")
 
 
 def plan_update(manifest: DataFrame, files: DataFrame, store_raw: bool = False, limit: int = FORMAT_LIMIT) -> DataFrame:
@@ -82,9 +93,11 @@ def run_rate_ema(runs: DataFrame, alpha: float = 0.15) -> DataFrame:
     """context, ema: seconds per MiB over the runs (context, place, seconds, mib, semantic_items) in order of place, a time or number; runs without semantic work or text don't count."""
     a = min(ALPHA_RANGE[1], max(ALPHA_RANGE[0], alpha))
     rows = runs.where((F.col("semantic_items") > 0) & (F.col("mib") >= LEAST_MIB)).select("context", "place", (F.col("seconds") / F.col("mib")).alias("rate"))
-    gathered = rows.groupBy("context").agg(F.array_sort(F.collect_list(F.struct("place", "rate"))).alias("r"))
-    fold = F.aggregate("r", F.lit(None).cast("double"), lambda s, x: F.when(s.isNull(), x["rate"]).otherwise(a * x["rate"] + (1 - a) * s))
-    return gathered.select("context", fold.alias("ema"))
+    turn = F.row_number().over(W.partitionBy("context").orderBy(F.desc("place"), F.desc("rate"))) - 1  # from the last on; a sort that spills, no array
+    placed = rows.withColumn("turn", turn)
+    first = placed.groupBy("context").agg(F.max("turn").alias("turn"), F.max_by("rate", "turn").alias("rate"))  # weighs as all runs before it would
+    rest = placed.groupBy("context").agg(F.sum(a * F.pow(F.lit(1 - a), "turn") * F.col("rate")).alias("sum"))
+    return rest.join(first, "context").select("context", (F.col("sum") + (1 - a) * F.pow(F.lit(1 - a), "turn") * F.col("rate")).alias("ema"))
 
 
 # --- the index tables ----------------------------------------------------------------------------------

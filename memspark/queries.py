@@ -443,10 +443,10 @@ def e3(spark, sf_dir):
     return derived(spark, sf_dir, "documents").select("doc_id", T.tokenize(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
-@query("e4_lexical_overlap", f"SELECT d.doc_id, round({d_overlap('d.text', 'b.text')}, 9) AS overlap FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40")
+@query("e4_lexical_overlap", f"SELECT d.doc_id, round({d_overlap('d.text', 'b.text')}, 9) AS overlap FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)")
 def e4(spark, sf_dir):
     d, b = derived(spark, sf_dir, "documents"), derived(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("asked"))
-    rows = d.join(b, F.col("item_id") == F.col("doc_id") % 40)
+    rows = d.join(b, F.col("item_id") == F.col("doc_id") % b.count())
     return rows.select("doc_id", F.round(T.lexical_overlap(T.tokenize(F.col("text")), T.tokenize(F.col("asked"))), 9).alias("overlap"))
 
 
@@ -459,10 +459,10 @@ def e5(spark, sf_dir):
 D_HYBRID = f"(0.7 * {d_clamp(f'({d_cosine("q.embedding", "c.embedding")} + 1) / 2')} + 0.3 * {d_clamp(d_overlap('q.text', 'c.index_text'))})"
 
 
-@query("e6_hybrid_score", f"SELECT q.query_id, c.id, round({D_HYBRID}, 6) AS score FROM {duck('asked')} q JOIN {duck('pool')} c ON q.context = c.context AND q.query_id % 5 = length(c.id) % 5")
+@query("e6_hybrid_score", f"SELECT q.query_id, c.id, round({D_HYBRID}, 6) AS score FROM {duck('asked')} q JOIN {duck('pool')} c ON q.context = c.context")
 def e6(spark, sf_dir):
     asked, pool = derived(spark, sf_dir, "asked"), derived(spark, sf_dir, "pool").select("context", "id", "index_text", F.col("embedding").alias("e"))
-    rows = pool.join(asked, (pool["context"] == asked["context"]) & (F.col("query_id") % 5 == F.length("id") % 5))
+    rows = pool.join(asked, pool["context"] == asked["context"])
     score = T.hybrid_score(T.cosine(F.col("embedding"), F.col("e")), T.lexical_overlap(T.tokenize(F.col("text")), T.tokenize(F.col("index_text"))))
     return rows.select("query_id", "id", F.round(score, 6).alias("score"))
 
@@ -574,7 +574,9 @@ def f3(spark, sf_dir):
     return sync.fully_indexed_by_stat(derived(spark, sf_dir, "manifest"), derived(spark, sf_dir, "files"))
 
 
-PLAN = f"""SELECT f.context, f.root, f.rel, f.size, CASE WHEN c <> 'keep' THEN c WHEN f.size > {P.FORMAT_LIMIT} THEN 'too_large' WHEN s.h = f.hash THEN 'already_indexed' ELSE 'needs_work' END AS action
+D_STREAM = f"(f.size > {P.STREAM_FROM} AND NOT regexp_matches(lower(f.rel), '[.](html|png)$'))"  # plain text: the only other kinds here are pages and pictures
+PLAN = f"""SELECT f.context, f.root, f.rel, f.size, CASE WHEN c <> 'keep' THEN c WHEN {D_STREAM} THEN CASE WHEN s.same AND s.size = f.size AND s.mtime = f.mtime THEN 'already_indexed' ELSE 'needs_work' END
+ WHEN f.size > {P.FORMAT_LIMIT} THEN 'too_large' WHEN s.h = f.hash THEN 'already_indexed' ELSE 'needs_work' END AS action
 FROM (SELECT *, {D_CLASS} AS c FROM {FI}) f LEFT JOIN {STATE} s ON f.context = s.context AND f.root = s.root AND f.rel = s.rel"""
 
 
@@ -782,11 +784,14 @@ def n9(spark, sf_dir):
     return notes.distill_prompts(stable(spark, sf_dir), summaries).select("context", F.length("prompt").alias("n_chars"), F.md5("prompt").alias("digest"))
 
 
-@query("n10_replace_section", """SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN rtrim(t, chr(10) || ' ') || chr(10) || chr(10) || '## Auto-updated notes' || chr(10) || chr(10) || 'new' || chr(10) ELSE 'intro' || chr(10) || chr(10) || '## Auto-updated notes' || chr(10) || chr(10) || 'new' || chr(10) || chr(10) || '## Other' || chr(10) || t END) AS digest FROM (SELECT doc_id, substr(text, 1, 60) AS t FROM documents)""")
+D_SECTION = "'## Auto-updated notes' || chr(10) || chr(10) || ' new' || chr(10)"
+D_GAP = "CASE WHEN text = '' OR ends_with(text, chr(10) || chr(10)) THEN '' WHEN ends_with(text, chr(10)) THEN chr(10) ELSE chr(10) || chr(10) END"
+
+
+@query("n10_replace_section", f"""SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN text || {D_GAP} || {D_SECTION} ELSE 'intro' || chr(10) || chr(10) || {D_SECTION} || '## Other' || chr(10) || text END) AS digest FROM documents""")
 def n10(spark, sf_dir):
-    t = F.substring("text", 1, 60)
     old = F.when(F.col("doc_id") % 3 == 1, "## Promoted knowledge").otherwise("## Auto-updated notes")
-    text = F.when(F.col("doc_id") % 3 == 0, t).otherwise(F.concat(F.lit("intro\n\n"), old, F.lit("\n\nold lines\n\n## Other\n"), t))
+    text = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("intro\n\n"), old, F.lit("\n\nold lines\n\n## Other\n"), "text"))
     return derived(spark, sf_dir, "documents").select("doc_id", F.md5(notes.replace_section(text, F.lit(" new\n"))).alias("digest"))
 
 
@@ -824,14 +829,28 @@ def s1(spark, sf_dir):
 FILE_COLUMNS = ["context", "root", "path", "hash", "hash_at_index", "type", "blob_ref", "source_path", "source_size", "source_mtime"]
 
 
-@query("s3_s5_manifest_round_trip", f"SELECT {', '.join(FILE_COLUMNS)}, source_size AS kept FROM {M}")
+@query("s3_s5_manifest_round_trip", f"""SELECT {', '.join('m.' + c for c in FILE_COLUMNS)}, source_size AS kept, 1 AS later, context || '-cfg' AS config_key, context || '-notes' AS notes_key, root || '-src' AS source_key, empty
+FROM {M} m JOIN (SELECT context, count(DISTINCT root) AS empty FROM {M} GROUP BY context) USING (context)""")
 def s3(spark, sf_dir):
-    m = derived(spark, sf_dir, "manifest").withColumn("extra", F.parse_json(F.concat(F.lit('{"kept":'), F.col("source_size").cast("string"), F.lit("}"))))
+    """Unknown keys of document, config, source, notes block and file come back, and so do sources without files."""
+    key = lambda name, value: F.parse_json(F.to_json(F.struct(value.alias(name))))
+    m = derived(spark, sf_dir, "manifest").withColumn("extra", key("kept", F.col("source_size")))
     config = F.struct(F.lit(True).alias("store_raw_content"), F.lit(7).alias("notes_update_threshold_days"))
-    heads = m.select(F.col("context").alias("name")).distinct().withColumns({"version": F.lit("0.2"), "description": F.lit("d"), "created_at": as_of(), "config": config, "extra": F.parse_json(F.lit('{"later": 1}'))})
+    heads = m.select(F.col("context").alias("name")).distinct().withColumns({
+        "version": F.lit("0.2"), "description": F.lit("d"), "created_at": as_of(), "config": config, "extra": key("later", F.lit(1)),
+        "config_extra": key("cfg", F.concat("name", F.lit("-cfg"))), "notes_extra": key("policy", F.concat("name", F.lit("-notes"))),
+    })
+    roots = m.select("context", "root").distinct().withColumn("added_at", as_of())
+    sources = roots.unionByName(roots.withColumn("root", F.concat(F.lit("empty "), "root"))).withColumn("extra", key("src", F.concat("root", F.lit("-src"))))
     listed = derived(spark, sf_dir, "registry").withColumn("extra", F.parse_json(F.lit("{}")))
-    docs = write_manifest(heads, m, listed, "2024-06-01T00:00:00Z").select(F.col("name").alias("doc_id"), "text")
-    return parse_manifests(docs)["source_files"].select(*FILE_COLUMNS, F.variant_get("extra", "$.kept", "bigint").alias("kept"))
+    docs = write_manifest(heads, m, listed, "2024-06-01T00:00:00Z", sources).select(F.col("name").alias("doc_id"), "text")
+    back = parse_manifests(docs)
+    text = lambda column, name, kind="string": F.variant_get(column, f"$.{name}", kind)
+    top = back["contexts"].select(F.col("name").alias("context"), text("extra", "later", "int").alias("later"), text("config_extra", "cfg").alias("config_key"), text("notes_extra", "policy").alias("notes_key"))
+    own = back["sources"].select("context", "root", text("extra", "src").alias("source_key"))
+    empty = own.where("root like 'empty %'").groupBy("context").agg(F.count("*").alias("empty"))
+    files = back["source_files"].select(*FILE_COLUMNS, text("extra", "kept", "bigint").alias("kept"))
+    return files.join(top, "context").join(own, ["context", "root"]).join(empty, "context")
 
 
 @query("s4_migrate_manifest", f"SELECT context, '.' AS root, rel AS path, hash, hash AS hash_at_index, 'sha256:' || hash AS blob_ref, 'semantic' AS type, doc_id AS id FROM {duck('corpus')}")

@@ -171,10 +171,13 @@ def test_note_writes_and_sections(spark):
     assert notes.section_set("intro", "b") == "intro\n\n## Auto-updated notes\n\nb\n"
     text = "i\n\n## Promoted knowledge\n\nold\n\n## Other\nx"
     once = notes.section_set(text, "b")
-    assert once == "i\n\n## Auto-updated notes\n\nb\n\n## Other\nx" == notes.section_set(once, "b") and notes.section_of(text) == "old"
+    assert once == "i\n\n## Auto-updated notes\n\nb\n## Other\nx" == notes.section_set(once, "b") and notes.section_of(text) == "\nold\n"
+    assert notes.section_set("a\n", " b\n\n") == "a\n\n## Auto-updated notes\n\n b\n" and notes.section_set("", "") == "## Auto-updated notes\n\n\n"
+    assert notes.section_set(" ## Auto-updated notes\nx", "b").count("Auto-updated") == 2  # an indented heading is none
+    assert notes.section_set("## Promoted knowledge\r\n1\n## Auto-updated notes\n2\n## Other", "b") == "## Auto-updated notes\n\nb\n## Other"
 
 
-MANIFEST = {"name": "demo", "version": "0.2", "created_at": "2024-01-01T00:00:00Z", "updated_at": "2024-01-02T00:00:00Z", "config": {"store_raw_content": True}, "later": {"a": 1}, "sources": [{"root": "/src", "added_at": "2024-01-01T00:00:00Z", "files": [{"path": "a.md", "hash": "h", "hash_at_index": "h", "indexed_at": "2024-01-01T00:00:00Z", "type": "semantic", "odd": [1]}]}], "notes": [{"path": "notes/index.md", "hash": "n", "updated_at": "2024-01-01T00:00:00Z", "tag": "t"}]}
+MANIFEST = {"name": "demo", "version": "0.2", "created_at": "2024-01-01T00:00:00Z", "updated_at": "2024-01-02T00:00:00Z", "config": {"store_raw_content": True, "future": 3}, "later": {"a": 1}, "sources": [{"root": "/empty", "added_at": "2024-01-01T00:00:00Z", "files": []}, {"root": "/src", "added_at": "2024-01-01T00:00:00Z", "provenance": "up", "files": [{"path": "a.md", "hash": "h", "hash_at_index": "h", "indexed_at": "2024-01-01T00:00:00Z", "type": "semantic", "odd": [1]}]}], "notes": {"policy": "private", "files": [{"path": "notes/index.md", "hash": "n", "updated_at": "2024-01-01T00:00:00Z", "tag": "t"}]}}
 OLD = {"name": "old", "ctx_version": "0.1", "created": "2024-01-01T00:00:00Z", "entries": [{"id": 7, "source_path": "x.md", "source_hash": "h1", "blob_hash": "b1", "layer": "semantic"}]}
 
 
@@ -187,9 +190,10 @@ def test_manifests(spark):
     assert (got["old"].root, got["old"].path, got["old"].hash, got["old"].hash_at_index, got["old"].blob_ref, got["old"].type, got["old"].x) == (".", "x.md", "h1", "h1", "b1", "semantic", '{"id":7}')
     config = {r.name: r.config for r in t["contexts"].collect()}
     assert config["demo"].store_raw_content is True and config["old"].notes_update_threshold_days == 7
-    back = {r.name: json.loads(r.text) for r in write_manifest(t["contexts"], t["source_files"], t["note_files"], "2024-05-05T00:00:00Z").collect()}
+    back = {r.name: json.loads(r.text) for r in write_manifest(t["contexts"], t["source_files"], t["note_files"], "2024-05-05T00:00:00Z", t["sources"]).collect()}
     want = MANIFEST | {"updated_at": "2024-05-05T00:00:00Z"}
     assert {k: v for k, v in back["demo"].items() if k != "config"} == {k: v for k, v in want.items() if k != "config"}
+    assert back["demo"]["config"]["future"] == 3 and back["demo"]["config"]["store_raw_content"] is True
     again = parse_manifests(spark.createDataFrame([(1, json.dumps(back["old"]))], "doc_id int, text string"))
     assert again["source_files"].count() == 1 and again["rejects"].count() == 0
 
@@ -275,3 +279,13 @@ def test_stream(spark, tmp_path):
     run()
     run()
     assert sorted(r.source_path for r in latest(spark, str(tmp_path / "out"), "chunks").collect()) == ["a.txt", "b.txt"]
+
+
+def test_large_plain_text_is_streamed(spark):
+    """Plain text has no limit and counts as indexed by size and time; a format has one, and counts by hash."""
+    big = 300 * 2**20
+    files = spark.createDataFrame([("c", "/r", n, z, m, h) for n, z, m, h in [("a.txt", big, 7, None), ("b.txt", big, 8, None), ("new.txt", big, 7, None), ("x.pdf", big, 7, "h"), ("s.txt", 10, 99, "h"), ("t.txt", 10, 7, "other")]], "context string, root string, rel string, size bigint, mtime bigint, hash string")
+    known = [(n, "h", z) for n, z in [("a.txt", big), ("b.txt", big), ("x.pdf", big), ("s.txt", 10), ("t.txt", 10)]]
+    manifest = spark.createDataFrame([("c", "/r", n, h, h, "semantic", None, n, z, 7) for n, h, z in known], "context string, root string, path string, hash string, hash_at_index string, type string, blob_ref string, source_path string, source_size bigint, source_mtime bigint")
+    got = {r.rel: r.action for r in sync.plan_add(files, manifest).collect()}
+    assert got == {"a.txt": "already_indexed", "b.txt": "needs_work", "new.txt": "needs_work", "x.pdf": "too_large", "s.txt": "already_indexed", "t.txt": "needs_work"}
