@@ -62,6 +62,8 @@ def joined_by_count(rows: DataFrame, facts: DataFrame, keys: str | list[str], ma
     """
     keys, least = [keys] if isinstance(keys, str) else keys, max(1000, many // 1000)
     hot, rest = facts.where(F.col("n") > least).drop("n"), facts.where(F.col("n") <= least).drop("n")
+    if hot.isEmpty():
+        return rows.join(rest, keys)
     often = rows.join(F.broadcast(hot), keys)
     seldom = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys)
     return often.unionByName(seldom)

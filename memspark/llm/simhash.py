@@ -311,8 +311,8 @@ def may_link(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return (F.least(a["shared"], b["shared"]) * (over + under) >= (a["size"] + b["size"]) * over) & within_budget(a["fp"], b["fp"])
 
 
-def band_links(nodes: DataFrame, documents: DataFrame) -> DataFrame:
-    """Edges (a, b) between sets (nodes: set, fp, k1, keys) whose components are those of all similar pairs that share a key.
+def band_roots(nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """set, n, root of all sets (nodes: set, fp, k1, keys, n): the components of all similar pairs that share a key.
 
     Each set of a key is first compared with a head: the set with the smallest share of shingles of its own, which is the one
     that copies of a text are most alike. That puts a large group of near copies in one component, with few pairs a set. Only pairs
@@ -328,14 +328,20 @@ def band_links(nodes: DataFrame, documents: DataFrame) -> DataFrame:
     pairs = stars.select(F.least("set", "head.set").alias("a"), F.greatest("set", "head.set").alias("b")).distinct()
     first = verified(cut_lineage(pairs), sets)
 
-    placed = cut_lineage(with_root(members, first, "set"))
+    rooted = cut_lineage(with_root(nodes.select("set", "n"), first, "set"))
+    placed = cut_lineage(members.join(rooted.select("set", "root"), "set"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     left = placed.join(mixed, "key", "left_semi")
     side = lambda s: left.select("key", F.struct("root", "set", *names).alias(s))
     apart = (F.col("p.root") < F.col("q.root")) & may_link(*({c: F.col(f"{s}.{c}") for c in names} for s in "pq"))
     across = side("p").join(side("q"), "key").where(apart)
     more = cut_lineage(across.select(F.least("p.set", "q.set").alias("a"), F.greatest("p.set", "q.set").alias("b")).distinct())
-    return first if more.isEmpty() else cut_lineage(first.unionByName(verified(more, sets)))
+    found = more if more.isEmpty() else verified(more, sets)
+    if found.isEmpty():
+        return rooted
+    of = lambda s: rooted.select(F.col("set").alias(s), F.col("root").alias(f"root_{s}"))
+    merged = found.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    return cut_lineage(with_root(rooted.withColumnRenamed("root", "first"), merged, "first").drop("first"))
 
 
 def similar_rows(documents: DataFrame) -> DataFrame:
@@ -347,8 +353,7 @@ def similar_rows(documents: DataFrame) -> DataFrame:
     small_batches(documents.sparkSession)
     rows = cut_lineage(shingled(documents))
     nodes = cut_lineage(rows.groupBy("set").agg(F.min("k1").alias("k1"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count("*").alias("n")))
-    rooted = cut_lineage(with_root(nodes.select("set", "n"), band_links(nodes.drop("n"), documents), "set"))
-    return joined_by_count(rows.drop("keys", "fp"), rooted, "set", rows.count())
+    return joined_by_count(rows.drop("keys", "fp"), band_roots(nodes, documents), "set", rows.count())
 
 
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:
