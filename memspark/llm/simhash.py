@@ -284,12 +284,12 @@ def sets_of(members: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataF
     return cut_lineage(sets.join(own, "set", "left").select("set", "hashes", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared")))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of sets that are similar enough."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, common (shingles in both) and similar of pairs (a, b) of sets."""
     side = lambda name, hashes: sets.select(F.col("set").alias(name), F.col("hashes").alias(hashes))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     over, under = SIMILAR
-    return cut_lineage(both.where(F.size(F.array_intersect("x", "y")) * (over + under) >= (F.size("x") + F.size("y")) * over).select("a", "b"))
+    return cut_lineage(both.select("a", "b", "common", (F.col("common") * (over + under) >= (F.size("x") + F.size("y")) * over).alias("similar")))
 
 
 def headed(rows: DataFrame, first: Column, part: Column) -> DataFrame:
@@ -306,9 +306,15 @@ def headed(rows: DataFrame, first: Column, part: Column) -> DataFrame:
 
 
 def may_link(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Whether bits, sizes and shared shingles allow the similarity: t = p / q needs an overlap of p (|a| + |b|) / (p + q)."""
+    """Whether bits, sizes and overlaps with others allow the similarity: t = p / q needs an overlap of p (|a| + |b|) / (p + q).
+
+    What two sets have in common is shared with another member. Where both have one head, it is split by the head: at most the
+    smaller of their overlaps with it, and the smaller of what they share beside it.
+    """
     over, under = SIMILAR
-    return (F.least(a["shared"], b["shared"]) * (over + under) >= (a["size"] + b["size"]) * over) & within_budget(a["fp"], b["fp"])
+    beside = F.least(a["common"], b["common"]) + F.least(a["shared"] - a["common"], b["shared"] - b["common"])
+    most = F.when(a["head"] == b["head"], beside).otherwise(F.least(a["shared"], b["shared"]))
+    return (most * (over + under) >= (a["size"] + b["size"]) * over) & within_budget(a["fp"], b["fp"])
 
 
 def band_roots(nodes: DataFrame, documents: DataFrame) -> DataFrame:
@@ -323,20 +329,22 @@ def band_roots(nodes: DataFrame, documents: DataFrame) -> DataFrame:
     members = met.select("key", "set", "fp").unionByName(met.select("key", "head.set", "head.fp")).distinct()
     sets = sets_of(members, nodes, documents)
     members = cut_lineage(members.join(sets.drop("hashes"), "set").select("key", "set", "fp", "size", "shared"))
-    names = ("fp", "size", "shared")
-    stars = headed(members, 1 - F.col("shared") / F.col("size"), part).where(may_link({c: F.col(c) for c in names}, {c: F.col(f"head.{c}") for c in names}))
-    pairs = stars.select(F.least("set", "head.set").alias("a"), F.greatest("set", "head.set").alias("b")).distinct()
-    first = verified(cut_lineage(pairs), sets)
+    names, pair = ("fp", "size", "shared"), (F.least("set", "head").alias("a"), F.greatest("set", "head").alias("b"))
+    stars = cut_lineage(headed(members, 1 - F.col("shared") / F.col("size"), part).withColumn("head", F.col("head.set")))
+    met_heads = overlaps(stars.select(*pair).distinct(), sets)
+    first = met_heads.where("similar").select("a", "b")
+    headed_by = stars.select("key", "set", "head", *pair).join(met_heads, ["a", "b"]).select("key", "set", "head", "common")
+    members = members.join(headed_by, ["key", "set"], "left").withColumns({"head": F.coalesce("head", "set"), "common": F.coalesce("common", "shared")})
 
     rooted = cut_lineage(with_root(nodes.select("set", "n"), first, "set"))
     placed = cut_lineage(members.join(rooted.select("set", "root"), "set"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     left = placed.join(mixed, "key", "left_semi")
-    side = lambda s: left.select("key", F.struct("root", "set", *names).alias(s))
-    apart = (F.col("p.root") < F.col("q.root")) & may_link(*({c: F.col(f"{s}.{c}") for c in names} for s in "pq"))
+    side = lambda s: left.select("key", F.struct("root", "set", *names, "head", "common").alias(s))
+    apart = (F.col("p.root") < F.col("q.root")) & may_link(*({c: F.col(f"{s}.{c}") for c in (*names, "head", "common")} for s in "pq"))
     across = side("p").join(side("q"), "key").where(apart)
     more = cut_lineage(across.select(F.least("p.set", "q.set").alias("a"), F.greatest("p.set", "q.set").alias("b")).distinct())
-    found = more if more.isEmpty() else verified(more, sets)
+    found = more if more.isEmpty() else overlaps(more, sets).where("similar")
     if found.isEmpty():
         return rooted
     of = lambda s: rooted.select(F.col("set").alias(s), F.col("root").alias(f"root_{s}"))
