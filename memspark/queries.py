@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from .derived import AS_OF, derived, duck
 from .functions import paths as P
 from .functions import text as T
-from .functions.staging import stage_folder
+from .functions.staging import stage_folder, staged
 from .operators import audit, chunk, decode, embed, extract, notes, retrieve, sync
-from .plans.ingest import index_units
+from .plans.ingest import index_units, rebuild
 from .sources.corpus import from_rows, list_corpus
 from .sources.index import blobs_of, read_blobs, read_index, write_index
 from .sources.manifest import parse_manifests, write_manifest
+from .streaming.ingest import latest, stream_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -203,9 +204,14 @@ def d10(spark, sf_dir):
 # --- classify and chunk -----------------------------------------------------------------------------------
 
 
-@query("c1_classify_content", rf"""SELECT doc_id, CASE WHEN len(list_filter(l, lambda z: starts_with(z, '- ') OR starts_with(z, '* ') OR (regexp_matches(z, '^[0-9]') AND contains(z, '.')))) >= 2
+def d_layer(table: str, keys: str) -> str:
+    """keys and layer of a table's texts (no special file names)."""
+    return rf"""SELECT {keys}, CASE WHEN len(list_filter(l, lambda z: starts_with(z, '- ') OR starts_with(z, '* ') OR (regexp_matches(z, '^[0-9]') AND contains(z, '.')))) >= 2
 AND (len(list_filter(l, lambda z: {d_any('z', 'success failure failed partial outcome result'.split())})) > 0 OR len(list_filter(l, lambda z: regexp_matches(lower(z), '^(run|open|install|verify|add|remove|update|create)'))) >= 2) THEN 'procedural' ELSE 'semantic' END AS layer
-FROM (SELECT doc_id, list_transform({d_lines('text')}, lambda z: {d_ltrim('z')}) AS l FROM {duck('runbooks')})""")
+FROM (SELECT *, list_transform({d_lines('text')}, lambda z: {d_ltrim('z')}) AS l FROM {duck(table)})"""
+
+
+@query("c1_classify_content", d_layer("runbooks", "doc_id"))
 def c1(spark, sf_dir):
     return derived(spark, sf_dir, "runbooks").select("doc_id", T.classify_content(F.col("source_path"), F.col("text")).alias("layer"))
 
@@ -438,6 +444,13 @@ def e1(spark, sf_dir):
     return rows.select("doc_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm"))
 
 
+@query("e2_hashing_embedder")
+def e2(spark, sf_dir):
+    """Compared with a plain count of hashed tokens in tests/test_goldens.py."""
+    rows = embed.embed(derived(spark, sf_dir, "documents").select("doc_id", "text"), "text", embed.hashing_embedder(64), 64)
+    return rows.select("doc_id", "embedding")
+
+
 @query("e3_tokenize", f"SELECT doc_id, len({d_tokens('text')}) AS n, len(list_distinct({d_tokens('text')})) AS n_distinct FROM documents")
 def e3(spark, sf_dir):
     return derived(spark, sf_dir, "documents").select("doc_id", T.tokenize(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("n_distinct"))
@@ -482,6 +495,15 @@ def e7(spark, sf_dir):
     return found(spark, sf_dir).select("query_id", "rank", "id", "source", "summary", F.round("score", 6).alias("score"))
 
 
+@query("e9_context_matches", f"""WITH c AS (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in D_CONTEXT.items())} FROM {duck('runbooks')})
+SELECT p.doc_id, {' AND '.join(f'(q.{k} IS NULL OR p.{k} IS NULL OR q.{k} = p.{k})' for k in T.CONTEXT_NEEDLES)} AS matches FROM c p JOIN c q ON q.doc_id = p.doc_id + 1""")
+def e9(spark, sf_dir):
+    """Whether each runbook's context matches that of the next."""
+    c = staged(derived(spark, sf_dir, "runbooks").select("doc_id", T.task_context(F.col("text")).alias("c")))
+    both = c.join(c.select((F.col("doc_id") - 1).alias("doc_id"), F.col("c").alias("next")), "doc_id")
+    return both.select("doc_id", retrieve.context_matches(F.col("next"), F.col("c")).alias("matches"))
+
+
 def recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = derived(spark, sf_dir, "recipes")
     made = extract.procedures(r, (F.unix_timestamp(as_of()) - 86400 * (F.col("doc_id") % 200)))
@@ -622,12 +644,18 @@ def small_index(spark: SparkSession, sf_dir: str) -> sync.Index:
     return {"chunks": c, "entities": e, "relations": r, "procedures": extract.procedures(derived(spark, sf_dir, "runbooks").drop("doc_id"), F.lit(0).cast("bigint"))}
 
 
-@query("f9_replace_sources", f"""WITH s AS ({SEMANTIC}), c AS (SELECT context, count(*) AS chunks, sum(len(e))::BIGINT AS entities FROM s WHERE regexp_extract(source_path, '([0-9]+)\\.txt$', 1)::BIGINT % 10 <> 3 GROUP BY context) SELECT * FROM c""")
+F9_ROWS = f"""SELECT context, source_path, chunk_idx, content FROM s WHERE NOT {{gone}} UNION ALL SELECT context, source_path, chunk_idx, 'again ' || content FROM s WHERE {{gone}} AND chunk_idx = 0"""
+
+
+@query("f9_replace_sources", f"WITH s AS ({WINDOWS}) SELECT context, source_path, chunk_idx, md5(content) AS digest FROM ({F9_ROWS.format(gone="regexp_matches(source_path, '3\\.txt$')")})")
 def f9(spark, sf_dir):
-    index = small_index(spark, sf_dir)
-    gone = derived(spark, sf_dir, "items").where("doc_id % 10 = 3").select("context", "source_path")
-    left = sync.replace_sources(index, {}, gone)
-    return left["chunks"].groupBy("context").agg(F.count("*").alias("chunks")).join(left["entities"].groupBy("context").agg(F.count("*").alias("entities")), "context")
+    """A tenth of the sources is replaced by the first chunk of each, changed."""
+    chunks = staged(chunk.chunk_sentence_window(derived(spark, sf_dir, "items").drop("doc_id")))
+    redone = chunks.where(F.col("source_path").rlike(r"3\.txt$"))
+    new = redone.where("chunk_idx = 0").withColumn("content", F.concat(F.lit("again "), "content"))
+    none = chunks.select("context", "source_path").limit(0)
+    left = sync.replace_sources(dict.fromkeys(sync.TABLES, none) | {"chunks": chunks}, {"chunks": new}, redone.select("context", "source_path"))
+    return left["chunks"].select("context", "source_path", "chunk_idx", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
 REDONE = f"(SELECT context, root, rel, rel || '/part-1' AS unit FROM {duck('corpus')} WHERE doc_id % 13 = 0)"
@@ -654,6 +682,33 @@ def f12(spark, sf_dir):
     return audit.index_counts(index_units(units, F.lit(0).cast("bigint")))
 
 
+
+@query("f14_rebuild", f"""SELECT context, root, rel AS path, hash, hash AS hash_at_index FROM {duck('corpus')}
+UNION ALL SELECT context, root, 'gone/' || rel, hash, '' FROM {duck('corpus')} WHERE doc_id % 11 = 0 AND doc_id % 13 <> 0""")
+def f14(spark, sf_dir):
+    """All files are indexed anew; rows of parts that no file has any more go, rows of sources that are away stay, unindexed."""
+    none = spark.createDataFrame([], "context string, source_path string")
+    done = rebuild(corpus_files(spark, sf_dir), derived(spark, sf_dir, "manifest"), dict.fromkeys(sync.TABLES, none), as_of())
+    return done["manifest"].select("context", "root", "path", "hash", "hash_at_index")
+
+
+@query("f15_stream_ingest", f"""WITH w AS (SELECT context, source_path, count(*) AS n FROM ({WINDOWS}) GROUP BY ALL), l AS ({d_layer("items", "doc_id, context, source_path, text")})
+SELECT l.context, 'all' AS root, l.source_path AS path, 'sha256:' || sha256(l.text) AS hash, strlen(l.text)::BIGINT AS source_size, l.layer AS type, CASE WHEN l.layer <> 'semantic' THEN 0 WHEN w.n > 0 THEN w.n WHEN {d_trim('l.text')} <> '' THEN 1 ELSE 0 END AS n_chunks
+FROM l LEFT JOIN w ON l.context = w.context AND l.source_path = w.source_path""")
+def f15(spark, sf_dir):
+    """All documents as a stream of files: the manifest and the chunks of each source."""
+    source = F.concat("source", F.lit("/"), "doc_id", F.lit(".txt"))
+    documents = spark.readStream.schema(derived(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
+    files = documents.select(
+        F.concat(F.lit("c"), F.col("doc_id") % 3).alias("context"), F.lit("all").alias("root"), source.alias("rel"), F.octet_length("text").cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("mtime"),
+        T.content_hash(F.col("text")).alias("hash"), F.col("text").cast("binary").alias("content"),
+    )
+    out = stage_folder(spark, "stream")
+    stream_rows(files, out, f"{out}/checkpoint", AS_OF).awaitTermination()
+    n = latest(spark, out, "chunks").groupBy("context", F.col("source_path").alias("path")).agg(F.count("*").alias("n_chunks"))
+    rows = latest(spark, out, "manifest").join(n, ["context", "path"], "left").na.fill(0, ["n_chunks"])
+    return rows.select("context", "root", "path", "hash", "source_size", "type", "n_chunks")
+
 @query("f13_ingestion_summary", f"""SELECT context, count(*) FILTER (action = 'already_indexed') AS already_indexed, count(*) FILTER (action = 'denied') AS denied, count(*) FILTER (action = 'too_large') AS too_large, count(*) FILTER (action = 'needs_work') AS indexed, sum(size)::BIGINT AS n_bytes FROM ({PLAN}) GROUP BY context""")
 def f13(spark, sf_dir):
     plan = sync.plan_add(derived(spark, sf_dir, "files"), derived(spark, sf_dir, "manifest"))

@@ -10,7 +10,11 @@ from ..functions.text import content_hash
 
 def list_corpus(spark: SparkSession, root: str, context: str = "default", contents: bool = False) -> DataFrame:
     """context, root, rel, size, mtime (seconds) of every file below root; with contents also content and hash. Without, no file is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return file_rows(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), root, context, contents)
+
+
+def file_rows(files: DataFrame, root: str, context: str = "default", contents: bool = False) -> DataFrame:
+    """The same of binary files (path, modificationTime, length, content), read or streamed."""
     base = root.rstrip("/").removeprefix("file://")
     plain = F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?(?=/)", "")
     rel = F.expr(f"substring(_plain, {len(base.split('://')[-1]) + 2})") if "://" not in base else F.element_at(F.split("path", "\\Q" + base + "/\\E"), -1)

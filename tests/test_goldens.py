@@ -1,6 +1,7 @@
 """Literal cases, mostly small inputs with a known result."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,10 +11,11 @@ from memspark.functions import text as T
 from memspark.functions.staging import staged
 from memspark.operators import audit, chunk, decode, embed, extract, notes, retrieve, sync
 from memspark.plans.ingest import index_units, ingest, rebuild
+from memspark.queries import QUERIES
 from memspark.sources.corpus import list_corpus
 from memspark.sources.index import blobs_of, read_blobs, read_index, write_index
 from memspark.sources.manifest import parse_manifests, write_manifest
-from memspark.streaming.ingest import latest, stream_ingest
+from memspark.streaming.ingest import append_batch, latest, stream_ingest
 
 
 def column(spark, values, fn, kind="string"):
@@ -269,16 +271,45 @@ def test_hashing_embedder():
     assert (embed.hashing_embedder(32)(["deploy THE_APP deploy"])[0] == v[0]).all()
 
 
+def test_hashing_embedder_against_plain_counts(spark):
+    """The registered query over a whole table equals signed token counts, written plainly."""
+    got = QUERIES["e2_hashing_embedder"](spark, "/root/testdata/sf0.001").collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(got) == len(texts)
+    for r in got:
+        counts = [0.0] * 64
+        for token in re.findall("[A-Za-z0-9_]+", texts[r.doc_id]):
+            h = 1469598103934665603
+            for b in token.lower().encode():
+                h = (h ^ b) * 1099511628211 % 2**64
+            counts[h % 64] += 1 - 2 * (h >> 8 & 1)
+        length = sum(c * c for c in counts) ** 0.5 or 1
+        assert r.embedding == pytest.approx([c / length for c in counts], abs=1e-6)
+
+
 def test_stream(spark, tmp_path):
-    source = tmp_path / "in"
-    source.mkdir()
-    tree(source, a__txt="The Parser reads Tokens and writes Trees for all of us.")
-    run = lambda: stream_ingest(spark, str(source), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    """Each batch is planned and decoded; equal names in two folders are two sources; a later delivery replaces a source in all tables."""
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    said = "The Parser reads Tokens and writes Trees for all of us."
+    for path, data in {"1/a/x.txt": said.encode(), "1/b/x.txt": said.encode("utf-16"), "1/c.html": b"<p>The Lexer calls Scanner today.</p>", "1/d.bin": b"\x00", "1/e.pdf": b"%PDF-1"}.items():
+        (source / path).parent.mkdir(parents=True, exist_ok=True)
+        (source / path).write_bytes(data)
+    run = lambda: stream_ingest(spark, str(source), out, str(tmp_path / "cp"), deliveries=True).awaitTermination()
     run()
-    tree(source, b__txt="The Lexer calls Scanner and returns Names to all of us.")
+    sources = lambda name, column: sorted(r[column] for r in latest(spark, out, name).select(column).distinct().collect())
+    assert sources("chunks", "source_path") == sources("manifest", "path") == ["a/x.txt", "b/x.txt", "c.html"]
+    assert [(r.source_rel, r.error) for r in spark.read.parquet(f"{out}/errors").collect()] == [("e.pdf", "decode")]
+    for path, data in {"2/a/x.txt": b"- run make\n- install it\nresult: success", "2/b/x.txt": said.encode("utf-16"), "2/c.html": b"<p></p>"}.items():
+        (source / path).parent.mkdir(parents=True, exist_ok=True)
+        (source / path).write_bytes(data)
     run()
     run()
-    assert sorted(r.source_path for r in latest(spark, str(tmp_path / "out"), "chunks").collect()) == ["a.txt", "b.txt"]
+    assert sources("chunks", "source_path") == ["b/x.txt"] and sources("procedures", "source_path") == ["a/x.txt"]
+    assert sources("manifest", "path") == ["a/x.txt", "b/x.txt", "c.html"]
+    before = {t: latest(spark, out, t).count() for t in ("chunks", "entities", "procedures", "manifest")}
+    again = list_corpus(spark, f"{source}/2", contents=True).withColumn("root", F.lit(str(source)))
+    append_batch(out)(again, 1)  # a batch that was cut off runs again
+    assert {t: latest(spark, out, t).count() for t in before} == before
 
 
 def test_large_plain_text_is_streamed(spark):
