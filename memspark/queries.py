@@ -908,9 +908,10 @@ def s3(spark, sf_dir):
     return files.join(top, "context").join(own, ["context", "root"]).join(empty, "context")
 
 
-@query("s4_migrate_manifest", f"SELECT context, '.' AS root, rel AS path, hash, hash AS hash_at_index, 'sha256:' || hash AS blob_ref, 'semantic' AS type, doc_id AS id FROM {duck('corpus')}")
+@query("s4_migrate_manifest", f"SELECT 'c' || (doc_id // 100) AS context, '.' AS root, rel AS path, hash, hash AS hash_at_index, 'sha256:' || hash AS blob_ref, 'semantic' AS type, doc_id AS id FROM {duck('corpus')}")
 def s4(spark, sf_dir):
-    c = derived(spark, sf_dir, "corpus")
+    """A document lists 100 files, so documents grow in number and not in size."""
+    c = derived(spark, sf_dir, "corpus").withColumn("context", F.expr("'c' || doc_id div 100"))
     entry = F.struct(F.col("doc_id").alias("id"), F.col("rel").alias("source_path"), F.col("hash").alias("source_hash"), F.concat(F.lit("sha256:"), "hash").alias("blob_hash"), F.lit("semantic").alias("layer"))
     docs = c.groupBy("context").agg(F.collect_list(entry).alias("entries"))
     text = F.to_json(F.struct(F.col("context").alias("name"), F.lit("0.1").alias("ctx_version"), F.lit("2024-01-01T00:00:00Z").alias("created"), F.col("entries")))
