@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licenses, line_dedup, packing, pii, quality, simhash, toxicity, warc
+from . import decontaminate, html_text, language, licenses, line_dedup, negatives, packing, pii, quality, resampling, simhash, toxicity, warc
 from .common import table
 
 
@@ -48,7 +49,27 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_toxicity, op4_line_dedup, op5_warc, op6_quality, op7_packing, op8_html, op9_licenses, op10_pii)}
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate, op2_simhash, op3_toxicity, op4_line_dedup, op5_warc, op6_quality, op7_packing, op8_html, op9_licenses, op10_pii,
+        op11_negatives, op12_resampling, op13_language,
+    )
+}
 ORACLES: dict[str, str] = {
     "op1_decontaminate": decontaminate.report_sql(), "op4_line_dedup": line_dedup.REPORT_SQL, "op5_warc": warc.ROUND_TRIP_SQL, "op6_quality": quality.report_sql(),
+    "op11_negatives": negatives.MINE_SQL, "op12_resampling": resampling.resample_sql(),
 }
