@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -29,54 +30,61 @@ from .common import cut_lineage, doc_id, small_batches
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Rounds of expectation maximisation, and what each piece counts for beforehand.
 ROUNDS, PRIOR = 3, 0.01
-#: Words start with this mark, as in sentencepiece vocabularies.
-START = "▁".encode()
+#: Words start with a mark, which is a space in vocabularies of ranks and an underline sign in those of sentencepiece. Here bytes are
+#: characters below 256; GAP stands between words and is part of no piece.
+GAP, START = "\u0100", "\u0101"
 WORD = regex.compile(r"[\p{L}\p{M}]*\p{L}[\p{L}\p{M}]*")
 #: Cells (words times bytes times languages) of a table of forward sums, places between two rescalings, and words that a task remembers.
 CELLS, RESCALE, REMEMBERED = 1 << 19, 16, 200_000
 UNKNOWN = "und"
 
 
-def read_vocabulary(path: str = VOCABULARY) -> list[bytes]:
-    """The distinct pieces of a vocabulary file as bytes, and all single bytes; the word-start mark is that of sentencepiece."""
+def read_vocabulary(path: str = VOCABULARY) -> list[str]:
+    """The distinct pieces of a vocabulary file, and all single bytes and the mark; a character for each byte and one for the mark."""
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [model.id_to_piece(i).encode() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+        pieces = [p.replace("▁".encode(), b" ") for p in pieces]
     else:
         with open(path, "rb") as lines:
             pieces = [base64.b64decode(line.split()[0]) for line in lines if line.strip()]
-        pieces = [START + p[1:] if p.startswith(b" ") else p for p in pieces]
-    return sorted({bytes([b]) for b in range(256)} | set(pieces) - {b""})
+    return sorted({chr(b) for b in range(256)} | {START} | {START + p[1:].decode("latin-1") if p.startswith(b" ") else p.decode("latin-1") for p in pieces if p})
 
 
 class Pieces:
     """The vocabulary, and a search for all its pieces in many words at once."""
 
-    #: Stands between words: no byte, so part of no piece.
-    GAP = "\u0100"
-
-    def __init__(self, pieces: list[bytes]):
+    def __init__(self, pieces: list[str]):
         self.pieces, self.longest, self.found = pieces, max(map(len, pieces)), None
 
     def __reduce__(self):
         return Pieces, (self.pieces,)
 
-    def edges(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
+    def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """End, word, start and piece of every occurrence, by end, then word."""
         if self.found is None:  # once a task
-            self.sizes = np.array([len(p) for p in self.pieces], np.int64)
+            self.sizes, self.single = np.array([len(p) for p in self.pieces]), np.full(1 << 16, -1)
             self.found = ahocorasick.Automaton()
             for i, piece in enumerate(self.pieces):
-                self.found.add_word(piece.decode("latin-1"), i)
+                if len(piece) > 1:
+                    self.found.add_word(piece, i)
+                else:
+                    self.single[ord(piece)] = i
             self.found.make_automaton()
-        hits = np.array(list(self.found.iter(self.GAP.join(w.decode("latin-1") for w in words))), np.int64).reshape(-1, 2)
-        ends, piece = hits[:, 0] + 1, hits[:, 1]
-        begins = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
-        word = np.searchsorted(begins, ends - 1, "right") - 1
-        end = ends - begins[word]
-        order = np.lexsort((word, end))
+        text = GAP.join(words)
+        hits = np.fromiter(chain.from_iterable(self.found.iter(text)), np.int64) if len(self.found) else np.empty(0, np.int64)
+        alone = self.single[np.frombuffer(text.encode("utf-16-le"), np.uint16)]
+        every = np.flatnonzero(alone >= 0)
+        last, piece = np.concatenate((hits[::2], every)), np.concatenate((hits[1::2], alone[every]))
+        order = np.argsort(last, kind="stable")  # two sorted runs
+        last, piece = last[order], piece[order]
+        sizes = np.array([len(w) + 1 for w in words])
+        begins = np.cumsum(sizes) - sizes
+        word = np.repeat(np.arange(len(words)), sizes)[last]
+        end = last + 1 - begins[word]
+        order = np.argsort(end.astype(np.uint16) if sizes.max(initial=0) < 1 << 16 else end, kind="stable")  # hits come word by word
         end, word, piece = end[order], word[order], piece[order]
         return end, word, end - self.sizes[piece], piece
 
@@ -84,7 +92,7 @@ class Pieces:
 class Lattice:
     """All pieces in a batch of words, as edges from one byte place to another."""
 
-    def __init__(self, words: list[bytes], pieces: Pieces):
+    def __init__(self, words: list[str], pieces: Pieces):
         self.end, self.word, self.start, self.piece = pieces.edges(words)
         self.sizes = np.array([len(w) for w in words], np.int64)
         self.longest, self.width = pieces.longest, int(self.sizes.max(initial=0)) + 1
@@ -96,16 +104,17 @@ class Lattice:
         word = self.word[e]
         return e, np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.empty(0, np.int64)
 
-    def forward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sums (place, word, language) of segmentations up to a place, and the logarithms of what they were divided by."""
+    def forward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """Sums (place, word, language) of segmentations up to a place, and the logarithms of what they were divided by (None for short words)."""
         a = np.zeros((self.width, len(self.sizes), p.shape[1]))
-        logs = np.zeros_like(a)
+        logs = np.zeros_like(a) if self.width > RESCALE else None
         a[0] = 1.0
         for j in range(1, self.width):
-            logs[j] = logs[j - 1]
             e, first = self.at_end(j)
             a[j, self.word[e][first]] = np.add.reduceat(a[self.start[e], self.word[e]] * p[self.piece[e]], first, axis=0)
-            if j % RESCALE == 0:  # all sums that later places need
+            if logs is not None:
+                logs[j] = logs[j - 1]
+            if logs is not None and j % RESCALE == 0:  # all sums that later places need
                 near = slice(max(0, j - self.longest), j + 1)
                 top = a[near].max(axis=0)
                 top[top <= 0] = 1.0
@@ -117,7 +126,7 @@ class Lattice:
         """Logarithms of the words' probabilities (word, language)."""
         a, logs = self.forward(p)
         at = np.arange(len(self.sizes))
-        return np.log(np.maximum(a[self.sizes, at], 1e-300)) + logs[self.sizes, at]
+        return np.log(np.maximum(a[self.sizes, at], 1e-300)) + (0 if logs is None else logs[self.sizes, at])
 
     def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected uses (piece, language) where the words occur counts (word, language) times.
@@ -130,7 +139,9 @@ class Lattice:
         for j in range(self.width - 1, 0, -1):
             e, first = self.at_end(j)
             start, word = self.start[e], self.word[e]
-            ways = a[start, word] * np.exp(logs[start, word] - logs[j, word]) * p[self.piece[e]]
+            ways = a[start, word] * p[self.piece[e]]
+            if logs is not None:
+                ways *= np.exp(logs[start, word] - logs[j, word])
             total = np.zeros(a.shape[1:])
             total[word[first]] = np.add.reduceat(ways, first, axis=0)
             ways *= (passed[j] / np.maximum(total, 1e-300))[word]
@@ -139,7 +150,7 @@ class Lattice:
         return np.stack([np.bincount(self.piece, u, len(p)) for u in uses.T], axis=1)
 
 
-def lattices(words: list[bytes], pieces: Pieces, languages: int) -> Iterator[tuple[list[int], Lattice]]:
+def lattices(words: list[str], pieces: Pieces, languages: int) -> Iterator[tuple[list[int], Lattice]]:
     """Lattices of words of like length, with the words' places."""
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     part: list[int] = []
@@ -156,8 +167,8 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text) if text else []
 
 
-def word_bytes(word: str) -> bytes:
-    return START + word.encode("utf-8", "surrogatepass")
+def marked(word: str) -> str:
+    return START + word.encode("utf-8", "surrogatepass").decode("latin-1")
 
 
 class LanguageModel:
@@ -169,7 +180,7 @@ class LanguageModel:
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Logarithms of the words' probabilities (word, language)."""
         out = np.zeros((len(words), len(self.languages)))
-        for part, lattice in lattices([word_bytes(w) for w in words], self.pieces, len(self.languages)):
+        for part, lattice in lattices([marked(w) for w in words], self.pieces, len(self.languages)):
             out[part] = lattice.log_likelihood(self.p)
         return out
 
@@ -196,8 +207,7 @@ class LanguageModel:
         """The likeliest language and its posterior, to six digits; no words or no languages are unknown with score 0."""
         if not counts or not self.languages:
             return UNKNOWN, 0.0
-        words = sorted(counts)
-        logs = np.log(self.shares) + np.array([counts[w] for w in words], float) @ np.array([known[w] for w in words])
+        logs = np.log(self.shares) + np.array(list(counts.values()), float) @ np.array([known[w] for w in counts])
         best = int(logs.argmax())
         return self.languages[best], round(float(1 / np.exp(logs - logs[best]).sum()), 6)
 
@@ -256,7 +266,7 @@ def expected_uses(words: DataFrame, model: LanguageModel) -> np.ndarray:
             for i, row in enumerate(batch.column(1).to_pylist()):
                 for c in row:
                     counts[i, c["lang"]] = c["n"]
-            for part, lattice in lattices([word_bytes(w) for w in batch.column(0).to_pylist()], model.pieces, len(model.languages)):
+            for part, lattice in lattices([marked(w) for w in batch.column(0).to_pylist()], model.pieces, len(model.languages)):
                 total += lattice.expected(model.p, counts[part])
         used = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used].tolist(), pa.list_(pa.float64()))], names=["piece", "uses"])
