@@ -16,6 +16,7 @@ from .plans.ingest import index_units, rebuild
 from .sources.corpus import from_rows, list_corpus
 from .sources.index import blobs_of, read_blobs, read_index, write_index
 from .sources.manifest import parse_manifests, write_manifest
+from .sources.streamed import streamed_units
 from .streaming.ingest import latest, stream_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,6 +149,25 @@ def d3(spark, sf_dir):
     return d.select("doc_id", F.md5(decode.decode_text(raw)).alias("digest"))
 
 
+LATIN, CYRILLIC = "etaoinshrdlucmfwypvbgkjqxz", "оеаинтсрвлкмдпуяыьгзбчйхжш"
+#: All documents as bytes of old code pages: in Cyrillic letters, or as they are.
+PAGES = (
+    f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE translate(regexp_replace(text, '[^\\x01-\\x7F]', '', 'g'), '{LATIN}{LATIN.upper()}', '{CYRILLIC}{CYRILLIC.upper()}') END AS text, "
+    "CASE WHEN doc_id % 2 = 0 THEN 'cp1252' ELSE 'cp1251' END AS page FROM documents"
+)
+
+
+@query("d3_old_code_pages", f"SELECT doc_id, page, md5(text) AS digest FROM ({PAGES})")
+def d3_pages(spark, sf_dir):
+    @F.udf("binary", useArrow=True)
+    def encoded(text, page):
+        return text.encode(page)
+
+    plain = F.translate(F.regexp_replace("text", "[^\\x01-\\x7F]", ""), LATIN + LATIN.upper(), CYRILLIC + CYRILLIC.upper())
+    d = derived(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(plain).alias("text"), F.when(F.col("doc_id") % 2 == 0, "cp1252").otherwise("cp1251").alias("page"))
+    return d.select("doc_id", "page", F.md5(decode.decode_text(encoded("text", "page"))).alias("digest"))
+
+
 @query("d4_html_to_text")
 def d4(spark, sf_dir):
     return derived(spark, sf_dir, "pages").select("page_id", decode.html_to_text(F.col("html")).alias("text"))
@@ -171,9 +191,41 @@ def d6(spark, sf_dir):
     return decode.table_to_markdown(heads.unionByName(body), ["n_regionkey"], "o")
 
 
-@query("d7_split_plain_text")
+def d_units(table: str, key: str, size: int) -> str:
+    """key, n (from 1), n_bytes and digest of the units of a table's texts (key, text); unit after unit, as each begins where the last one ended."""
+    line, before = f"list_filter(ends, lambda x: x >= e + {size})[1]", f"list_filter(ends, lambda x: x > e AND x <= e + {size})[-1]"
+    whole = f"list_filter([e + {size}, e + {size} - 1, e + {size} - 2, e + {size} - 3], lambda x: substr(h, 2 * x + 1, 1) NOT IN ('8', '9', 'A', 'B'))[1]"
+    return f"""WITH RECURSIVE src AS MATERIALIZED (SELECT {key}, hex(encode(text)) AS h, strlen(text) AS total, string_split(text, chr(10)) AS l FROM {table}),
+lines AS (SELECT {key}, sum(strlen(line) + 1) OVER (PARTITION BY {key} ORDER BY i) AS e FROM (SELECT {key}, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM src)),
+places AS MATERIALIZED (SELECT s.*, coalesce((SELECT list(l.e::BIGINT ORDER BY l.e) FROM lines l WHERE l.{key} = s.{key} AND l.e <= s.total), []) AS ends FROM src s),
+u AS (SELECT {key}, 0 AS n, 0::BIGINT AS b, 0::BIGINT AS e FROM places UNION ALL
+SELECT {key}, n + 1, e, CASE WHEN e + {size} >= total THEN total WHEN {before} IS NULL THEN {whole} WHEN {line} <= e + {2 * size} THEN {line} ELSE {before} END FROM u JOIN places USING ({key}) WHERE e < total)
+SELECT {key}, n, e - b AS n_bytes, md5(decode(unhex(substr(h, 2 * b + 1, 2 * (e - b))))) AS digest FROM u JOIN places USING ({key}) WHERE n > 0"""
+
+
+@query("d7_split_plain_text", f"SELECT doc_id, printf('chunk-%04d.txt', n) AS virtual_path, n_bytes, digest FROM ({d_units('documents', 'doc_id', 1000)})")
 def d7(spark, sf_dir):
-    return decode.split_plain_text(derived(spark, sf_dir, "items").select("doc_id", "text"), 1000).select("doc_id", "virtual_path", F.octet_length("text").alias("n_bytes"), F.md5("text").alias("digest"))
+    parts = decode.split_plain_text(derived(spark, sf_dir, "items").select("doc_id", "text"), 1000)
+    return parts.select("doc_id", "virtual_path", F.octet_length("text").alias("n_bytes"), F.md5("text").alias("digest"))
+
+
+BOOKS = "SELECT doc_id // 500 AS book, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY book"
+
+
+@query("d7_streamed_units", f"SELECT 'book=' || book AS book, printf('chunk-%04d.txt', n) AS virtual_path, n_bytes, digest FROM ({d_units(f'({BOOKS})', 'book', 50000)})")
+def d7_streamed(spark, sf_dir):
+    """All documents as large files (500 documents each, so files grow in number), written and read again by byte ranges in many splits."""
+    folder = stage_folder(spark, "books")
+    rows = derived(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id div 500").alias("book"), "text").repartition("book").sortWithinPartitions("book", "doc_id")
+    rows.select("book", "text").write.option("lineSep", "\n").partitionBy("book").text(folder)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 1 << 18)
+    try:
+        units = staged(streamed_units(spark, folder, above=0, size=50_000, span=200_000))
+    finally:
+        spark.conf.set(key, before)
+    return units.select(F.substring_index("source_rel", "/", 1).alias("book"), "virtual_path", F.octet_length("text").alias("n_bytes"), F.md5("text").alias("digest"))
 
 
 UNITS = "SELECT 'c' || (conv_id % 3) AS context, 'r' AS root, 'conv' || conv_id AS source_rel, turn, CASE WHEN turn % 4 = 2 THEN ' ' ELSE text END AS text, role FROM {conversations}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
@@ -13,13 +13,18 @@ def list_corpus(spark: SparkSession, root: str, context: str = "default", conten
     return file_rows(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), root, context, contents)
 
 
+def relative(path: Column, root: str) -> Column:
+    """The part of a file's path below root."""
+    base = root.rstrip("/").removeprefix("file://")
+    if "://" in base:
+        return F.element_at(F.split(path, "\\Q" + base + "/\\E"), -1)
+    return F.substring(F.regexp_replace(path, "^[a-z0-9]+:(//[^/]*)?(?=/)", ""), len(base) + 2, 1 << 30)
+
+
 def file_rows(files: DataFrame, root: str, context: str = "default", contents: bool = False) -> DataFrame:
     """The same of binary files (path, modificationTime, length, content), read or streamed."""
-    base = root.rstrip("/").removeprefix("file://")
-    plain = F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?(?=/)", "")
-    rel = F.expr(f"substring(_plain, {len(base.split('://')[-1]) + 2})") if "://" not in base else F.element_at(F.split("path", "\\Q" + base + "/\\E"), -1)
-    rows = files.withColumn("_plain", plain).select(
-        F.lit(context).alias("context"), F.lit(root).alias("root"), rel.alias("rel"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"), *(["content"] if contents else []),
+    rows = files.select(
+        F.lit(context).alias("context"), F.lit(root).alias("root"), relative(F.col("path"), root).alias("rel"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"), *(["content"] if contents else []),
     )
     return rows.withColumn("hash", content_hash(F.col("content"))) if contents else rows
 
