@@ -22,6 +22,11 @@ SHEETS = "xlsx xlsm xls xlsb ods".split()
 FORMAT_LIMIT, STREAM_FROM, UNIT_BYTES = 256 << 20, 8 << 20, 1 << 20
 
 
+def index_path(root: Column, path: Column) -> Column:
+    """A source's name in the index: its path below its root, so equal paths of two roots stay apart."""
+    return F.when(F.coalesce(root, F.lit("")).isin("", "."), path).otherwise(F.concat(F.rtrim(root, F.lit("/")), F.lit("/"), path))
+
+
 def classify_path(path: Column) -> Column:
     """keep, infrastructure, denied or junk."""
     return (

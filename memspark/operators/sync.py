@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.paths import FORMAT_LIMIT, classify_path, route_decoder
+from ..functions.paths import FORMAT_LIMIT, classify_path, index_path, route_decoder
 
 KEY = ["context", "root", "source_rel"]
 DEFAULT_RATE, PROCEDURE_SECONDS, ITEM_SECONDS, MIB = 45.0, 8.0, 2.0, 1 << 20
@@ -108,7 +108,7 @@ TABLES = ("chunks", "entities", "relations", "procedures")
 
 
 def replace_sources(index: Index, new: Index, sources: DataFrame) -> Index:
-    """The index without the rows of sources (context, source_path), and with the new rows. Entities and relations carry their source, so each table needs one anti-join; procedures without a source stay."""
+    """The index without the rows of sources (context, source_path as `index_path` names it), and with the new rows. Entities and relations carry their source, so each table needs one anti-join; procedures without a source stay."""
     gone = sources.select("context", "source_path").distinct()
     return {t: index[t].join(gone, ["context", "source_path"], "left_anti").unionByName(new[t], allowMissingColumns=True) if t in new else index[t].join(gone, ["context", "source_path"], "left_anti") for t in TABLES}
 
@@ -119,7 +119,7 @@ def prune_orphan_units(manifest: DataFrame, index: Index, units: DataFrame) -> t
     there = units.select("context", "root", F.col("unit_rel").alias("path")).distinct()
     rows = manifest.withColumn("source_rel", source_rel())
     gone = rows.join(redone, KEY, "left_semi").join(there, ["context", "root", "path"], "left_anti").select("context", "root", "path")
-    lost = gone.select("context", F.col("path").alias("source_path")).distinct()
+    lost = gone.select("context", index_path(F.col("root"), F.col("path")).alias("source_path")).distinct()
     return manifest.join(gone, ["context", "root", "path"], "left_anti"), {t: index[t].join(lost, ["context", "source_path"], "left_anti") for t in TABLES}
 
 
