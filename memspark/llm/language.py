@@ -35,7 +35,8 @@ ROUNDS, PRIOR = 3, 0.01
 GAP, START = "\u0100", "\u0101"
 WORD = regex.compile(r"[\p{L}\p{M}]*\p{L}[\p{L}\p{M}]*")
 #: Cells (words times bytes times languages) of a table of forward sums, places between two rescalings, and words that a task remembers.
-CELLS, RESCALE, REMEMBERED = 1 << 19, 16, 200_000
+#: A task works on MANY words of the training table at once.
+CELLS, RESCALE, REMEMBERED, MANY = 1 << 19, 16, 500_000, 20_000
 UNKNOWN = "und"
 
 
@@ -190,24 +191,25 @@ class LanguageModel:
         sent = documents.sparkSession.sparkContext.broadcast(self)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model, known = sent.value, {}
+            model, known, parts = sent.value, {}, []  # a word's row among the scores
             for batch in batches:
                 counts = [Counter(words_of(t.as_py())) for t in batch.column(1)]
                 if len(known) > REMEMBERED:
-                    known.clear()
-                new = [w for w in dict.fromkeys(w for c in counts for w in c) if w not in known]
-                known.update(zip(new, model.word_scores(new), strict=True))
-                found = [model.decide(c, known) for c in counts]
+                    known, parts = {}, []
+                new = [w for w in dict.fromkeys(chain.from_iterable(counts)) if w not in known]
+                known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+                parts = [np.concatenate([*parts, model.word_scores(new)])]
+                found = [model.decide(c, parts[0][[known[w] for w in c]]) for c in counts]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
         rows = documents.select(doc_id(), F.col("text").cast("string").alias("text"))
         return rows.mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
-    def decide(self, counts: Counter, known: dict[str, np.ndarray]) -> tuple[str, float]:
-        """The likeliest language and its posterior, to six digits; no words or no languages are unknown with score 0."""
+    def decide(self, counts: Counter, scores: np.ndarray) -> tuple[str, float]:
+        """The likeliest language of a text with these words, and its posterior, to six digits; no words or no languages are unknown with score 0."""
         if not counts or not self.languages:
             return UNKNOWN, 0.0
-        logs = np.log(self.shares) + np.array(list(counts.values()), float) @ np.array([known[w] for w in counts])
+        logs = np.log(self.shares) + np.array(list(counts.values()), float) @ scores
         best = int(logs.argmax())
         return self.languages[best], round(float(1 / np.exp(logs - logs[best]).sum()), 6)
 
@@ -260,14 +262,24 @@ def expected_uses(words: DataFrame, model: LanguageModel) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        total = np.zeros_like(model.p)
-        for batch in batches:
-            counts = np.zeros((batch.num_rows, len(model.languages)))
-            for i, row in enumerate(batch.column(1).to_pylist()):
+        total, words, seen = np.zeros_like(model.p), [], []
+
+        def add() -> None:
+            counts = np.zeros((len(words), len(model.languages)))
+            for i, row in enumerate(seen):
                 for c in row:
                     counts[i, c["lang"]] = c["n"]
-            for part, lattice in lattices([marked(w) for w in batch.column(0).to_pylist()], model.pieces, len(model.languages)):
-                total += lattice.expected(model.p, counts[part])
+            for part, lattice in lattices([marked(w) for w in words], model.pieces, len(model.languages)):
+                total[:] += lattice.expected(model.p, counts[part])
+            words.clear()
+            seen.clear()
+
+        for batch in batches:
+            words += batch.column(0).to_pylist()
+            seen += batch.column(1).to_pylist()
+            if len(words) >= MANY:
+                add()
+        add()
         used = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used].tolist(), pa.list_(pa.float64()))], names=["piece", "uses"])
 
