@@ -1,13 +1,13 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read as blocks of text in page order, each with its root-to-leaf path of block tags. Text length and punctuation are
-summed per path and divided by the path's blocks. Both ratios are smoothed along the page between neighbours under the same parent
-(so that a heading gains from the paragraphs behind it), averaged per path and fused. Linked text takes away from a path. From the
-root on, the container that holds most of the text is followed down to the main one; a path outside it counts by the squared share of
-the text in its own branch. Paths below a share of the page's best score are dropped.
+A page is read as blocks of text in page order, each with its root-to-leaf path of block tags. Text length and punctuation are summed per path
+and divided by the path's blocks. Both ratios are smoothed along the page between neighbours under the same parent (so that a
+heading gains from the paragraphs around it), averaged per path and fused. Linked text takes away from a path. The ratios of the
+blocks also choose the main container, that where they sum up high and are dense; a path outside it counts by the squared share of its own
+branch. Paths below a share of the page's best score are dropped.
 
 Tags and names that announce something else than the article (menus, footers, adverts, forms, comments, ...) are a prior: they make a
-path's score smaller, they rule nothing out. Only what a browser doesn't show is left out at once.
+path's score 25 times smaller. Only what a browser doesn't show is left out at once.
 """
 
 from __future__ import annotations
@@ -22,20 +22,19 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, small_batches
 
 #: Share of the best path's score that a path needs; the factor of tags and names that announce something else.
-LEAST_SHARE, PRIOR = 0.05, 0.02
+LEAST_SHARE, PRIOR = 0.1, 0.04
 #: What linked text takes away from a path inside <article> or <main>, where a list of links may be text; elsewhere it takes all.
 LINKED = 0.7
-#: Share of a container's text that a child needs to be followed to the main container.
-MOST_TEXT = 0.6
-#: Smoothing over blocks at distance 0, 1, 2.
-KERNEL = (1.0, 0.6, 0.2)
+#: Smoothing over blocks at distance 0, 1, 2, ... under the same parent.
+KERNEL = tuple(0.7**k for k in range(7))
+#: How much a container's mean ratio counts beside their sum.
+DENSE = 2
 
 #: Elements by their part in HTML.
 RAW = frozenset("script style noscript template iframe svg math object textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rt s samp small span strike strong sub sup time tt u var".split())
 OTHER = frozenset("nav aside footer form button select dialog menu fieldset".split())
-ARTICLE = frozenset("nav aside footer form button select dialog menu fieldset head".split())
 ARTICLE = frozenset(("article", "main"))
 #: What closes what, where end tags may be left out.
 SAME_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -66,13 +65,14 @@ def names_other(attributes: str) -> bool:
 
 
 class Page:
-    """Blocks of a page (text, path, link characters); for each path its parent, its prior and whether it is a container."""
+    """Blocks of a page (text, path, link characters); for each path its parent, its prior, whether it is inside an article and whether it is shown."""
 
     def __init__(self, source: str):
         self.paths: dict[tuple, int] = {}
-        self.parent, self.prior, self.holds, self.inside, self.hidden = [-1], [1.0], [True], [False], [False]
+        self.parent, self.prior, self.inside, self.hidden = [-1], [1.0], [False], [False]
         self.blocks: list[tuple[str, int, int]] = []
         self.stack: list[tuple[str, int]] = [("", 0)]
+        self.depths: dict[str, list[int]] = {}  # where on the stack a tag is open
         self.parts: list[str] = []
         self.links = self.link_chars = 0
         self.read(source)
@@ -89,21 +89,21 @@ class Page:
             if self.links:
                 self.link_chars += len(text)
 
+    def nearest(self, tags) -> int:
+        """Where on the stack the innermost of tags is open; 0 if none is."""
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+
     def pop_to(self, depth: int) -> None:
         self.flush()
-        del self.stack[depth:]
+        while len(self.stack) > depth:
+            self.depths[self.stack.pop()[0]].pop()
 
     def open(self, tag: str, attributes: str) -> None:
         self.flush()
         if self.stack[-1][0] == "p":
-            self.stack.pop()
-        if tag in SAME_KIND:
-            for depth in range(len(self.stack) - 1, 0, -1):
-                if self.stack[depth][0] in SAME_KIND[tag]:
-                    del self.stack[depth:]
-                    break
-                if self.stack[depth][0] in LIST_ROOTS:
-                    break
+            self.pop_to(len(self.stack) - 1)
+        if tag in SAME_KIND and (depth := self.nearest(SAME_KIND[tag])) > self.nearest(LIST_ROOTS):
+            self.pop_to(depth)
         up = self.stack[-1][1]
         other = tag in OTHER or (tag == "header" and not self.inside[up]) or (bool(attributes) and tag not in (*ARTICLE, "html", "body") and names_other(attributes))
         hidden = self.hidden[up] or tag == "head" or (bool(attributes) and HIDDEN.search(attributes) is not None)
@@ -114,19 +114,17 @@ class Page:
             path = self.paths[key] = len(self.parent)
             self.parent.append(up)
             self.prior.append(self.prior[up] * (PRIOR if other else 1.0))
-            self.holds.append(tag not in LEAVES)
             self.inside.append(self.inside[up] or tag in ARTICLE)
             self.hidden.append(hidden)
+        self.depths.setdefault(tag, []).append(len(self.stack))
         self.stack.append((tag, path))
 
     def close(self, tag: str) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.stack[depth][0] == tag:
-                self.pop_to(depth)
-                return
-            if self.stack[depth][0] in ARTICLE and tag not in ("body", "html"):
-                break
-        if tag == "p":
+        """End the innermost such element; an end tag inside an article reaches nothing around it."""
+        depth = self.nearest((tag,))
+        if depth and (tag in ("body", "html") or depth >= self.nearest(ARTICLE)):
+            self.pop_to(depth)
+        elif tag == "p":
             self.flush()
 
     def read(self, source: str) -> None:
@@ -164,59 +162,63 @@ class Page:
         self.flush()
 
 
-def branches(parent: list[int], holds: list[bool], chars: np.ndarray) -> np.ndarray:
-    """For every path 1 inside the main container, else the share of the text in the largest container above it (or itself) that is outside."""
+def smoothed(value: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Means of each block's neighbourhood by KERNEL, among blocks of the same parent."""
+    n, total, weight = len(value), np.zeros(len(value)), np.zeros(len(value))
+    for shift in range(1 - len(KERNEL), len(KERNEL)):
+        if n > abs(shift):
+            a, b = slice(max(0, shift), n + min(0, shift)), slice(max(0, -shift), n + min(0, -shift))
+            same = (parent[a] == parent[b]) * KERNEL[abs(shift)]
+            total[a] += value[b] * same
+            weight[a] += same
+    return total / weight
+
+
+def branches(parent: np.ndarray, path: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """For every path 1 inside the main container, else the share of the ratios in the largest branch above it (or itself) that is outside.
+
+    The main container is the path with the largest sum of its blocks' ratios times their mean to the power DENSE: much text, and little beside it.
+    Of equal ones the outer one is meant.
+    """
     many = len(parent)
-    below = chars.copy()
+    total, blocks = np.bincount(path, ratio, many), np.bincount(path, minlength=many).astype(float)
     for p in range(many - 1, 0, -1):  # a path comes behind its parent
-        below[parent[p]] += below[p]
-    heaviest = [0] * many
-    for p in range(1, many):
-        if holds[p] and (not heaviest[parent[p]] or below[p] > below[heaviest[parent[p]]]):
-            heaviest[parent[p]] = p
-    main = 0
-    while heaviest[main] and below[heaviest[main]] >= MOST_TEXT * below[main]:
-        main = heaviest[main]
-    above = {main}
-    while parent[main] >= 0:
-        main = parent[main]
-        above.add(main)
-    main, total = max(above), max(below[0], 1)
+        total[parent[p]] += total[p]
+        blocks[parent[p]] += blocks[p]
+    inner = np.unique(np.maximum(parent, 0))  # paths of other paths
+    main = int(inner[(total * (total / np.maximum(blocks, 1)) ** DENSE)[inner].argmax()])
+    above, at = {main}, main
+    while at > 0:
+        at = int(parent[at])
+        above.add(at)
+    alone = np.bincount(path, ratio, many)
     share = np.zeros(many)
     for p in range(many):
-        if p == main or p and share[parent[p]] == 1:
+        up = parent[p]
+        if p == main or (p and share[up] == 1 and (up == main or up not in above)):
             share[p] = 1
-        elif p not in above:
-            share[p] = max(below[p] / total, share[parent[p]] if parent[p] not in above else 0)
+        elif p in above:
+            share[p] = alone[p] / max(total[0], 1e-9)
         else:
-            share[p] = chars[p] / total
+            share[p] = max(total[p] / max(total[0], 1e-9), share[up] if up not in above else 0)
     return share
 
 
 def path_scores(page: Page) -> np.ndarray:
     """Fused, smoothed ratio of every path of the page."""
-    n = len(page.blocks)
     path = np.array([p for _, p, _ in page.blocks])
-    parent = np.array(page.parent)[path]
+    up = np.array(page.parent)
+    parent, many = up[path], len(up)
     length = np.array([len(t) for t, _, _ in page.blocks], float)
-    marks = np.array([len(PUNCTUATION.findall(t)) for t, _, _ in page.blocks], float)
     linked = np.array([min(k, len(t)) for t, _, k in page.blocks], float)
-    many = len(page.parent)
+    marks = np.array([len(PUNCTUATION.findall(t)) for t, _, _ in page.blocks], float)
     blocks = np.maximum(np.bincount(path, minlength=many), 1)
     fused = np.ones(many)
     for ratio in (np.bincount(path, length, many) / blocks, np.bincount(path, marks, many) / blocks + 1):
-        value, total, weight = ratio[path], np.zeros(n), np.zeros(n)
-        for shift in range(-2, 3):
-            a, b = slice(max(0, shift), n + min(0, shift)), slice(max(0, -shift), n + min(0, -shift))
-            if n > abs(shift):
-                same = (parent[a] == parent[b]) * KERNEL[abs(shift)]
-                total[a] += value[b] * same
-                weight[a] += same
-        fused *= np.bincount(path, total / weight, many) / blocks
+        fused *= np.sqrt(np.bincount(path, smoothed(ratio[path], parent), many) / blocks)
     share = np.bincount(path, linked, many) / np.maximum(np.bincount(path, length, many), 1)
-    prior, linked_part = np.array(page.prior), np.where(page.inside, LINKED, 1.0)
-    inside = branches(page.parent, page.holds, np.bincount(path, (length - linked) * prior[path], many))
-    return np.sqrt(fused) * (1 - linked_part * share) * prior * inside**2
+    own = np.sqrt((length - linked) * (marks + 1)) * np.array(page.prior)[path]
+    return fused * (1 - np.where(page.inside, LINKED, 1.0) * share) * np.array(page.prior) * branches(up, path, own) ** 2
 
 
 def main_text(source: str | None) -> str:

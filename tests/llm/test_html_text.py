@@ -1,4 +1,8 @@
-from memspark.llm.html_text import KERNEL, LINKED, MOST_TEXT, Page, extract_text, main_text, path_scores
+import time
+
+import numpy as np
+
+from memspark.llm.html_text import KERNEL, LINKED, Page, extract_text, main_text, path_scores
 
 ARTICLE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>no</article>";</script></head><body class="no-sidebar">
 <header><a href="/">Site name</a></header><nav><ul><li><a href="/a">Menu one</a><li><a href="/b">Menu two</a></ul></nav><!-- <p>comment</p> -->
@@ -50,12 +54,7 @@ def test_rows(spark):
 
 def plain_scores(page):
     """path_scores, by plain loops over blocks and paths."""
-    def fused(p):
-        out = 1.0
-        for ratio in (length, marks):
-            own = [smoothed(i, ratio) for i, (_, q, _) in enumerate(page.blocks) if q == p]
-            out *= sum(own) / len(own)
-        return out
+    free = lambda t, k: len(t) - min(k, len(t))
 
     def length(p):
         own = [len(t) for t, q, _ in page.blocks if q == p]
@@ -66,32 +65,32 @@ def plain_scores(page):
         return sum(own) / len(own) + 1
 
     def smoothed(i, ratio):
-        near = [(KERNEL[abs(i - j)], q) for j, (_, q, _) in enumerate(page.blocks) if abs(i - j) < 3 and page.parent[q] == page.parent[page.blocks[i][1]]]
+        near = [(KERNEL[abs(i - j)], q) for j, (_, q, _) in enumerate(page.blocks) if abs(i - j) < len(KERNEL) and page.parent[q] == page.parent[page.blocks[i][1]]]
         return sum(w * ratio(q) for w, q in near) / sum(w for w, _ in near)
 
+    def fused(p):
+        own = [[smoothed(i, ratio) for i, (_, q, _) in enumerate(page.blocks) if q == p] for ratio in (length, marks)]
+        return (sum(own[0]) * sum(own[1])) ** 0.5 / len(own[0])
+
     def above(p):
         return [p, *above(page.parent[p])] if p > 0 else [0]
 
-    def text(p):
-        return sum((len(t) - min(k, len(t))) * page.prior[q] for t, q, k in page.blocks if p in above(q))
+    def below(p):
+        return [(free(t, k) * (sum(c in ".,;:!?…。、，！？" for c in t) + 1)) ** 0.5 * page.prior[q] for t, q, k in page.blocks if p in above(q)]
 
-    main = 0
-    while True:
-        inner = [p for p in range(1, len(page.parent)) if page.holds[p] and page.parent[p] == main]
-        best = max(inner, key=lambda p: (text(p), -p), default=None)
-        if best is None or text(best) < MOST_TEXT * text(main):
-            break
-        main = best
+    dense = {p: sum(below(p)) * (sum(below(p)) / max(1, len(below(p)))) ** 2 for p in sorted({max(q, 0) for q in page.parent})}
+    main = max(dense, key=lambda p: (round(dense[p], 6), -p))
 
     def inside(p):
+        whole = max(sum(below(0)), 1e-9)
         if main in above(p):
             return 1.0
         if p in above(main):
-            return sum((len(t) - min(k, len(t))) * page.prior[q] for t, q, k in page.blocks if q == p) / max(text(0), 1)
-        return max(text(q) for q in above(p) if q not in above(main)) / max(text(0), 1)
+            return (sum(below(p)) - sum(sum(below(q)) for q in range(1, len(page.parent)) if page.parent[q] == p)) / whole
+        return max(sum(below(q)) for q in above(p) if q not in above(main)) / whole
 
     linked = lambda p: sum(min(k, len(t)) for t, q, k in page.blocks if q == p) / max(1, sum(len(t) for t, q, _ in page.blocks if q == p))
-    return {p: fused(p) ** 0.5 * (1 - (LINKED if page.inside[p] else 1) * linked(p)) * page.prior[p] * inside(p) ** 2 for _, p, _ in page.blocks}
+    return {p: fused(p) * (1 - (LINKED if page.inside[p] else 1) * linked(p)) * page.prior[p] * inside(p) ** 2 for _, p, _ in page.blocks}
 
 
 def test_scores_equal_brute_force():
@@ -110,12 +109,39 @@ def test_scores_equal_brute_force():
             assert all(abs(score[p] - v) <= 1e-9 * max(1, v) for p, v in want.items())
 
 
-def test_ratios_find_the_article_without_any_hint(monkeypatch):
+def test_long_hostile_markup_is_read_in_linear_time():
+    def seconds(n):
+        began = time.perf_counter()
+        main_text("<div>" * n + "</section>" * n)
+        main_text("<section><article>" + "<div>" * n + "</section>" * n + "<li></li>" * n)
+        return time.perf_counter() - began
+
+    assert seconds(64_000) < 20 * max(0.05, min(seconds(8000) for _ in range(3)))
+
+
+def without_hints(monkeypatch):
     from memspark.llm import html_text
 
-    monkeypatch.setattr(html_text, "NAMED", frozenset())
-    monkeypatch.setattr(html_text, "NAMED_WHOLE", frozenset())
-    monkeypatch.setattr(html_text, "OTHER", frozenset())
+    for name in ("NAMED", "NAMED_WHOLE", "OTHER"):
+        monkeypatch.setattr(html_text, name, frozenset())
+
+
+def test_ratios_alone_find_most_articles(monkeypatch):
+    """Without names and tags as hints, ratios and links give the article's text on 95 % of the given pages; without ratios on none."""
+    import duckdb
+
+    from memspark.llm import html_text
+
+    pages = [h for (h,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    want = [main_text(h) for h in pages]
+    without_hints(monkeypatch)
+    assert sum(main_text(h) == w for h, w in zip(pages, want, strict=True)) >= 0.95 * len(pages)
+    monkeypatch.setattr(html_text, "path_scores", lambda page: np.ones(len(page.parent)))
+    assert not any(main_text(h) == w for h, w in zip(pages, want, strict=True))
+
+
+def test_ratios_find_the_article_without_any_hint(monkeypatch):
+    without_hints(monkeypatch)
     own = [f"Paragraph {k} of the article, which goes on for a while, as such paragraphs do; it has commas, and more." for k in range(8)]
     other = ["<div><ul><li><a href=1>Menu one</a><li><a href=2>Menu two</a></ul></div>", "<div>We use cookies, really.</div>", "<div>Buy this now, it is good.</div>"]
     last = ["<div><p>Related: other things, many of them.</p></div>", "<div>&copy; site, imprint, all of it.</div>"]
