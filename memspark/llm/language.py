@@ -81,7 +81,7 @@ class Pieces:
         last, piece = np.concatenate((hits[::2], every)), np.concatenate((hits[1::2], alone[every]))
         order = np.argsort(last, kind="stable")  # two sorted runs
         last, piece = last[order], piece[order]
-        sizes = np.array([len(w) + 1 for w in words])
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         begins = np.cumsum(sizes) - sizes
         word = np.repeat(np.arange(len(words)), sizes)[last]
         end = last + 1 - begins[word]
@@ -95,7 +95,7 @@ class Lattice:
 
     def __init__(self, words: list[str], pieces: Pieces):
         self.end, self.word, self.start, self.piece = pieces.edges(words)
-        self.sizes = np.array([len(w) for w in words], np.int64)
+        self.sizes = np.fromiter(map(len, words), np.int64, len(words))
         self.longest, self.width = pieces.longest, int(self.sizes.max(initial=0)) + 1
         self.bounds = np.searchsorted(self.end, np.arange(self.width + 1))
 
@@ -151,17 +151,16 @@ class Lattice:
         return np.stack([np.bincount(self.piece, u, len(p)) for u in uses.T], axis=1)
 
 
-def lattices(words: list[str], pieces: Pieces, languages: int) -> Iterator[tuple[list[int], Lattice]]:
+def lattices(words: list[str], pieces: Pieces, languages: int) -> Iterator[tuple[np.ndarray, Lattice]]:
     """Lattices of words of like length, with the words' places."""
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    part: list[int] = []
-    for i in order:
-        if part and (len(part) + 1) * (len(words[i]) + 1) * languages > CELLS:
-            yield part, Lattice([words[k] for k in part], pieces)
-            part = []
-        part.append(i)
-    if part:
-        yield part, Lattice([words[k] for k in part], pieces)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(sizes, kind="stable")
+    cells, at = (sizes[order] + 1) * max(1, languages), 0
+    while at < len(words):
+        room = int(np.searchsorted(np.arange(1, len(words) - at + 1) * cells[at:], CELLS, "right"))
+        part = order[at : at + max(1, room)]
+        yield part, Lattice([words[k] for k in part.tolist()], pieces)
+        at += len(part)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -169,7 +168,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def marked(word: str) -> str:
-    return START + word.encode("utf-8", "surrogatepass").decode("latin-1")
+    return START + (word if word.isascii() else word.encode("utf-8", "surrogatepass").decode("latin-1"))
 
 
 class LanguageModel:
