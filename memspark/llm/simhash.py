@@ -285,11 +285,11 @@ def sets_of(members: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataF
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, common (shingles in both) and similar of pairs (a, b) of sets."""
+    """a, b and similar of pairs (a, b) of sets."""
     side = lambda name, hashes: sets.select(F.col("set").alias(name), F.col("hashes").alias(hashes))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     over, under = SIMILAR
-    return cut_lineage(both.select("a", "b", "common", (F.col("common") * (over + under) >= (F.size("x") + F.size("y")) * over).alias("similar")))
+    return cut_lineage(both.select("a", "b", (F.col("common") * (over + under) >= (F.size("x") + F.size("y")) * over).alias("similar")))
 
 
 def headed(rows: DataFrame, first: Column, part: Column) -> DataFrame:
@@ -305,46 +305,71 @@ def headed(rows: DataFrame, first: Column, part: Column) -> DataFrame:
     return in_part.where(~own).unionByName(of_key.where(~own))
 
 
-def may_link(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Whether bits, sizes and overlaps with others allow the similarity: t = p / q needs an overlap of p (|a| + |b|) / (p + q).
+def prefixes(left: DataFrame) -> DataFrame:
+    """token, pos, set, root, fp, size, shared of the shingles by which similar sets of left (set, root, fp, size, hashes) must meet.
 
-    What two sets have in common is shared with another member. Where both have one head, it is split by the head: at most the
-    smaller of their overlaps with it, and the smaller of what they share beside it.
+    The shingles that other sets have are put in one order, rare ones first. A similar pair has 0.8 of either set in common, so it
+    meets in what a set has before its last 0.8 less one: in words that few texts have, not in those of a template.
     """
     over, under = SIMILAR
-    beside = F.least(a["common"], b["common"]) + F.least(a["shared"] - a["common"], b["shared"] - b["common"])
-    most = F.when(a["head"] == b["head"], beside).otherwise(F.least(a["shared"], b["shared"]))
-    return (most * (over + under) >= (a["size"] + b["size"]) * over) & within_budget(a["fp"], b["fp"])
+    rows = exploded(left, ["set"], "hashes", "_pos", "hash")
+    often = cut_lineage(rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").withColumn("often", F.col("n")))
+    many = left.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    order = joined_by_count(rows, often, "hash", many).groupBy("set").agg(F.sort_array(F.collect_list(F.struct("often", "hash"))).alias("order"))
+    shared = left.drop("hashes", "shared").join(order, "set").withColumn("shared", F.size("order"))
+    kept = shared.withColumn("kept", F.col("shared") - F.ceil(F.col("size") * over / under).cast("int") + 1).where("kept > 0")
+    out = exploded(kept, ["set", "root", "fp", "size", "shared"], F.slice("order", 1, F.col("kept")), "pos", "o")
+    return cut_lineage(out.select(F.col("o.hash").alias("token"), "pos", "set", "root", "fp", "size", "shared"))
+
+
+def meetings(tokens: DataFrame) -> DataFrame:
+    """Pairs (p, q) of rows of prefixes that share a token, p the smaller set, and of another component.
+
+    The smaller one of a similar pair shares enough of its shingles for a partner of its own size. A token of more than PART_SETS
+    rows is cut to parts of q, each of which meets p.
+    """
+    over, under = SIMILAR
+    counts = cut_lineage(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", (1 + F.col("n") / PART_SETS).cast("int")))
+    rows = cut_lineage(joined_by_count(tokens, counts, "token", tokens.count()))
+    side = F.struct("pos", "set", "root", "fp", "size", "shared")
+    p = rows.where(F.col("shared") * (over + under) >= 2 * over * F.col("size")).select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), side.alias("p"))
+    q = rows.select("token", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int").alias("part"), side.alias("q"))
+    first = F.struct("p.size", "p.set") < F.struct("q.size", "q.set")
+    return p.join(q, ["token", "part"]).where(first & (F.col("p.root") != F.col("q.root")))
+
+
+def may_link() -> Column:
+    """Whether bits, sizes and what follows the token in either order allow the similarity: t = p / q needs an overlap of p (|a| + |b|) / (p + q)."""
+    over, under = SIMILAR
+    most = F.least(F.col("p.shared") - F.col("p.pos"), F.col("q.shared") - F.col("q.pos"))
+    return (most * (over + under) >= (F.col("p.size") + F.col("q.size")) * over) & within_budget(F.col("p.fp"), F.col("q.fp"))
 
 
 def band_roots(nodes: DataFrame, documents: DataFrame) -> DataFrame:
     """set, n, root of all sets (nodes: set, fp, k1, keys, n): the components of all similar pairs that share a key.
 
-    Each set of a key is first compared with a head: the set with the smallest share of shingles of its own, which is the one
-    that copies of a text are most alike. That puts a large group of near copies in one component, with few pairs a set. Only pairs
-    from different components are compared after that.
+    A set that shares less than 0.8 of its shingles with all others that it meets has no partner. Each other set of a key is first compared with a head:
+    the set with the smallest share of shingles of its own, which is the one that copies of a text are most alike. That puts a large
+    group of near copies in one component, with few pairs a set. Sets of keys that still hold several components are compared
+    after that where they meet in a rare shingle (`prefixes`), so a template that many unlike texts share makes no pairs.
     """
+    over, under = SIMILAR
     part = F.pmod(F.xxhash64("set"), F.lit(1 + nodes.count() // PART_SETS))
     met = cut_lineage(headed(exploded(nodes, ["set", "fp"], "keys", "_pos", "key").select("key", "set", "fp"), F.xxhash64("set"), part))
     members = met.select("key", "set", "fp").unionByName(met.select("key", "head.set", "head.fp")).distinct()
     sets = sets_of(members, nodes, documents)
-    members = cut_lineage(members.join(sets.drop("hashes"), "set").select("key", "set", "fp", "size", "shared"))
-    names, pair = ("fp", "size", "shared"), (F.least("set", "head").alias("a"), F.greatest("set", "head").alias("b"))
-    stars = cut_lineage(headed(members, 1 - F.col("shared") / F.col("size"), part).withColumn("head", F.col("head.set")))
-    met_heads = overlaps(stars.select(*pair).distinct(), sets)
-    first = met_heads.where("similar").select("a", "b")
-    headed_by = stars.select("key", "set", "head", *pair).join(met_heads, ["a", "b"]).select("key", "set", "head", "common")
-    members = members.join(headed_by, ["key", "set"], "left").withColumns({"head": F.coalesce("head", "set"), "common": F.coalesce("common", "shared")})
-
-    rooted = cut_lineage(with_root(nodes.select("set", "n"), first, "set"))
-    placed = cut_lineage(members.join(rooted.select("set", "root"), "set"))
+    able = sets.where(F.col("shared") * under >= F.col("size") * over)
+    members = cut_lineage(members.join(able.drop("hashes"), "set").select("key", "set", "fp", "size", "shared"))
+    stars = headed(members, 1 - F.col("shared") / F.col("size"), part)
+    pairs = stars.select(F.least("set", "head.set").alias("a"), F.greatest("set", "head.set").alias("b")).distinct()
+    rooted = cut_lineage(with_root(nodes.select("set", "n"), overlaps(cut_lineage(pairs), able).where("similar"), "set"))
+
+    placed = cut_lineage(members.select("key", "set", "fp").join(rooted.select("set", "root"), "set"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    left = placed.join(mixed, "key", "left_semi")
-    side = lambda s: left.select("key", F.struct("root", "set", *names, "head", "common").alias(s))
-    apart = (F.col("p.root") < F.col("q.root")) & may_link(*({c: F.col(f"{s}.{c}") for c in (*names, "head", "common")} for s in "pq"))
-    across = side("p").join(side("q"), "key").where(apart)
-    more = cut_lineage(across.select(F.least("p.set", "q.set").alias("a"), F.greatest("p.set", "q.set").alias("b")).distinct())
-    found = more if more.isEmpty() else overlaps(more, sets).where("similar")
+    left = placed.join(mixed, "key", "left_semi").select("set", "fp", "root").distinct()
+    left = cut_lineage(left.join(able, "set"))
+    more = cut_lineage(meetings(prefixes(left)).where(may_link()).select(F.least("p.set", "q.set").alias("a"), F.greatest("p.set", "q.set").alias("b")).distinct())
+    found = more if more.isEmpty() else overlaps(more, able).where("similar")
     if found.isEmpty():
         return rooted
     of = lambda s: rooted.select(F.col("set").alias(s), F.col("root").alias(f"root_{s}"))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -188,6 +189,43 @@ def test_unlike_texts_of_one_id_stay(spark):
     assert got == [(-1, "q r s"), (1, a), (1, b)]
 
 
+def met_pairs(monkeypatch):
+    """Counts of the pairs that are made before any test of a pair."""
+    counts, real = [], simhash.meetings
+
+    def counted(tokens):
+        made = real(tokens)
+        counts.append(made.count())
+        return made
+
+    monkeypatch.setattr(simhash, "meetings", counted)
+    return counts
+
+
+def templates(n, shared, own, twins=0, seed=6):
+    """Texts of `shared` words of one template, `twins` words that two texts have, and words of their own."""
+    rng = random.Random(seed)
+    word = lambda: f"{rng.getrandbits(40):x}"
+    base = [word() for _ in range(shared)]
+    pairs = [[word() for _ in range(twins)] for _ in range(n // 2)]
+    return [(k, " ".join([*base, *pairs[k // 2], *(word() for _ in range(own))])) for k in range(n // 2 * 2)]
+
+
+@pytest.mark.parametrize("n", [1000, 2000, 4000])
+def test_common_boilerplate_makes_no_pairs(spark, monkeypatch, n):
+    counts = met_pairs(monkeypatch)
+    docs = spark.createDataFrame(templates(n, 100, 60), "doc_id bigint, text string").repartition(4)
+    assert drop_near_duplicates(docs).count() == n and sum(counts) == 0
+
+
+@pytest.mark.parametrize("n", [500, 1000])
+def test_a_template_with_twins_makes_few_pairs(spark, monkeypatch, n):
+    """A third is the template, the rest is that of a twin but for a few words: each text has one partner."""
+    counts = met_pairs(monkeypatch)
+    docs = spark.createDataFrame(templates(n, 100, 6, 100), "doc_id bigint, text string").repartition(4)
+    assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == list(range(0, n, 2)) and sum(counts) <= 20 * n
+
+
 def test_large_group_of_near_copies(spark):
     rng, base = random.Random(2), [f"w{k}" for k in range(200)]
     rows = [(k, " ".join([*base[:at], f"new{k}", *base[at + 1 :]])) for k in range(1500) for at in [rng.randrange(200)]] + [(k, f"alone {k} " * 9) for k in range(5000, 5100)]
