@@ -17,7 +17,6 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -54,40 +53,55 @@ def read_vocabulary(path: str = VOCABULARY) -> list[str]:
     return sorted({chr(b) for b in range(256)} | {START} | {START + p[1:].decode("latin-1") if p.startswith(b" ") else p.decode("latin-1") for p in pieces if p})
 
 
+def ranks(values: np.ndarray) -> np.ndarray:
+    """Stable order of numbers that are not negative."""
+    return np.argsort(values.astype(np.uint16) if values.max(initial=0) < 1 << 16 else values, kind="stable")
+
+
 class Pieces:
-    """The vocabulary, and a search for all its pieces in many words at once."""
+    """The vocabulary as a tree of prefixes, and a search for all its pieces in many words at once."""
 
     def __init__(self, pieces: list[str]):
-        self.pieces, self.longest, self.found = pieces, max(map(len, pieces)), None
+        self.pieces, self.longest, self.next = pieces, max(map(len, pieces)), None
 
     def __reduce__(self):
         return Pieces, (self.pieces,)
 
+    def grow(self) -> None:
+        """next[node, character] is the node of the longer prefix (0: none), piece[node] the piece that ends there (-1: none)."""
+        nodes, edges, ends = {"": 0}, [], {}
+        for i, piece in enumerate(self.pieces):
+            for k in range(1, len(piece) + 1):
+                if piece[:k] not in nodes:
+                    nodes[piece[:k]] = len(nodes)
+                    edges.append((nodes[piece[: k - 1]], ord(piece[k - 1]), nodes[piece[:k]]))
+            ends[nodes[piece]] = i
+        self.next, self.piece = np.zeros((len(nodes), 258), np.int32), np.full(len(nodes), -1)
+        before, character, after = np.array(edges).T
+        self.next[before, character] = after
+        self.piece[list(ends)] = list(ends.values())
+
     def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """End, word, start and piece of every occurrence, by end, then word."""
-        if self.found is None:  # once a task
-            self.sizes, self.single = np.array([len(p) for p in self.pieces]), np.full(1 << 16, -1)
-            self.found = ahocorasick.Automaton()
-            for i, piece in enumerate(self.pieces):
-                if len(piece) > 1:
-                    self.found.add_word(piece, i)
-                else:
-                    self.single[ord(piece)] = i
-            self.found.make_automaton()
-        text = GAP.join(words)
-        hits = np.fromiter(chain.from_iterable(self.found.iter(text)), np.int64) if len(self.found) else np.empty(0, np.int64)
-        alone = self.single[np.frombuffer(text.encode("utf-16-le"), np.uint16)]
-        every = np.flatnonzero(alone >= 0)
-        last, piece = np.concatenate((hits[::2], every)), np.concatenate((hits[1::2], alone[every]))
-        order = np.argsort(last, kind="stable")  # two sorted runs
-        last, piece = last[order], piece[order]
+        if self.next is None:  # once a task
+            self.grow()
+        codes = np.frombuffer((GAP.join(words) + GAP).encode("utf-16-le"), np.uint16)
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        begins = np.cumsum(sizes) - sizes
-        word = np.repeat(np.arange(len(words)), sizes)[last]
-        end = last + 1 - begins[word]
-        order = np.argsort(end.astype(np.uint16) if sizes.max(initial=0) < 1 << 16 else end, kind="stable")  # hits come word by word
-        end, word, piece = end[order], word[order], piece[order]
-        return end, word, end - self.sizes[piece], piece
+        found, at, node, deep = [], np.flatnonzero(codes != ord(GAP)), 0, 0
+        while len(at):  # all places at once, as long as a piece may go on
+            node = self.next[node, codes[at + deep]]
+            on = node > 0
+            at, node, deep = at[on], node[on], deep + 1
+            piece = self.piece[node]
+            whole = piece >= 0
+            found.append((at[whole], np.full(int(whole.sum()), deep), piece[whole]))
+        place, length, piece = (np.concatenate(part) for part in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+        word = np.repeat(np.arange(len(words)), sizes)[place]
+        start = place - (np.cumsum(sizes) - sizes)[word]
+        order = ranks(word)
+        order = order[ranks((start + length)[order])]
+        start, length = start[order], length[order]
+        return start + length, word[order], start, piece[order]
 
 
 class Lattice:
