@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.rows import exploded
-from ..functions.staging import staged
 
 #: Levels of one-element lists and of JSON inside strings that replies may be wrapped in.
 UNWRAP_DEPTH = 8
@@ -30,9 +29,12 @@ def with_semantics(chunks: DataFrame) -> DataFrame:
 
 
 def semantic_tables(chunks: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Chunk, entity and relation rows of chunks (context, source_path, chunk_idx, index_text, ...); created_at is as_of, in seconds."""
+    """Chunk, entity and relation rows of chunks (context, source_path, chunk_idx, index_text, ...); created_at is as_of, in seconds.
+
+    Each table is a plan of its own and computes only what it needs: names need no facts, and only relations need triples.
+    """
     key = [F.col(c) for c in ("context", "source_path", "chunk_idx")]
-    rows = staged(with_semantics(chunks).withColumns({"id": row_id(*key), "created_at": as_of}))  # one parse for three tables
+    rows = with_semantics(chunks).withColumns({"id": row_id(*key), "created_at": as_of})
     base = ["context", "source_path", "id", "created_at"]
     e = exploded(rows, base, "entities", "ord", "name")
     e = e.select("context", row_id(F.col("id"), F.lit("e"), F.col("ord")).alias("id"), "name", F.lit("entity").alias("kind"), F.col("id").alias("source_id"), "source_path", "created_at")

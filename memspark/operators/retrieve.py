@@ -18,18 +18,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.staging import staged
 from ..functions.text import SPACES, clamp, cosine, hybrid_score, lexical_overlap, lines, not_blank, task_context, tokenize, trimmed
 from .extract import parsed, text_of, unwrapped
 
 CANDIDATES = 50
 #: Queries that travel to a task at once.
 QUERY_BLOCK = 256
+#: Narrow rows of results (some 100 bytes) that are broadcast at most, and queries of procedures (some KB with their patterns) that are.
+BROADCAST_ROWS, PROCEDURE_BLOCK = 100_000, 2048
 #: Blocks that go with one scan of the candidates.
 SCAN_BLOCKS = 8
 LEXICAL_SHARE, PROCEDURE_LEXICAL, DECAY_DAYS = 0.2, 0.15, 130.0
 DIGITS = 9
 
-SCORED = "query_id bigint, id string, source string, chunk_idx int, score double"
+SCORED = "query_id bigint, id string, source string, chunk_idx int, score double, lexical double"
 
 
 def notes_candidates(notes: DataFrame, embedding: str = "embedding") -> DataFrame:
@@ -64,8 +67,8 @@ class QueryBlock:
                 has[i, [number[t] for t in r.tokens]] = 1
             self.contexts[context] = np.array([r.query_id for r in own]), [np.array(r.embedding or [], float) for r in own], number, has, np.array([len(r.tokens) for r in own], float)
 
-    def scores(self, context: str, vectors: list, tokens: list, alpha: float) -> np.ndarray:
-        """Hybrid scores, queries by candidates."""
+    def scores(self, context: str, vectors: list, tokens: list, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+        """Hybrid scores and shares of common words, queries by candidates."""
         _, wanted, number, has, sizes = self.contexts[context]
         dense = np.zeros((len(wanted), len(vectors)))
         width = np.array([0 if v is None else len(v) for v in vectors])
@@ -81,11 +84,11 @@ class QueryBlock:
         many = np.array([len(t) for t in tokens], float)
         norm = np.sqrt(sizes[:, None] * many[None, :])
         shared = np.divide(has @ present.T, norm, out=np.zeros_like(norm), where=norm > 0)
-        return np.round(alpha * np.clip((dense + 1) / 2, 0, 1) + (1 - alpha) * np.clip(shared, 0, 1), DIGITS)
+        return np.round(alpha * np.clip((dense + 1) / 2, 0, 1) + (1 - alpha) * np.clip(shared, 0, 1), DIGITS), shared
 
 
 def top_candidates(queries: DataFrame, candidates: DataFrame, alpha: float = 0.7, keep: int = CANDIDATES, block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, id, source, chunk_idx, score of the best `keep` candidates per query.
+    """query_id, id, source, chunk_idx, score, lexical (share of common words) of the best `keep` candidates per query.
 
     queries: query_id, context, text, embedding. candidates: context, id, source, chunk_idx, index_text, embedding.
     Queries are read in blocks of about `block`; SCAN_BLOCKS of them go with one scan of the candidates.
@@ -107,16 +110,16 @@ def top_candidates(queries: DataFrame, candidates: DataFrame, alpha: float = 0.7
                     if context not in asked.contexts:
                         continue
                     ids = asked.contexts[context][0]
-                    score = asked.scores(context, own["embedding"].tolist(), own["tokens"].tolist(), weight)
+                    score, shared_words = asked.scores(context, own["embedding"].tolist(), own["tokens"].tolist(), weight)
                     if score.shape[1] > keep:  # all that tie with the last place stay for the full order
                         least = np.partition(score, score.shape[1] - keep, axis=1)[:, score.shape[1] - keep]
                         q, c = np.nonzero(score >= least[:, None])
                     else:
                         q, c = np.nonzero(np.ones_like(score, bool))
-                    part = own.iloc[c][["id", "source", "chunk_idx"]].assign(query_id=ids[q], score=score[q, c])
+                    part = own.iloc[c][["id", "source", "chunk_idx"]].assign(query_id=ids[q], score=score[q, c], lexical=shared_words[q, c])
                     best = best_of(part if best is None else pd.concat([best, part]), keep)
             if best is not None:
-                yield best[["query_id", "id", "source", "chunk_idx", "score"]]
+                yield best[["query_id", "id", "source", "chunk_idx", "score", "lexical"]]
 
         found.append(rows.mapInPandas(run, SCORED))
     together = found[0]
@@ -139,10 +142,10 @@ def semantic_search(queries: DataFrame, chunks: DataFrame, notes: DataFrame | No
     pool = chunk_candidates(chunks)
     if notes is not None:
         pool = pool.unionByName(notes_candidates(notes))
-    top = top_candidates(queries, pool, alpha)
-    wide = top.join(pool.drop("source", "chunk_idx", "embedding"), "id").join(queries.select("query_id", "context", F.col("text").alias("query")), ["query_id", "context"])
-    again = F.round((1 - LEXICAL_SHARE) * F.col("score") + LEXICAL_SHARE * lexical_overlap(tokenize(F.col("query")), tokenize(F.col("index_text"))), DIGITS)
-    return ranked(wide.withColumn("score", again), k).select(*RESULT, "chunk_idx", "id")
+    again = F.round((1 - LEXICAL_SHARE) * F.col("score") + LEXICAL_SHARE * F.col("lexical"), DIGITS)
+    best = staged(ranked(top_candidates(queries, pool, alpha).withColumn("score", again), k).join(queries.select("query_id", "context"), "query_id").drop("lexical", "source", "chunk_idx"))
+    best = F.broadcast(best) if best.count() <= BROADCAST_ROWS else best  # then no text is shuffled
+    return pool.drop("embedding").join(best, ["context", "id"]).select(*RESULT, "chunk_idx", "id")
 
 
 def context_matches(left: Column, right: Column) -> Column:
@@ -154,25 +157,50 @@ def context_matches(left: Column, right: Column) -> Column:
     return out
 
 
-def procedural_search(queries: DataFrame, procedures: DataFrame, k: int = 5, as_of: Column | None = None, block: int = QUERY_BLOCK) -> DataFrame:
-    """Results of the k best procedures per query whose context matches the query's; older ones count less. as_of is in seconds."""
+FIELDS = ("language", "framework", "environment")
+
+
+def patterns(rows: DataFrame, own: str, other: str, context: str, prefix: str) -> DataFrame:
+    """rows eight times: with `own`, the fields that a row's context sets (a bit each), every `other` that a partner may set, and what both set.
+
+    Two rows match where they have equal `own`, `other` and set fields, each pair once: a null on one side matches all without a theta join.
+    """
+    sets = sum((F.when(F.col(context)[f].isNotNull(), 1 << i).otherwise(0) for i, f in enumerate(FIELDS)), F.lit(0))
+    wide = rows.withColumn(own, sets).withColumn(other, F.explode(F.array(*map(F.lit, range(8)))))
+    both = F.col(own).bitwiseAND(F.col(other))
+    return wide.withColumns({f"{prefix}{f}": F.when(both.bitwiseAND(F.lit(1 << i)) != 0, F.col(context)[f]).otherwise("") for i, f in enumerate(FIELDS)})
+
+
+def matching(queries: DataFrame, procedures: DataFrame) -> DataFrame:
+    """Pairs of a block of queries (context, q_context, ...), which is broadcast, and procedures (context, p_context, ...) of one context whose task contexts match."""
+    asked, known = patterns(queries, "q_sets", "p_sets", "q_context", "v_"), patterns(procedures, "p_sets", "q_sets", "p_context", "v_")
+    return known.join(F.broadcast(asked), ["context", "q_sets", "p_sets", *(f"v_{f}" for f in FIELDS)])
+
+
+def procedural_search(queries: DataFrame, procedures: DataFrame, k: int = 5, as_of: Column | None = None, block: int = PROCEDURE_BLOCK) -> DataFrame:
+    """Results of the k best procedures per query whose context matches the query's; older ones count less. as_of is in seconds.
+
+    Words are read once a row, pairs are made where contexts match only, and each task keeps its best k of a query before anything is shuffled.
+    """
     now = as_of if as_of is not None else F.unix_timestamp()
-    asked = queries.select(F.col("query_id"), F.col("context"), F.col("text").alias("query"), F.col("embedding").alias("q_embedding"), task_context(F.col("text")).alias("q_context"))
+    asked = queries.select("query_id", "context", F.col("embedding").alias("q_embedding"), tokenize(F.col("text")).alias("q_words"), task_context(F.col("text")).alias("q_context"))
+    known = procedures.select(
+        "context", "id", "confidence", "created_at", F.col("embedding").alias("p_embedding"), tokenize(F.col("task_description")).alias("p_words"), F.col("task_context").alias("p_context"),
+        F.concat(F.lit("steps: "), F.array_join("steps", " -> ")).alias("content"), F.col("task_description").alias("summary"), F.coalesce("source_path", F.lit("procedural")).alias("source"),
+    )
+    asked = staged(asked)
     blocks, parts = 1 + asked.count() // block, []
-    for n in range(blocks):  # at most about `block` narrow rows each, so they are broadcast
-        own = F.broadcast(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n))
-        near = procedures.alias("p").join(own.alias("q"), (F.col("p.context") == F.col("q.context")) & context_matches(F.col("p.task_context"), F.col("q.q_context")))
-        days = (now - F.col("p.created_at")) / 86400.0
-        dense = clamp((cosine(F.col("q_embedding"), F.col("p.embedding")) + 1) / 2)
-        score = dense * F.col("p.confidence").cast("double") * F.exp(-days / DECAY_DAYS) + PROCEDURE_LEXICAL * lexical_overlap(tokenize(F.col("query")), tokenize(F.col("p.task_description")))
-        parts.append(near.select(
-            "query_id", F.concat(F.lit("steps: "), F.array_join("p.steps", " -> ")).alias("content"), F.col("p.task_description").alias("summary"), F.coalesce("p.source_path", F.lit("procedural")).alias("source"),
-            F.round(score, DIGITS).alias("score"), F.lit("procedural").alias("kind"), F.lit(0).alias("chunk_idx"), F.col("p.id").alias("id"),
-        ))
+    days = (now - F.col("created_at")) / 86400.0
+    dense = clamp((cosine(F.col("q_embedding"), F.col("p_embedding")) + 1) / 2)
+    score = dense * F.col("confidence").cast("double") * F.exp(-days / DECAY_DAYS) + PROCEDURE_LEXICAL * lexical_overlap(F.col("q_words"), F.col("p_words"))
+    for n in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
+        near = matching(own, known)
+        parts.append(ranked(near.select("query_id", "content", "summary", "source", F.round(score, DIGITS).alias("score"), F.lit("procedural").alias("kind"), F.lit(0).alias("chunk_idx"), "id"), k))
     together = parts[0]
     for p in parts[1:]:
         together = together.unionByName(p)
-    return ranked(together, k).select(*RESULT, "chunk_idx", "id")
+    return together.select(*RESULT, "chunk_idx", "id")
 
 
 def search(queries: DataFrame, chunks: DataFrame, notes: DataFrame | None, procedures: DataFrame, kind: str = "all", k: int = 5, alpha: float = 0.7, as_of: Column | None = None) -> DataFrame:

@@ -6,6 +6,11 @@ blob_ref, source_path, source_size, source_mtime. The source of a manifest row i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -90,14 +95,32 @@ def estimate_seconds(stats: DataFrame, rates: DataFrame | None = None) -> DataFr
 
 
 def run_rate_ema(runs: DataFrame, alpha: float = 0.15) -> DataFrame:
-    """context, ema: seconds per MiB over the runs (context, place, seconds, mib, semantic_items) in order of place, a time or number; runs without semantic work or text don't count."""
+    """context, ema: seconds per MiB over the runs (context, place, seconds, mib, semantic_items) in order of place, a time or number; runs without semantic work or text don't count.
+
+    A segment of runs maps a mean e to keep * e + add, and such pairs combine. So runs are dealt to sorted ranges, each task folds
+    the segments of its range, and only segments (one a context and range) are put in order: a context of any size is split among tasks.
+    """
     a = min(ALPHA_RANGE[1], max(ALPHA_RANGE[0], alpha))
     rows = runs.where((F.col("semantic_items") > 0) & (F.col("mib") >= LEAST_MIB)).select("context", "place", (F.col("seconds") / F.col("mib")).alias("rate"))
-    turn = F.row_number().over(W.partitionBy("context").orderBy(F.desc("place"), F.desc("rate"))) - 1  # from the last on; a sort that spills, no array
-    placed = rows.withColumn("turn", turn)
-    first = placed.groupBy("context").agg(F.max("turn").alias("turn"), F.max_by("rate", "turn").alias("rate"))  # weighs as all runs before it would
-    rest = placed.groupBy("context").agg(F.sum(a * F.pow(F.lit(1 - a), "turn") * F.col("rate")).alias("sum"))
-    return rest.join(first, "context").select("context", (F.col("sum") + (1 - a) * F.pow(F.lit(1 - a), "turn") * F.col("rate")).alias("ema"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        segments: dict[str, list[float]] = {}  # first rate, keep, add
+        for batch in batches:
+            for context, rates in batch.groupby("context", sort=False, dropna=False)["rate"]:
+                values = rates.to_numpy()
+                weights = a * (1 - a) ** np.arange(len(values) - 1, -1, -1)
+                first, keep, add = segments.get(context, [values[0], 1.0, 0.0])
+                segments[context] = [first, keep * (1 - a) ** len(values), add * (1 - a) ** len(values) + float(values @ weights)]
+        if segments:
+            yield pd.DataFrame([(c, *v) for c, v in segments.items()], columns=["context", "first", "keep", "add"]).assign(range=TaskContext.get().partitionId())
+
+    dealt = rows.repartitionByRange("context", "place", "rate").sortWithinPartitions("context", "place", "rate")
+    segments = dealt.mapInPandas(fold, "context string, first double, keep double, add double, range int")
+    later = W.partitionBy("context").orderBy("range").rowsBetween(1, W.unboundedFollowing)
+    kept = F.coalesce(F.product("keep").over(later), F.lit(1.0))
+    parts = segments.withColumn("kept", kept)
+    ema = F.sum(F.col("add") * F.col("kept")) + F.min_by(F.col("first") * F.col("keep") * F.col("kept"), "range")
+    return parts.groupBy("context").agg(ema.alias("ema"))
 
 
 # --- the index tables ----------------------------------------------------------------------------------

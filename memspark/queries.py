@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,14 +12,17 @@ from pyspark.sql import functions as F
 from .derived import AS_OF, derived, duck
 from .functions import paths as P
 from .functions import text as T
+from .functions.paths import index_path
+from .functions.rows import exploded
 from .functions.staging import stage_folder, staged
 from .operators import audit, chunk, decode, embed, extract, notes, retrieve, sync
 from .plans.ingest import index_units, rebuild
+from .plans.repair import repair_contexts
 from .sources.corpus import from_rows, list_corpus
 from .sources.index import blobs_of, read_blobs, read_index, write_index
 from .sources.manifest import parse_manifests, write_manifest
 from .sources.streamed import streamed_units
-from .streaming.ingest import latest, stream_rows
+from .streaming.ingest import append_batch, latest, stream_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -353,11 +358,18 @@ def x2(spark, sf_dir):
 
 
 D_TRIPLE = rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])({T.NAME})\s+({'|'.join(T.VERBS)})\s+({T.NAME})"
-TRIPLES = f"""WITH f AS (SELECT doc_id, {d_facts('text')} AS facts, {d_entities('text')} AS e FROM {duck('facts_items')}),
-u AS (SELECT doc_id, unnest(facts) AS fact, unnest(range(len(facts))) AS n FROM f),
-t AS (SELECT doc_id, n, unnest(range(len(regexp_extract_all(fact, {q(D_TRIPLE)}, 1)))) AS k, unnest(regexp_extract_all(fact, {q(D_TRIPLE)}, 1)) AS subject, lower(unnest(regexp_extract_all(fact, {q(D_TRIPLE)}, 2))) AS predicate, unnest(regexp_extract_all(fact, {q(D_TRIPLE)}, 3)) AS object FROM u),
-a AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, k) - 1 AS ord, subject, predicate, object FROM t)
-SELECT doc_id, ord, subject, predicate, object FROM a UNION ALL SELECT doc_id, 0, e[1], 'mentions', e[2] FROM f WHERE len(e) >= 2 AND doc_id NOT IN (SELECT doc_id FROM a)"""
+
+
+def d_triples(rows: str, key: str) -> str:
+    """key, ord, subject, predicate, object of rows (key, facts, e)."""
+    found = lambda group: f"regexp_extract_all(fact, {q(D_TRIPLE)}, {group})"
+    return f"""SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY n, k) - 1 AS ord, subject, predicate, object FROM (
+SELECT {key}, n, unnest(range(len({found(1)}))) AS k, unnest({found(1)}) AS subject, lower(unnest({found(2)})) AS predicate, unnest({found(3)}) AS object
+FROM (SELECT {key}, unnest(facts) AS fact, unnest(range(len(facts))) AS n FROM {rows}))
+UNION ALL SELECT {key}, 0, e[1], 'mentions', e[2] FROM {rows} WHERE len(e) >= 2 AND NOT (len(list_filter(facts, lambda fact: regexp_matches(fact, {q(D_TRIPLE)}))) > 0)"""
+
+
+TRIPLES = d_triples(f"(SELECT doc_id, {d_facts('text')} AS facts, {d_entities('text')} AS e FROM {duck('facts_items')})", "doc_id")
 
 
 @query("x3_triples", TRIPLES)
@@ -384,11 +396,20 @@ def semantic(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     return extract.semantic_tables(chunk.chunk_sentence_window(derived(spark, sf_dir, "items").drop("doc_id")), F.lit(0).cast("bigint"))
 
 
-@query("x6_semantic_tables", f"""WITH s AS ({SEMANTIC}) SELECT t, source_path, count(*) AS n, count(DISTINCT name) AS names FROM (SELECT 'entity' AS t, source_path, unnest(e) AS name FROM s UNION ALL SELECT 'chunk', source_path, {d_summary('content', 'source_path', 'f', 'e')} FROM s) GROUP BY t, source_path""")
+SEMANTIC_ROWS = f"""SELECT source_path, chunk_idx, content, {d_facts('content')} AS facts, {d_entities('content')} AS e FROM ({WINDOWS.replace(duck('items'), duck('facts_items'))})"""
+
+
+@query("x6_semantic_tables", f"""WITH s AS MATERIALIZED ({SEMANTIC_ROWS}) SELECT t, source_path, count(*) AS n, md5(string_agg(item, '|' ORDER BY item)) AS digest FROM (
+SELECT 'entity' AS t, source_path, unnest(e) AS item FROM s UNION ALL SELECT 'chunk', source_path, {d_summary('content', 'source_path', 'facts', 'e')} FROM s
+UNION ALL SELECT 'relation', p.source_path, subject || ' ' || predicate || ' ' || object FROM ({d_triples("(SELECT source_path || '#' || chunk_idx AS key, facts, e FROM s)", "key")}) r
+JOIN (SELECT source_path || '#' || chunk_idx AS key, source_path FROM s) p USING (key)) GROUP BY t, source_path""")
 def x6(spark, sf_dir):
-    c, e, _ = semantic(spark, sf_dir)
-    rows = e.select(F.lit("entity").alias("t"), "source_path", "name").unionByName(c.select(F.lit("chunk").alias("t"), "source_path", F.col("summary").alias("name")))
-    return rows.groupBy("t", "source_path").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"))
+    """Names, summaries and triples of all chunks, by source."""
+    chunks = chunk.chunk_sentence_window(derived(spark, sf_dir, "facts_items").drop("doc_id"))
+    c, e, r = extract.semantic_tables(chunks, F.lit(0).cast("bigint"))
+    row = lambda df, t, item: df.select(F.lit(t).alias("t"), "source_path", item.alias("item"))
+    rows = row(e, "entity", F.col("name")).unionByName(row(c, "chunk", F.col("summary"))).unionByName(row(r, "relation", F.concat_ws(" ", "subject", "predicate", "object")))
+    return rows.groupBy("t", "source_path").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("item")), "|")).alias("digest"))
 
 
 @query("x7_document_summary", f"""WITH s AS ({SEMANTIC}) SELECT context, source_path, arg_min({d_summary('content', 'source_path', 'f', 'e')}, chunk_idx) AS summary, count(*) AS n_chunks, sum(len(e))::BIGINT AS n_entities FROM s GROUP BY context, source_path""")
@@ -696,28 +717,74 @@ def small_index(spark: SparkSession, sf_dir: str) -> sync.Index:
     return {"chunks": c, "entities": e, "relations": r, "procedures": extract.procedures(derived(spark, sf_dir, "runbooks").drop("doc_id"), F.lit(0).cast("bigint"))}
 
 
-F9_ROWS = f"""SELECT context, source_path, chunk_idx, content FROM s WHERE NOT {{gone}} UNION ALL SELECT context, source_path, chunk_idx, 'again ' || content FROM s WHERE {{gone}} AND chunk_idx = 0"""
+#: All documents as sources of two roots with equal paths: a source and its twin differ in root alone.
+TWINS = (
+    "SELECT doc_id, 'c' || (doc_id // 6 % 3) AS context, 'r' || (doc_id % 2) AS root, 'd' || (doc_id // 2) || '.txt' AS path, "
+    "'r' || (doc_id % 2) || '/d' || (doc_id // 2) || '.txt' AS source_path, text, lang FROM {documents}"
+)
+D_TWINS = "(" + TWINS.replace("{documents}", "documents") + ")"
+
+
+def twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(TWINS.replace("//", "div"), documents=derived(spark, sf_dir, "documents")).withColumn("source_path", index_path(F.col("root"), F.col("path")))
 
 
-@query("f9_replace_sources", f"WITH s AS ({WINDOWS}) SELECT context, source_path, chunk_idx, md5(content) AS digest FROM ({F9_ROWS.format(gone="regexp_matches(source_path, '3\\.txt$')")})")
+def twin_index(rows: DataFrame, mark: str = "") -> sync.Index:
+    """Index tables of twins (context, source_path, text, lang): sentence windows, a row per distinct word and per language of it, and a procedure."""
+    words = exploded(rows, ["context", "source_path", "lang"], F.array_distinct(F.split("text", " ")), "_n", "name").select("context", "source_path", F.concat(F.lit(mark), "name").alias("name"), "lang")
+    chunks = chunk.chunk_sentence_window(rows.select("context", "source_path", "text")).withColumn("content", F.concat(F.lit(mark), "content"))
+    relations = words.select("context", "source_path", F.col("name").alias("subject"), F.lit("in").alias("predicate"), F.col("lang").alias("object"))
+    tasks = rows.select("context", "source_path", F.concat(F.lit(mark), F.lit("read "), "source_path").alias("task_description"))
+    return {"chunks": chunks, "entities": words.drop("lang"), "relations": relations, "procedures": tasks}
+
+
+def index_digests(index: sync.Index) -> DataFrame:
+    """name, context, source_path, n, digest: every table's rows by source."""
+    shown = {
+        "chunks": F.concat_ws(" ", F.lpad(F.col("chunk_idx").cast("string"), 6, "0"), F.md5("content")), "entities": F.col("name"),
+        "relations": F.concat_ws(" ", "subject", "predicate", "object"), "procedures": F.col("task_description"),
+    }
+    parts = [
+        index[t].groupBy("context", "source_path").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list(row)), "|")).alias("digest")).withColumn("name", F.lit(t))
+        for t, row in shown.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def d_index(rows: str, mark: str = "") -> str:
+    """The same in SQL: rows of (name, context, source_path, item)."""
+    windows = WINDOWS.replace(duck("items"), rows)
+    words = f"SELECT context, source_path, lang, unnest(list_distinct(string_split(text, ' '))) AS w FROM {rows}"
+    return f"""SELECT 'chunks' AS name, context, source_path, lpad(chunk_idx::VARCHAR, 6, '0') || ' ' || md5('{mark}' || content) AS item FROM ({windows})
+UNION ALL SELECT 'entities', context, source_path, '{mark}' || w FROM ({words}) UNION ALL SELECT 'relations', context, source_path, '{mark}' || w || ' in ' || lang FROM ({words})
+UNION ALL SELECT 'procedures', context, source_path, '{mark}read ' || source_path FROM {rows}"""
+
+
+D_DIGESTS = "SELECT name, context, source_path, count(*) AS n, md5(string_agg(item, '|' ORDER BY item)) AS digest FROM ({}) GROUP BY ALL"
+#: A tenth of the sources of one root is indexed anew; their twins in the other root stay.
+AGAIN = "doc_id % 20 = 7"
+
+
+@query("f9_replace_sources", D_DIGESTS.format(d_index(f"(SELECT * FROM {D_TWINS} WHERE NOT {AGAIN})") + " UNION ALL " + d_index(f"(SELECT * FROM {D_TWINS} WHERE {AGAIN})", "again ")))
 def f9(spark, sf_dir):
-    """A tenth of the sources is replaced by the first chunk of each, changed."""
-    chunks = staged(chunk.chunk_sentence_window(derived(spark, sf_dir, "items").drop("doc_id")))
-    redone = chunks.where(F.col("source_path").rlike(r"3\.txt$"))
-    new = redone.where("chunk_idx = 0").withColumn("content", F.concat(F.lit("again "), "content"))
-    none = chunks.select("context", "source_path").limit(0)
-    left = sync.replace_sources(dict.fromkeys(sync.TABLES, none) | {"chunks": chunks}, {"chunks": new}, redone.select("context", "source_path"))
-    return left["chunks"].select("context", "source_path", "chunk_idx", F.md5(F.col("content").cast("binary")).alias("digest"))
+    rows = twins(spark, sf_dir)
+    redone = rows.where(AGAIN)
+    return index_digests(sync.replace_sources(twin_index(rows), twin_index(redone, "again "), redone.select("context", "source_path")))
 
 
-REDONE = f"(SELECT context, root, rel, rel || '/part-1' AS unit FROM {duck('corpus')} WHERE doc_id % 13 = 0)"
+#: Each of these sources is a unit of a file of three. Of a quarter of the files of one root, only the first unit is left.
+LOST = "doc_id % 2 = 1 AND doc_id // 6 % 4 = 0 AND doc_id // 2 % 3 <> 0"
 
 
-@query("f10_prune_orphan_units", f"SELECT context, root, path FROM {M} m WHERE NOT EXISTS (SELECT 1 FROM {REDONE} r WHERE r.context = m.context AND r.root = m.root AND r.rel = coalesce(m.source_path, m.path) AND m.path <> r.unit)")
+@query("f10_prune_orphan_units", f"""{D_DIGESTS.format(d_index(f"(SELECT * FROM {D_TWINS} WHERE NOT ({LOST}))"))}
+UNION ALL SELECT 'manifest', context, source_path, 1, 'f' || (doc_id // 6) FROM {D_TWINS} WHERE NOT ({LOST})""")
 def f10(spark, sf_dir):
-    units = derived(spark, sf_dir, "corpus").where("doc_id % 13 = 0").select("context", "root", F.col("rel").alias("source_rel"), F.concat("rel", F.lit("/part-1")).alias("unit_rel"))
-    empty = {t: derived(spark, sf_dir, "items").select("context", "source_path").limit(0) for t in sync.TABLES}
-    return sync.prune_orphan_units(derived(spark, sf_dir, "manifest"), empty, units)[0].select("context", "root", "path")
+    rows = twins(spark, sf_dir).withColumn("source_rel", F.expr("'f' || doc_id div 6"))
+    manifest = rows.select("context", "root", "path", F.col("source_rel").alias("source_path"))
+    units = rows.where("doc_id % 2 = 1 and doc_id div 6 % 4 = 0 and doc_id div 2 % 3 = 0").select("context", "root", "source_rel", F.col("path").alias("unit_rel"))
+    kept, index = sync.prune_orphan_units(manifest, twin_index(rows), units)
+    named = kept.select(F.lit("manifest").alias("name"), "context", F.concat_ws("/", "root", "path").alias("source_path"), F.lit(1).cast("bigint").alias("n"), F.col("source_path").alias("digest"))
+    return index_digests(index).unionByName(named)
 
 
 @query("f11_upsert_manifest", f"""SELECT coalesce(m.context, n.context) AS context, coalesce(m.root, n.root) AS root, coalesce(m.path, n.rel) AS path, coalesce(n.hash, m.hash) AS hash, coalesce(n.hash, m.hash_at_index) AS hash_at_index, CASE WHEN n.rel IS NOT NULL THEN 'semantic' ELSE m.type END AS type, m.blob_ref
@@ -744,22 +811,54 @@ def f14(spark, sf_dir):
     return done["manifest"].select("context", "root", "path", "hash", "hash_at_index")
 
 
-@query("f15_stream_ingest", f"""WITH w AS (SELECT context, source_path, count(*) AS n FROM ({WINDOWS}) GROUP BY ALL), l AS ({d_layer("items", "doc_id, context, source_path, text")})
-SELECT l.context, 'all' AS root, l.source_path AS path, 'sha256:' || sha256(l.text) AS hash, strlen(l.text)::BIGINT AS source_size, l.layer AS type, CASE WHEN l.layer <> 'semantic' THEN 0 WHEN w.n > 0 THEN w.n WHEN {d_trim('l.text')} <> '' THEN 1 ELSE 0 END AS n_chunks
-FROM l LEFT JOIN w ON l.context = w.context AND l.source_path = w.source_path""")
+def d_streamed(rows: str) -> str:
+    """Manifest rows and numbers of chunks of sources (doc_id, context, source_path, text)."""
+    return f"""WITH w AS (SELECT context, source_path, count(*) AS n FROM ({WINDOWS.replace(duck("items"), rows)}) GROUP BY ALL),
+l AS ({d_layer("items", "doc_id, context, source_path, text").replace(duck("items"), rows)})
+SELECT l.context, 'all' AS root, l.source_path AS path, 'sha256:' || sha256(l.text) AS hash, strlen(l.text)::BIGINT AS source_size, l.layer AS type,
+CASE WHEN l.layer <> 'semantic' THEN 0 WHEN w.n > 0 THEN w.n WHEN {d_trim('l.text')} <> '' THEN 1 ELSE 0 END AS n_chunks
+FROM l LEFT JOIN w ON l.context = w.context AND l.source_path = w.source_path"""
+
+
+def delivered(documents: DataFrame, context: Column, source: Column) -> DataFrame:
+    """Documents as files of the root `all`."""
+    return documents.select(
+        context.alias("context"), F.lit("all").alias("root"), source.alias("rel"), F.octet_length("text").cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("mtime"),
+        T.content_hash(F.col("text")).alias("hash"), F.col("text").cast("binary").alias("content"),
+    )
+
+
+def streamed_state(spark: SparkSession, out: str) -> DataFrame:
+    chunks = latest(spark, out, "chunks").groupBy("context", F.col("source_path").alias("_source")).agg(F.count("*").alias("n_chunks"))
+    rows = latest(spark, out, "manifest").withColumn("_source", index_path(F.col("root"), F.col("path"))).join(chunks, ["context", "_source"], "left").na.fill(0, ["n_chunks"])
+    return rows.select("context", "root", "path", "hash", "source_size", "type", "n_chunks")
+
+
+@query("f15_stream_ingest", d_streamed(duck("items")))
 def f15(spark, sf_dir):
     """All documents as a stream of files: the manifest and the chunks of each source."""
-    source = F.concat("source", F.lit("/"), "doc_id", F.lit(".txt"))
     documents = spark.readStream.schema(derived(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
-    files = documents.select(
-        F.concat(F.lit("c"), F.col("doc_id") % 3).alias("context"), F.lit("all").alias("root"), source.alias("rel"), F.octet_length("text").cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("mtime"),
-        T.content_hash(F.col("text")).alias("hash"), F.col("text").cast("binary").alias("content"),
-    )
+    files = delivered(documents, F.concat(F.lit("c"), F.col("doc_id") % 3), F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")))
     out = stage_folder(spark, "stream")
     stream_rows(files, out, f"{out}/checkpoint", AS_OF).awaitTermination()
-    n = latest(spark, out, "chunks").groupBy("context", F.col("source_path").alias("path")).agg(F.count("*").alias("n_chunks"))
-    rows = latest(spark, out, "manifest").join(n, ["context", "path"], "left").na.fill(0, ["n_chunks"])
-    return rows.select("context", "root", "path", "hash", "source_size", "type", "n_chunks")
+    return streamed_state(spark, out)
+
+
+#: Two documents are versions of one source; the later one counts.
+VERSIONS = "(SELECT max(doc_id) AS doc_id, 'c' || (doc_id // 2 % 3) AS context, 'd' || (doc_id // 2) || '.txt' AS source_path, max_by(text, doc_id) AS text FROM documents GROUP BY doc_id // 2)"
+
+
+@query("f15_stream_runs", d_streamed(VERSIONS))
+def f15_runs(spark, sf_dir):
+    """Twenty batches: ten bring the first versions of all sources, ten the later ones. Runs are merged on the way."""
+    documents = derived(spark, sf_dir, "documents")
+    out = stage_folder(spark, "stream")
+    for k in range(20):
+        batch = documents.where((F.col("doc_id") % 2 == k // 10) & (F.expr("doc_id div 2") % 10 == k % 10))
+        source = F.expr("'d' || doc_id div 2 || '.txt'")
+        append_batch(out, AS_OF)(delivered(batch, F.expr("'c' || doc_id div 2 % 3"), source), k)
+    return streamed_state(spark, out)
+
 
 @query("f13_ingestion_summary", f"""SELECT context, count(*) FILTER (action = 'already_indexed') AS already_indexed, count(*) FILTER (action = 'denied') AS denied, count(*) FILTER (action = 'too_large') AS too_large, count(*) FILTER (action = 'needs_work') AS indexed, sum(size)::BIGINT AS n_bytes FROM ({PLAN}) GROUP BY context""")
 def f13(spark, sf_dir):
@@ -826,6 +925,45 @@ def g8(spark, sf_dir):
     return fixed["notes"].select("context", "path", F.md5("content").alias("digest"))
 
 
+#: Contexts to repair: c1 is as it was indexed, with an index and no reference to a blob; in the others sources moved or went, and blobs are missing or changed.
+REPAIRED = """SELECT context, 'r' AS root, TIMESTAMP '2024-01-01 00:00:00' AS added_at, CASE WHEN doc_id % 11 = 0 AND context <> 'c1' THEN 'gone/' || source_path ELSE source_path END AS path, {sha:text} AS hash,
+    CASE WHEN doc_id % 7 = 0 AND context <> 'c1' THEN {sha:text || 'x'} ELSE {sha:text} END AS hash_at_index, TIMESTAMP '2024-02-01 00:00:00' AS indexed_at, 'semantic' AS type,
+    CASE WHEN doc_id % 3 <> 1 THEN 'sha256:' || {sha:text} END AS blob_ref, CAST(NULL AS {string}) AS source_path, length(text) AS source_size, 0 AS source_mtime FROM {items}"""
+D_CANONICAL = (
+    "CASE WHEN regexp_matches(path, '^notes/[^/]*$') AND path NOT IN ('notes/index.md', 'notes/summary.md') THEN replace(path, 'notes/', 'notes/topics/') ELSE path END"
+)
+D_PLACED = f"(SELECT context, path, arg_min(content, (old <> path, old)) AS content FROM (SELECT context, path AS old, content, {D_CANONICAL} AS path FROM {duck('notes')}) GROUP BY context, path)"
+CHECKS = ("manifest_version", "config", "notes_missing", "notes_stray", "index", "drift", "blobs")
+
+
+@query("g8_repair_contexts", f"""SELECT 'manifest' AS name, context, source_path AS key, sha256(text) AS digest FROM {duck('items')}
+UNION ALL SELECT 'blobs', context, 'sha256:' || sha256(text), sha256(text) FROM {duck('items')} WHERE context <> 'c1' GROUP BY context, text
+UNION ALL SELECT 'notes', context, path, sha256(content) FROM {D_PLACED} UNION ALL SELECT 'registry', context, path, 'sha256:' || sha256(content) FROM {D_PLACED} WHERE path LIKE '%.md'
+UNION ALL SELECT 'index', context, source_path, 'there' FROM {duck('items')}
+UNION ALL SELECT 'health', context, c.name, 'ok' FROM (SELECT DISTINCT context FROM {duck('items')}), (SELECT unnest({list(CHECKS)}) AS name) c""")
+def g8_contexts(spark, sf_dir):
+    """All contexts after repair, every output whole, and their health report."""
+    items = staged(derived(spark, sf_dir, "items"))
+    sql = re.sub(r"\{sha:([^}]*)\}", r"sha2(\1, 256)", REPAIRED).replace("{string}", "STRING")
+    manifest = staged(spark.sql(sql, items=items))
+    source = items.withColumn("content", F.col("text").cast("binary"))
+    files = source.select("context", F.lit("r").alias("root"), F.col("source_path").alias("rel"), F.octet_length("content").cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("mtime"), F.sha2("text", 256).alias("hash"), "content")
+    chunks = items.where("context = 'c1'").select("context", F.concat(F.lit("r/"), "source_path").alias("source_path"), F.col("text").alias("content"))
+    index = {t: chunks if t == "chunks" else chunks.limit(0) for t in sync.TABLES}
+    config = F.struct(F.lit(True).alias("store_raw_content"))
+    contexts = items.select("context").distinct().withColumns({"version": F.lit("0.2"), "config": config})
+    fixed = repair_contexts(contexts, manifest, blobs(spark, sf_dir).drop("body"), derived(spark, sf_dir, "notes"), derived(spark, sf_dir, "registry"), index, files, as_of())
+    report = audit.health_report(contexts, fixed["manifest"], fixed["blobs"], fixed["notes"], fixed["registry"], fixed["index"])
+    indexed = fixed["index"]["chunks"].select("context", "source_path").unionByName(fixed["index"]["procedures"].select("context", "source_path")).distinct()
+    row = lambda df, name, key, digest: df.select(F.lit(name).alias("name"), "context", key.alias("key"), digest.alias("digest"))
+    parts = [
+        row(fixed["manifest"], "manifest", F.col("path"), F.col("hash_at_index")), row(fixed["blobs"], "blobs", F.col("blob_hash"), F.sha2("payload", 256)),
+        row(fixed["notes"], "notes", F.col("path"), F.sha2("content", 256)), row(fixed["registry"], "registry", F.col("path"), F.col("hash")),
+        row(indexed, "index", F.expr("substr(source_path, 3)"), F.lit("there")), row(report, "health", F.col("name"), F.col("status")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- notes ----------------------------------------------------------------------------------------------------------
 
 N, R = duck("notes"), duck("registry")
