@@ -850,11 +850,11 @@ VERSIONS = "(SELECT max(doc_id) AS doc_id, 'c' || (doc_id // 2 % 3) AS context,
 
 @query("f15_stream_runs", d_streamed(VERSIONS))
 def f15_runs(spark, sf_dir):
-    """Twenty batches: ten bring the first versions of all sources, ten the later ones. Runs are merged on the way."""
+    """Ten batches: five bring the first versions of all sources, five the later ones. Runs are merged on the way."""
     documents = derived(spark, sf_dir, "documents")
     out = stage_folder(spark, "stream")
-    for k in range(20):
-        batch = documents.where((F.col("doc_id") % 2 == k // 10) & (F.expr("doc_id div 2") % 10 == k % 10))
+    for k in range(10):
+        batch = documents.where((F.col("doc_id") % 2 == k // 5) & (F.expr("doc_id div 2") % 5 == k % 5))
         source = F.expr("'d' || doc_id div 2 || '.txt'")
         append_batch(out, AS_OF)(delivered(batch, F.expr("'c' || doc_id div 2 % 3"), source), k)
     return streamed_state(spark, out)
@@ -914,7 +914,32 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.health_report(contexts, derived(spark, sf_dir, "manifest"), blobs(spark, sf_dir), derived(spark, sf_dir, "notes"), derived(spark, sf_dir, "registry"), small_index(spark, sf_dir))
 
 
-@query("g7_health_report")
+D_CANONICAL = (
+    "CASE WHEN regexp_matches(path, '^notes/[^/]*$') AND path NOT IN ('notes/index.md', 'notes/summary.md') THEN replace(path, 'notes/', 'notes/topics/') ELSE path END"
+)
+D_STATUS = "CASE WHEN coalesce(n, 0) > 0 THEN 'warn' ELSE 'ok' END, coalesce(n, 0)::VARCHAR"
+D_BAD = f"""SELECT m.context FROM {M} m LEFT JOIN {duck('blobs')} b ON m.context = b.context AND m.blob_ref = b.blob_hash
+WHERE blob_ref IS NOT NULL AND (b.blob_hash IS NULL OR 'sha256:' || sha256(body) <> b.blob_hash)"""
+D_ORPHANS = f"SELECT DISTINCT context, blob_hash FROM {duck('blobs')} b WHERE NOT EXISTS (SELECT 1 FROM {M} m WHERE m.context = b.context AND m.blob_ref = b.blob_hash)"
+D_SEMANTIC_KEYS = f"(SELECT context || ' ' || source_path || '#' || chunk_idx AS key, context, f AS facts, e FROM ({SEMANTIC}))"
+
+
+def d_count(rows: str) -> str:
+    return f"(SELECT context, count(*) AS n FROM ({rows}) GROUP BY context)"
+
+
+@query("g7_health_report", f"""WITH c AS (SELECT DISTINCT context FROM {duck('corpus')}), s AS MATERIALIZED (SELECT * FROM {D_SEMANTIC_KEYS}),
+i AS (SELECT context FROM s UNION ALL SELECT context FROM (SELECT context, unnest(e) FROM s) UNION ALL SELECT split_part(key, ' ', 1) FROM ({d_triples('s', 'key')}) UNION ALL SELECT context FROM {duck('runbooks')}),
+missing AS (SELECT r.context FROM {duck('registry')} r WHERE NOT EXISTS (SELECT 1 FROM {duck('notes')} n WHERE n.context = r.context AND n.path = r.path)),
+stray AS (SELECT context, path FROM {duck('notes')} n WHERE path LIKE '%.md' AND NOT EXISTS (SELECT 1 FROM {duck('registry')} r WHERE n.context = r.context AND n.path = r.path) UNION SELECT context, path FROM {duck('notes')} WHERE {D_CANONICAL} <> path)
+SELECT context, 'manifest_version' AS name, CASE WHEN context = 'c2' THEN 'fail' ELSE 'ok' END AS status, CASE WHEN context = 'c2' THEN 'unknown version' ELSE 'version 0.2' END AS detail FROM c
+UNION ALL SELECT context, 'config', CASE WHEN context = 'c1' THEN 'warn' ELSE 'ok' END, CASE WHEN context = 'c1' THEN 'no configuration' ELSE 'set' END FROM c
+UNION ALL SELECT context, 'notes_missing', {D_STATUS} FROM c LEFT JOIN {d_count('SELECT * FROM missing')} USING (context)
+UNION ALL SELECT context, 'notes_stray', {D_STATUS} FROM c LEFT JOIN {d_count('SELECT * FROM stray')} USING (context)
+UNION ALL SELECT context, 'index', CASE WHEN coalesce(n, 0) > 0 THEN 'ok' ELSE 'fail' END, coalesce(n, 0)::VARCHAR FROM c LEFT JOIN {d_count('SELECT * FROM i')} USING (context)
+UNION ALL SELECT context, 'drift', {D_STATUS} FROM c LEFT JOIN {d_count(f'SELECT * FROM {M} WHERE hash <> hash_at_index')} USING (context)
+UNION ALL SELECT context, 'blobs', CASE WHEN coalesce(b.n, 0) > 0 THEN 'fail' WHEN coalesce(o.n, 0) > 0 THEN 'warn' ELSE 'ok' END, coalesce(b.n, 0) || ' bad, ' || coalesce(o.n, 0) || ' orphans'
+FROM c LEFT JOIN {d_count(D_BAD)} b USING (context) LEFT JOIN {d_count(D_ORPHANS)} o USING (context)""")
 def g7(spark, sf_dir):
     return health(spark, sf_dir)
 
@@ -929,9 +954,6 @@ def g8(spark, sf_dir):
 REPAIRED = """SELECT context, 'r' AS root, TIMESTAMP '2024-01-01 00:00:00' AS added_at, CASE WHEN doc_id % 11 = 0 AND context <> 'c1' THEN 'gone/' || source_path ELSE source_path END AS path, {sha:text} AS hash,
     CASE WHEN doc_id % 7 = 0 AND context <> 'c1' THEN {sha:text || 'x'} ELSE {sha:text} END AS hash_at_index, TIMESTAMP '2024-02-01 00:00:00' AS indexed_at, 'semantic' AS type,
     CASE WHEN doc_id % 3 <> 1 THEN 'sha256:' || {sha:text} END AS blob_ref, CAST(NULL AS {string}) AS source_path, length(text) AS source_size, 0 AS source_mtime FROM {items}"""
-D_CANONICAL = (
-    "CASE WHEN regexp_matches(path, '^notes/[^/]*$') AND path NOT IN ('notes/index.md', 'notes/summary.md') THEN replace(path, 'notes/', 'notes/topics/') ELSE path END"
-)
 D_PLACED = f"(SELECT context, path, arg_min(content, (old <> path, old)) AS content FROM (SELECT context, path AS old, content, {D_CANONICAL} AS path FROM {duck('notes')}) GROUP BY context, path)"
 CHECKS = ("manifest_version", "config", "notes_missing", "notes_stray", "index", "drift", "blobs")
 

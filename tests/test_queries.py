@@ -11,7 +11,7 @@ from memspark.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 #: Wide jobs that other tests cover.
-SLOW = {"f12_index_units", "g7_health_report", "g4_list_contexts", "c9_chunk_units", "e13_answer_prompts"}
+SLOW = {"f12_index_units", "g4_list_contexts", "c9_chunk_units", "e13_answer_prompts", "f15_stream_runs"}
 
 
 @pytest.fixture(scope="module")
