@@ -2,7 +2,8 @@
 
 Texts are folded to their words. A notice that may differ in k edits is split to k + 1 seeds; by the pigeonhole
 principle any such copy holds one seed unchanged. An Aho-Corasick automaton finds all seeds of all notices in one
-pass, and the regex library's bounded-error matching verifies the window around each and gives its edits.
+pass, and the regex library's bounded-error matching verifies the window around each and gives its edits. Words that name a licence must be
+unchanged, so that one edit doesn't make another licence of it.
 """
 
 from __future__ import annotations
@@ -38,16 +39,25 @@ NOTICES = {
     "released into the public domain": "public-domain",
     "all rights reserved": "all-rights-reserved",
 }
+#: Words of which one edit makes another licence, or none. A copy of a notice must hold those of the notice unchanged.
+NAMING = frozenset("mit cc by sa nc rights".split())
 #: One edit is allowed for so many characters of a notice, and no more than MOST_EDITS.
 CHARS_PER_EDIT, MOST_EDITS = 12, 4
 
 
+def whole_words(text: str, start: int, end: int) -> list[str]:
+    """The words of a folded text that lie in a range, at least in part."""
+    last = text.find(" ", end - 1 if text[end - 1 : end] != " " else end)
+    return text[text.rfind(" ", 0, start) + 1 : len(text) if last < 0 else last].split()
+
+
 class Notices:
     """Seeds and verifying patterns of a set of notices."""
 
     def __init__(self, notices: dict[str, str] = NOTICES, chars_per_edit: int = CHARS_PER_EDIT, most: int = MOST_EDITS):
         self.notices, self.given = notices, (notices, chars_per_edit, most)
         self.edits = {n: min(most, len(n) // chars_per_edit) for n in notices}
+        self.naming = {n: NAMING.intersection(n.split()) for n in notices}
         self.automaton = None
 
     def __reduce__(self):
@@ -81,7 +91,7 @@ class Notices:
         for notice, start in windows:
             k = self.edits[notice]
             m = self.patterns[notice].search(text, max(0, start - k), min(len(text), start + len(notice) + 2 * k))
-            if m and m.end() > m.start():
+            if m and m.end() > m.start() and self.naming[notice].issubset(whole_words(text, m.start(), m.end())):
                 out.add((m.start(), m.end(), notice, sum(m.fuzzy_counts)))
         kept: list[tuple[int, int, str, int]] = []
         for one in sorted(out, key=lambda x: (x[3], x[0] - x[1], x[0], x[2])):
