@@ -22,6 +22,8 @@ from .common import cut_lineage, joined_by_count, shared_folder
 MAGIC, END = "WARC/1.0\r\n", "\r\n\r\n"
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 100
+#: Narrow rows (some 100 bytes) that are broadcast at most.
+BROADCAST_ROWS = 200_000
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -46,6 +48,8 @@ def write_archives(pages: DataFrame, path: str, date: str = DATE) -> None:
     named = cut_lineage(rows.where(F.col("n_bytes") >= REVISIT_BYTES).select("page_id", "digest"))  # who revisits is decided on narrow rows
     first = cut_lineage(named.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
     revisits = joined_by_count(named, first, "digest", named.count()).where(F.col("page_id") != F.col("first")).distinct()
+    revisits = cut_lineage(revisits)
+    revisits = F.broadcast(revisits) if revisits.count() <= BROADCAST_ROWS else revisits  # then no page is shuffled
     rows = rows.join(revisits, ["page_id", "digest"], "left").withColumn("revisit", F.col("first").isNotNull())
     kind, body = F.when(F.col("revisit"), "revisit").otherwise("response"), F.when(F.col("revisit"), "").otherwise(F.col("html"))
     record = F.concat(
@@ -113,10 +117,23 @@ def reachable(chain: DataFrame) -> DataFrame:
         jump = cut_lineage(jump.join(onward, ["file", "next"]).select("file", "off", F.col("far").alias("next")))
 
 
+def owned(rows: DataFrame, records: DataFrame) -> DataFrame:
+    """file, at, h1, h2 of all candidates, and off of the last record that begins at or before each.
+
+    A running maximum inside each block, carried over the blocks of a file (one row each): no task meets the records of a file with its candidates.
+    """
+    begins = records.select("file", "off", F.col("off").alias("begin"))
+    marked = cut_lineage(rows.select("file", "block", "off", "h1", "h2").join(begins, ["file", "off"], "left"))
+    up_to = W.partitionBy("file", "block").orderBy("off").rowsBetween(W.unboundedPreceding, W.currentRow)
+    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    carried = marked.groupBy("file", "block").agg(F.max("begin").alias("last")).withColumn("carried", F.max("last").over(earlier)).drop("last")
+    return marked.withColumn("own", F.max("begin").over(up_to)).join(carried, ["file", "block"]).select("file", F.col("off").alias("at"), "h1", "h2", F.coalesce("own", "carried").alias("off"))
+
+
 def rejoined(spark: SparkSession, path: str, records: DataFrame, rows: DataFrame) -> DataFrame:
     """file, off, digest of records whose payload holds magic: their pieces are read again, found by content, and put together."""
     broken = records.where("not whole").select("file", "off", "next", "head", "length")
-    parts = cut_lineage(broken.join(rows.select("file", F.col("off").alias("at"), "h1", "h2"), "file").where("at >= off and at < next"))
+    parts = cut_lineage(owned(rows, records).join(broken, ["file", "off"]).where("at < next"))
     found = pieces(spark, path).select("value", *content_key()).join(parts.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
     joined = found.join(parts, ["h1", "h2"]).groupBy("file", "off", "head", "length").agg(F.array_sort(F.collect_list(F.struct("at", F.col("value").cast("binary").alias("value")))).alias("p"))
     data = F.expr(f"aggregate(p, cast('' AS binary), (a, x) -> CASE WHEN x.at = off THEN x.value ELSE concat(a, cast('{MAGIC[:8]}\\r\\n' AS binary), x.value) END)")

@@ -64,6 +64,22 @@ def test_archive_is_plain_warc(spark):
     assert text.endswith("Content-Length: 9\r\n\r\n<p>é</p>\r\n\r\n")
 
 
+def test_many_records_with_magic_inside_in_one_file(spark):
+    """A thousand records whose payloads hold magic: each piece is given to its record by a running marker."""
+    rows = [(k, f"http://h/{k}", f"{k} " + "some text WARC/1.0\r\n" * (1 + k % 4) + f"end {k}", "clash") for k in range(1000)]
+    path = shared_folder(spark, "warc")
+    write_archives(spark.createDataFrame(rows, SCHEMA).coalesce(1), path)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert result(read_archives(spark, path)) == expected(rows)
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_pointer_jumping(spark):
     chain = [(1, k * 10, k * 10 + 10) for k in range(0, 50)] + [(1, 7, 17), (1, 17, 20), (2, 0, 30), (2, 30, None), (2, 15, 30), (3, 5, 9)]
     got = sorted((r.file, r.off) for r in reachable(spark.createDataFrame(chain, "file bigint, off bigint, next bigint")).collect())
