@@ -7,6 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Words of a success, of a failure, and of a piece that tells how something failed.
+SUCCEEDED, FAILED, FAILURE_MODES = ["success", "passed", "completed"], ["fail", "error", "rollback"], ["fail", "error", "timeout"]
+#: Words of a line that tells an outcome, beginnings of a line that asks for something, files that hold procedures.
+OUTCOMES = ["success", "failure", "failed", "partial", "outcome", "result"]
+IMPERATIVES = ["run", "open", "install", "verify", "add", "remove", "update", "create"]
+PROCEDURE_FILES = ["AGENTS.md", "CLAUDE.md", "CONTEXT.md"]
 #: Unicode white space, which trimming removes.
 SPACES = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Verbs of relations, keywords that name code symbols.
@@ -109,11 +115,11 @@ def steps(text: Column) -> Column:
 
 def outcome(text: Column) -> Column:
     low = F.lower(text)
-    return F.when(has_any(low, ["success", "passed", "completed"]), "success").when(has_any(low, ["fail", "error", "rollback"]), "failure").otherwise("partial")
+    return F.when(has_any(low, SUCCEEDED), "success").when(has_any(low, FAILED), "failure").otherwise("partial")
 
 
 def failure_modes(text: Column) -> Column:
-    return F.slice(F.filter(pieces(text), lambda x: has_any(F.lower(x), ["fail", "error", "timeout"])), 1, 5)
+    return F.slice(F.filter(pieces(text), lambda x: has_any(F.lower(x), FAILURE_MODES)), 1, 5)
 
 
 def task_description(text: Column, source: Column) -> Column:
@@ -142,9 +148,9 @@ def classify_content(path: Column, text: Column) -> Column:
     """procedural or semantic: by file name, else by list items with outcomes or imperatives."""
     rows = F.transform(lines(text), left_trimmed)
     bullets = F.size(F.filter(rows, lambda x: x.startswith("- ") | x.startswith("* ") | (x.rlike("^[0-9]") & x.contains("."))))
-    outcomes = F.size(F.filter(rows, lambda x: has_any(F.lower(x), ["success", "failure", "failed", "partial", "outcome", "result"])))
-    imperatives = F.size(F.filter(rows, lambda x: F.lower(x).rlike("^(run|open|install|verify|add|remove|update|create)")))
-    named = F.substring_index(path, "/", -1).isin("AGENTS.md", "CLAUDE.md", "CONTEXT.md")
+    outcomes = F.size(F.filter(rows, lambda x: has_any(F.lower(x), OUTCOMES)))
+    imperatives = F.size(F.filter(rows, lambda x: F.lower(x).rlike(f"^({'|'.join(IMPERATIVES)})")))
+    named = F.substring_index(path, "/", -1).isin(PROCEDURE_FILES)
     return F.when(named | ((bullets >= 2) & ((outcomes > 0) | (imperatives >= 2))), "procedural").otherwise("semantic")
 
 
