@@ -9,12 +9,15 @@ the pair agrees in the first segment, and in the second after clearing at most o
 key holds about 42 bits, which keeps chance candidates rare at any corpus size. The chain's last step is the full
 Hamming check. A fingerprint has at most 2,080 others within 2 bits, so links grow with the fingerprints.
 
-Links by similarity (`similar_rows`, Jaccard similarity of word shingles). A pair of similarity 0.8 differs in about 10 of 64
-bits, and a chain's key for that many would be 3 or 4 bits. There the join key is instead a band: the LEAST smallest
-shingles of a text in one of BANDS random orders, which two texts share with a chance of about 0.8^5 a band.
-The pigeonring chain and the full Hamming check prune the pairs, and the shingle sets decide exactly. Bands miss a pair at the
-bound with a chance of about 3 in a million. Sets of at most FEW shingles also meet in all their subsets that lack one
-shingle, which misses none.
+Links by similarity (`similar_rows`, Jaccard similarity of word shingles). Pairs within REACH bits come from chains on a ring of
+seven segments: the same two steps are the join key of 18 or 19 bits, the full Hamming check follows, and the shingle sets decide exactly.
+No such pair is missed, and nothing else looks for it, but that large groups of near copies meet a head first.
+
+A pair of similarity 0.8 differs in about 10 of 64 bits, and a chain's key for that many would be 3 or 4 bits. So the pairs beyond REACH bits,
+and only these, are found in another way. Their join key is a band: the LEAST smallest shingles of a text in one of BANDS random orders,
+which two texts share with a chance of about 0.8^5 a band. A chain of half the ring and the full Hamming check prune the pairs, and the sets
+decide. Bands miss a pair at the bound with a chance of about 3 in a million. Sets of at most FEW shingles also meet in all their subsets
+that lack one shingle, which misses none.
 
 Before any join, documents are collapsed to distinct fingerprints or shingle sets, so large groups of copies cost one row.
 """
@@ -39,6 +42,10 @@ BLOCK = 65536
 WORDS, SIMILAR = 5, (4, 5)
 #: Random orders, shingles that make a band's key, and sets so small that their subsets are keys too.
 BANDS, LEAST, FEW = 32, 5, 9
+#: Ring for links by similarity, and the bits within which its chains find all pairs: fewer than segments, so that a chain begins with an equal one.
+ARCS, REACH = (*((9 * k, 9) for k in range(6)), (54, 10)), 6
+#: A key of more sets than this is that of a large group, whose sets meet a head before the chains are looked up.
+CROWD = 16
 #: Segments of 8 bits on the ring, and the bits in which a similar pair may differ: 5 standard deviations above the mean at 0.8.
 RING, BUDGET = 8, 28
 #: Odd factors of a shingle's words; masks and odd factors of the bands' orders.
@@ -91,25 +98,25 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 # --- links by bits -----------------------------------------------------------------------------------
 
 
-def bits_of(fp: Column, segment: int) -> Column:
-    low, width = SEGMENTS[segment % 3]
+def bits_of(fp: Column, segment: int, ring: tuple = SEGMENTS) -> Column:
+    low, width = ring[segment % len(ring)]
     return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
 
 
-def ring_keys(fps: DataFrame, probe: bool) -> DataFrame:
-    """Keys (ring start, first segment, second segment) of each fp; a probe also has those with one set bit of the second cleared."""
+def ring_keys(fps: DataFrame, probe: bool, ring: tuple = SEGMENTS) -> DataFrame:
+    """fps with keys (ring start, first segment, second segment) of each fp; a probe also has those with one set bit of the second cleared."""
 
     def keys(start: int) -> Column:
-        first, second = bits_of(F.col("fp"), start), bits_of(F.col("fp"), start + 1)
+        first, second = bits_of(F.col("fp"), start, ring), bits_of(F.col("fp"), start + 1, ring)
         head = F.lit(start << 50).cast("bigint").bitwiseOR(F.shiftleft(first, 22))
         own = F.array(head.bitwiseOR(second))
         if not probe:
             return own
-        ones = F.array(*(F.lit(1 << b).cast("bigint") for b in range(SEGMENTS[(start + 1) % 3][1])))
+        ones = F.array(*(F.lit(1 << b).cast("bigint") for b in range(ring[(start + 1) % len(ring)][1])))
         cleared = F.filter(ones, lambda bit: second.bitwiseAND(bit) != 0)
         return F.concat(own, F.transform(cleared, lambda bit: head.bitwiseOR(second.bitwiseXOR(bit))))
 
-    return fps.select("fp", F.explode(F.concat(*map(keys, range(3)))).alias("key"))
+    return fps.select("*", F.explode(F.concat(*map(keys, range(len(ring))))).alias("key"))
 
 
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -284,6 +291,30 @@ def sets_of(members: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataF
     return cut_lineage(sets.join(own, "set", "left").select("set", "hashes", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared")))
 
 
+def apart(p: str, q: str) -> Column:
+    """The bits in which the fingerprints differ."""
+    return F.bit_count(F.col(p).bitwiseXOR(F.col(q)))
+
+
+def chained(rooted: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of rooted (set, fp, root) in different components whose fingerprints differ in at most REACH bits, each once.
+
+    With t bits on m > t segments some chain has an equal first segment and at most 2 t / m < 2 differing bits in the first two. A key of
+    more than PART_SETS sets is cut to parts, each of which meets all probes.
+    """
+    nodes = rooted.select("set", "fp", "root")
+    own, probes = ring_keys(nodes, False, ARCS), ring_keys(nodes, True, ARCS)
+    parts = cut_lineage(own.groupBy("key").agg((1 + F.count("*") / PART_SETS).cast("int").alias("parts")).where("parts > 1"))
+    if not parts.isEmpty():
+        dealt = lambda rows, part: rows.join(F.broadcast(parts), "key", "left").withColumn("part", part).drop("parts")
+        many = F.coalesce("parts", F.lit(1))
+        own, probes = dealt(own, F.pmod(F.xxhash64("set"), many).cast("int")), dealt(probes, F.explode(F.sequence(F.lit(0), many - 1)))
+    on = [c for c in ("key", "part") if c in own.columns]
+    side = lambda rows, name: rows.select(*on, F.struct("set", "fp", "root").alias(name))
+    pairs = side(probes, "p").join(side(own, "q"), on).where((F.col("p.root") != F.col("q.root")) & (apart("p.fp", "q.fp") <= REACH))
+    return cut_lineage(pairs.select(F.least("p.set", "q.set").alias("a"), F.greatest("p.set", "q.set").alias("b")).distinct())
+
+
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b and similar of pairs (a, b) of sets."""
     side = lambda name, hashes: sets.select(F.col("set").alias(name), F.col("hashes").alias(hashes))
@@ -339,19 +370,36 @@ def meetings(tokens: DataFrame) -> DataFrame:
 
 
 def may_link() -> Column:
-    """Whether bits, sizes and what follows the token in either order allow the similarity: t = p / q needs an overlap of p (|a| + |b|) / (p + q)."""
+    """Whether bits (beyond those of `chained`), sizes and what follows the token in either order allow the similarity: t = p / q needs an overlap of p (|a| + |b|) / (p + q)."""
     over, under = SIMILAR
     most = F.least(F.col("p.shared") - F.col("p.pos"), F.col("q.shared") - F.col("q.pos"))
-    return (most * (over + under) >= (F.col("p.size") + F.col("q.size")) * over) & within_budget(F.col("p.fp"), F.col("q.fp"))
+    beyond = apart("p.fp", "q.fp") > REACH
+    return beyond & (most * (over + under) >= (F.col("p.size") + F.col("q.size")) * over) & within_budget(F.col("p.fp"), F.col("q.fp"))
+
+
+def merged(rooted: DataFrame, found: DataFrame) -> DataFrame:
+    """rooted (set, root, ...) after the components of the pairs found (a, b) of sets have become one."""
+    if found.isEmpty():
+        return rooted
+    of = lambda s: rooted.select(F.col("set").alias(s), F.col("root").alias(f"root_{s}"))
+    edges = found.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    return cut_lineage(with_root(rooted.withColumnRenamed("root", "first"), edges, "first").drop("first"))
+
+
+def with_sets(sets: DataFrame, pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """sets and those of the pairs (a, b) that it lacks."""
+    lacking = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(sets, "set", "left_anti")
+    return sets if lacking.isEmpty() else sets.unionByName(sets_of(lacking, nodes, documents))
 
 
-def band_roots(nodes: DataFrame, documents: DataFrame) -> DataFrame:
-    """set, n, root of all sets (nodes: set, fp, k1, keys, n): the components of all similar pairs that share a key.
+def similar_roots(nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """set, n, root of all sets (nodes: set, fp, k1, keys, n): the components of all similar pairs within REACH bits, and of those beyond that share a band.
 
-    A set that shares less than 0.8 of its shingles with all others that it meets has no partner. Each other set of a key is first compared with a head:
-    the set with the smallest share of shingles of its own, which is the one that copies of a text are most alike. That puts a large
-    group of near copies in one component, with few pairs a set. Sets of keys that still hold several components are compared
-    after that where they meet in a rare shingle (`prefixes`), so a template that many unlike texts share makes no pairs.
+    A set that shares less than 0.8 of its shingles with all others that it meets in a band has no partner there. Sets of a band are first compared with
+    a head: the set with the smallest share of shingles of its own, which is the one that copies of a text are most alike. With a head are
+    compared the sets beyond REACH bits, and in bands of more than CROWD sets all, which puts a large group of near copies in one component, with few pairs a set.
+    Then the chains find the links within REACH bits between components, and those beyond are found where sets of bands that still hold several
+    components meet in a rare shingle (`prefixes`), so a template that many unlike texts share makes no pairs.
     """
     over, under = SIMILAR
     part = F.pmod(F.xxhash64("set"), F.lit(1 + nodes.count() // PART_SETS))
@@ -360,21 +408,23 @@ def band_roots(nodes: DataFrame, documents: DataFrame) -> DataFrame:
     sets = sets_of(members, nodes, documents)
     able = sets.where(F.col("shared") * under >= F.col("size") * over)
     members = cut_lineage(members.join(able.drop("hashes"), "set").select("key", "set", "fp", "size", "shared"))
-    stars = headed(members, 1 - F.col("shared") / F.col("size"), part)
-    pairs = stars.select(F.least("set", "head.set").alias("a"), F.greatest("set", "head.set").alias("b")).distinct()
-    rooted = cut_lineage(with_root(nodes.select("set", "n"), overlaps(cut_lineage(pairs), able).where("similar"), "set"))
+    stars = headed(members, 1 - F.col("shared") / F.col("size"), part).where(apart("fp", "head.fp") <= BUDGET)
+    crowds = members.groupBy("key").agg(F.count("*").alias("in_key")).where(F.col("in_key") > CROWD)
+    pair = [F.least("set", "head.set").alias("a"), F.greatest("set", "head.set").alias("b")]
+    pairs = stars.join(crowds, "key", "left").groupBy(*pair).agg(F.max(F.col("in_key").isNotNull()).alias("crowd"), F.first(apart("fp", "head.fp")).alias("apart"))
+    pairs = cut_lineage(pairs)
+
+    first = pairs.where(F.col("crowd") | (F.col("apart") > REACH)).select("a", "b")
+    rooted = cut_lineage(with_root(nodes.select("set", "fp", "n"), overlaps(first, able).where("similar"), "set"))
+    near = chained(rooted)
 
     placed = cut_lineage(members.select("key", "set", "fp").join(rooted.select("set", "root"), "set"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     left = placed.join(mixed, "key", "left_semi").select("set", "fp", "root").distinct()
     left = cut_lineage(left.join(able, "set"))
     more = cut_lineage(meetings(prefixes(left)).where(may_link()).select(F.least("p.set", "q.set").alias("a"), F.greatest("p.set", "q.set").alias("b")).distinct())
-    found = more if more.isEmpty() else overlaps(more, able).where("similar")
-    if found.isEmpty():
-        return rooted
-    of = lambda s: rooted.select(F.col("set").alias(s), F.col("root").alias(f"root_{s}"))
-    merged = found.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-    return cut_lineage(with_root(rooted.withColumnRenamed("root", "first"), merged, "first").drop("first"))
+    found = near.unionByName(more)
+    return merged(rooted, found if found.isEmpty() else overlaps(found, with_sets(sets, near, nodes, documents)).where("similar")).select("set", "n", "root")
 
 
 def similar_rows(documents: DataFrame) -> DataFrame:
@@ -386,7 +436,7 @@ def similar_rows(documents: DataFrame) -> DataFrame:
     small_batches(documents.sparkSession)
     rows = cut_lineage(shingled(documents))
     nodes = cut_lineage(rows.groupBy("set").agg(F.min("k1").alias("k1"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count("*").alias("n")))
-    return joined_by_count(rows.drop("keys", "fp"), band_roots(nodes, documents), "set", rows.count())
+    return joined_by_count(rows.drop("keys", "fp"), similar_roots(nodes, documents), "set", rows.count())
 
 
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:

@@ -176,6 +176,39 @@ def test_chain_holds_for_every_pair_within_the_budget(spark):
     assert all(r.near == (r.n <= simhash.BUDGET) for r in df.select("n", simhash.within_budget(F.col("p"), F.col("q")).alias("near")).collect())
 
 
+def test_chains_find_all_pairs_within_reach(spark):
+    fps = near_set(300, 4)
+    rng = random.Random(9)
+    for base in fps[:100]:
+        fps.append(base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(5, 8))))
+    fps += fps[:3]  # unlike sets with equal bits
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    rows = [(k, fp, k % 5) for k, fp in enumerate(signed)]
+    want = {(i, j) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= simhash.REACH and i % 5 != j % 5}
+    got = [(r.a, r.b) for r in simhash.chained(spark.createDataFrame(rows, "set bigint, fp bigint, root bigint")).collect()]
+    assert len(want) > 300 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_hot_chain_is_cut_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART_SETS", 10)
+    rows = [(k, 1 << k % 9 | k << 54, k % 2) for k in range(60)]
+    want = {(i, j) for j in range(60) for i in range(j) if (rows[i][1] ^ rows[j][1]).bit_count() <= simhash.REACH and (i + j) % 2}
+    got = [(r.a, r.b) for r in simhash.chained(spark.createDataFrame(rows, "set bigint, fp bigint, root bigint")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_chains_find_similar_texts_without_any_band(spark, monkeypatch):
+    real = simhash.shingled
+    monkeypatch.setattr(simhash, "shingled", lambda docs: real(docs).withColumn("keys", F.array().cast("array<bigint>")))
+    rng = random.Random(3)
+    texts = {k: " ".join(f"{rng.getrandbits(30):x}" for _ in range(300)) for k in range(0, 80, 2)}
+    texts |= {k + 1: t + f" tail{k}" + " more" * (k % 8) for k, t in texts.items()}
+    bits = lambda t: simhash.majority(simhash.shingle_set(t))
+    near = {k for k in range(0, 80, 2) if (bits(texts[k]) ^ bits(texts[k + 1])).bit_count() <= simhash.REACH}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert len(near) > 30 and {r.doc_id for r in drop_near_duplicates(docs).collect()} == set(texts) - {k + 1 for k in near}
+
+
 def test_one_row_of_each_group_stays(spark):
     df, _ = documents(spark)
     kept_ids = sorted((r.doc_id or -1) for r in drop_near_duplicates(df).collect())
