@@ -8,8 +8,8 @@ chunk_idx and id, so results don't depend on partitions.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
-from itertools import product
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,20 +19,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.staging import staged
-from ..functions.text import SPACES, clamp, cosine, hybrid_score, lexical_overlap, lines, not_blank, task_context, tokenize, trimmed
+from ..functions.text import SPACES, WORD_BYTES, clamp, lines, not_blank, task_context, trimmed
 from .extract import parsed, text_of, unwrapped
 
 CANDIDATES = 50
 #: Queries that travel to a task at once.
 QUERY_BLOCK = 256
-#: Narrow rows of results (some 100 bytes) that are broadcast at most, and queries of procedures (some KB with their patterns) that are.
-BROADCAST_ROWS, PROCEDURE_BLOCK = 100_000, 2048
+#: Narrow rows of results (some 100 bytes) that are broadcast at most.
+BROADCAST_ROWS = 100_000
 #: Blocks that go with one scan of the candidates.
 SCAN_BLOCKS = 8
 LEXICAL_SHARE, PROCEDURE_LEXICAL, DECAY_DAYS = 0.2, 0.15, 130.0
 DIGITS = 9
-
-SCORED = "query_id bigint, id string, source string, chunk_idx int, score double, lexical double"
+#: The score of a procedure of which confidence or time is null; all others are above 0.
+UNKNOWN = -1.0
 
 
 def notes_candidates(notes: DataFrame, embedding: str = "embedding") -> DataFrame:
@@ -53,79 +53,113 @@ def best_of(rows: pd.DataFrame, keep: int) -> pd.DataFrame:
     return ordered[ordered.groupby("query_id").cumcount() < keep]
 
 
+def words_of(text: str | None) -> set[bytes]:
+    """The distinct words that `tokenize` gives."""
+    return {w for w in set((text or "").encode("utf-8", "replace").translate(WORD_BYTES).split()) if len(w) > 1}
+
+
 class QueryBlock:
-    """Unit vectors and token sets of some queries, by context."""
+    """Unit vectors and word sets of some queries, by context."""
 
     def __init__(self, rows: list):
         self.contexts: dict[str, tuple] = {}
         for context in {r.context for r in rows}:
             own = [r for r in rows if r.context == context]
-            tokens = sorted({t for r in own for t in r.tokens})
-            number = {t: k for k, t in enumerate(tokens)}
-            has = np.zeros((len(own), len(tokens)), np.float32)
-            for i, r in enumerate(own):
-                has[i, [number[t] for t in r.tokens]] = 1
-            self.contexts[context] = np.array([r.query_id for r in own]), [np.array(r.embedding or [], float) for r in own], number, has, np.array([len(r.tokens) for r in own], float)
-
-    def scores(self, context: str, vectors: list, tokens: list, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-        """Hybrid scores and shares of common words, queries by candidates."""
-        _, wanted, number, has, sizes = self.contexts[context]
+            words = [words_of(r.text) for r in own]
+            number = {t: k for k, t in enumerate(sorted(set().union(*words)))}
+            has = np.zeros((len(own), len(number)), np.float32)
+            for i, w in enumerate(words):
+                has[i, [number[t] for t in w]] = 1
+            self.contexts[context] = np.array([r.query_id for r in own]), [np.array(r.embedding or [], float) for r in own], number, has, np.array([len(w) for w in words], float), pd.DataFrame([r.asDict() for r in own])
+
+    def measures(self, context: str, vectors: list, words: list[set[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and shares of common words, queries by candidates."""
+        _, wanted, number, has, sizes, _ = self.contexts[context]
         dense = np.zeros((len(wanted), len(vectors)))
         width = np.array([0 if v is None else len(v) for v in vectors])
         for d in {len(q) for q in wanted} - {0}:
             rows, columns = [i for i, q in enumerate(wanted) if len(q) == d], np.nonzero(width == d)[0]
             if len(columns):
-                a, b = np.stack([wanted[i] for i in rows]), np.stack([np.asarray(vectors[j], float) for j in columns])
+                a, b = np.stack([wanted[i] for i in rows]), np.stack([vectors[j] for j in columns]).astype(float)
                 norm = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
                 dense[np.ix_(rows, columns)] = np.divide(a @ b.T, norm, out=np.zeros_like(norm), where=norm > 0)
         present = np.zeros((len(vectors), has.shape[1]), np.float32)
-        for j, own in enumerate(tokens):
-            present[j, [number[t] for t in own if t in number]] = 1
-        many = np.array([len(t) for t in tokens], float)
-        norm = np.sqrt(sizes[:, None] * many[None, :])
+        for j, own in enumerate(words):
+            present[j, [number[t] for t in own & number.keys()]] = 1
+        norm = np.sqrt(sizes[:, None] * np.array([len(w) for w in words], float)[None, :])
         shared = np.divide(has @ present.T, norm, out=np.zeros_like(norm), where=norm > 0)
-        return np.round(alpha * np.clip((dense + 1) / 2, 0, 1) + (1 - alpha) * np.clip(shared, 0, 1), DIGITS), shared
+        return dense, shared
 
 
-def top_candidates(queries: DataFrame, candidates: DataFrame, alpha: float = 0.7, keep: int = CANDIDATES, block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, id, source, chunk_idx, score, lexical (share of common words) of the best `keep` candidates per query.
+def hybrid(dense: np.ndarray, shared: np.ndarray, alpha: float) -> np.ndarray:
+    return alpha * np.clip((dense + 1) / 2, 0, 1) + (1 - alpha) * np.clip(shared, 0, 1)
 
-    queries: query_id, context, text, embedding. candidates: context, id, source, chunk_idx, index_text, embedding.
-    Queries are read in blocks of about `block`; SCAN_BLOCKS of them go with one scan of the candidates.
+
+QUERY = ["query_id", "context", "text", "embedding"]
+#: query block, context, candidates, cosines, shares of common words -> scores, queries by candidates; NaN where two are no pair.
+Score = Callable[[QueryBlock, str, pd.DataFrame, np.ndarray, np.ndarray], np.ndarray]
+
+
+def scored(queries: DataFrame, candidates: DataFrame, keep: list[str], score: Score, most: int | None, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, score, lexical (share of common words) and the columns `keep` of pairs of one context; of each task the best `most` per query, or all.
+
+    queries: query_id, context, text, embedding and what `score` names. candidates: context, words_in, embedding and what `score` and `keep` name;
+    words are read from words_in, once a row and scan. Queries are read in blocks of about `block`; SCAN_BLOCKS of them go with one scan of the candidates.
     """
-    weight = min(1.0, max(0.0, alpha))
-    wanted = queries.select("query_id", "context", "embedding", F.array_distinct(tokenize(F.col("text"))).alias("tokens"))
-    rows = candidates.select("context", "id", "source", "chunk_idx", "embedding", F.array_distinct(tokenize(F.col("index_text"))).alias("tokens"))
+    wanted = staged(queries)
     blocks = 1 + wanted.count() // block
     sc, found = queries.sparkSession.sparkContext, []
     block_of = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    types = {f.name: f.dataType.simpleString() for f in candidates.schema}
+    schema = ", ".join(["query_id bigint", "score double", "lexical double", *(f"`{c}` {types[c]}" for c in keep)])
     for k in range(0, blocks, SCAN_BLOCKS):
         each = [wanted.where(block_of == n).collect() for n in range(k, min(blocks, k + SCAN_BLOCKS))]
-        shared = sc.broadcast(cloudpickle.dumps([QueryBlock(rows_) for rows_ in each]))  # with its class, which executors may not have
+        shared = sc.broadcast(cloudpickle.dumps(([QueryBlock(rows) for rows in each], score)))  # with its class, which executors may not have
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            every, best = pickle.loads(shared.value), None
+            (every, points), best = pickle.loads(shared.value), None
             for batch in batches:
-                for (context, own), asked in product(list(batch.groupby("context")), every):
-                    if context not in asked.contexts:
-                        continue
-                    ids = asked.contexts[context][0]
-                    score, shared_words = asked.scores(context, own["embedding"].tolist(), own["tokens"].tolist(), weight)
-                    if score.shape[1] > keep:  # all that tie with the last place stay for the full order
-                        least = np.partition(score, score.shape[1] - keep, axis=1)[:, score.shape[1] - keep]
-                        q, c = np.nonzero(score >= least[:, None])
-                    else:
-                        q, c = np.nonzero(np.ones_like(score, bool))
-                    part = own.iloc[c][["id", "source", "chunk_idx"]].assign(query_id=ids[q], score=score[q, c], lexical=shared_words[q, c])
-                    best = best_of(part if best is None else pd.concat([best, part]), keep)
+                for context, own in batch.groupby("context"):
+                    vectors, words = own["embedding"].tolist(), [words_of(t) for t in own["words_in"]]
+                    for asked in every:
+                        if context not in asked.contexts:
+                            continue
+                        ids = asked.contexts[context][0]
+                        dense, lexical = asked.measures(context, vectors, words)
+                        point = points(asked, context, own, dense, lexical)
+                        q, c = np.nonzero(~np.isnan(point))
+                        if most is not None and point.shape[1] > most:  # all that tie with the last place stay for the full order
+                            full = np.where(np.isnan(point), -np.inf, point)
+                            least = np.partition(full, point.shape[1] - most, axis=1)[:, point.shape[1] - most]
+                            q, c = np.nonzero((full >= least[:, None]) & (full > -np.inf))
+                        part = own.iloc[c][keep].assign(query_id=ids[q], score=point[q, c], lexical=lexical[q, c])
+                        if most is None:
+                            yield part[["query_id", "score", "lexical", *keep]]
+                        else:
+                            best = best_of(part if best is None else pd.concat([best, part]), most)
             if best is not None:
-                yield best[["query_id", "id", "source", "chunk_idx", "score", "lexical"]]
+                yield best[["query_id", "score", "lexical", *keep]]
 
-        found.append(rows.mapInPandas(run, SCORED))
-    together = found[0]
-    for f in found[1:]:
-        together = together.unionByName(f)
-    return ranked(together, keep).drop("rank")
+        found.append(candidates.mapInPandas(run, schema))
+    return reduce(DataFrame.unionByName, found)
+
+
+def hybrid_pairs(queries: DataFrame, candidates: DataFrame, alpha: float = 0.7) -> DataFrame:
+    """query_id, id, score (not rounded) of all pairs of one context."""
+    weight = min(1.0, max(0.0, alpha))
+    rows = candidates.select("context", "id", F.col("index_text").alias("words_in"), "embedding")
+    return scored(queries.select(*QUERY), rows, ["id"], lambda asked, context, own, dense, shared: hybrid(dense, shared, weight), None).select("query_id", "id", "score")
+
+
+def top_candidates(queries: DataFrame, candidates: DataFrame, alpha: float = 0.7, keep: int = CANDIDATES, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, id, source, chunk_idx, score, lexical (share of common words) of the best `keep` candidates per query.
+
+    queries: query_id, context, text, embedding. candidates: context, id, source, chunk_idx, index_text, embedding.
+    """
+    weight = min(1.0, max(0.0, alpha))
+    rows = candidates.select("context", "id", "source", "chunk_idx", F.col("index_text").alias("words_in"), "embedding")
+    best = scored(queries.select(*QUERY), rows, ["id", "source", "chunk_idx"], lambda asked, context, own, dense, shared: np.round(hybrid(dense, shared, weight), DIGITS), keep, block)
+    return ranked(best, keep).drop("rank")
 
 
 def ranked(rows: DataFrame, keep: int) -> DataFrame:
@@ -177,30 +211,36 @@ def matching(queries: DataFrame, procedures: DataFrame) -> DataFrame:
     return known.join(F.broadcast(asked), ["context", "q_sets", "p_sets", *(f"v_{f}" for f in FIELDS)])
 
 
-def procedural_search(queries: DataFrame, procedures: DataFrame, k: int = 5, as_of: Column | None = None, block: int = PROCEDURE_BLOCK) -> DataFrame:
+def agreeing(queries: pd.DataFrame, procedures: pd.DataFrame) -> np.ndarray:
+    """Whether task contexts match, queries by procedures: every field is equal, or null on one side."""
+    out = np.ones((len(queries), len(procedures)), bool)
+    for f in FIELDS:
+        codes = pd.factorize(np.r_[queries[f].to_numpy(object), procedures[f].to_numpy(object)])[0]  # -1 for null
+        a, b = codes[: len(queries), None], codes[None, len(queries) :]
+        out &= (a < 0) | (b < 0) | (a == b)
+    return out
+
+
+def procedural_search(queries: DataFrame, procedures: DataFrame, k: int = 5, as_of: Column | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """Results of the k best procedures per query whose context matches the query's; older ones count less. as_of is in seconds.
 
-    Words are read once a row, pairs are made where contexts match only, and each task keeps its best k of a query before anything is shuffled.
+    Words are read once a row, and each task keeps its best k of a query before anything is shuffled.
     """
     now = as_of if as_of is not None else F.unix_timestamp()
-    asked = queries.select("query_id", "context", F.col("embedding").alias("q_embedding"), tokenize(F.col("text")).alias("q_words"), task_context(F.col("text")).alias("q_context"))
+    fields = [F.col("task_context")[f].alias(f) for f in FIELDS]
     known = procedures.select(
-        "context", "id", "confidence", "created_at", F.col("embedding").alias("p_embedding"), tokenize(F.col("task_description")).alias("p_words"), F.col("task_context").alias("p_context"),
-        F.concat(F.lit("steps: "), F.array_join("steps", " -> ")).alias("content"), F.col("task_description").alias("summary"), F.coalesce("source_path", F.lit("procedural")).alias("source"),
+        "context", "id", "embedding", F.col("task_description").alias("words_in"), *fields, F.col("confidence").cast("double").alias("confidence"), F.exp(-((now - F.col("created_at")) / 86400.0) / DECAY_DAYS).alias("decay"),
+        F.concat(F.lit("steps: "), F.array_join("steps", " -> ")).alias("content"), F.col("task_description").alias("summary"), F.coalesce("source_path", F.lit("procedural")).alias("source"), F.lit(0).alias("chunk_idx"),
     )
-    asked = staged(asked)
-    blocks, parts = 1 + asked.count() // block, []
-    days = (now - F.col("created_at")) / 86400.0
-    dense = clamp((cosine(F.col("q_embedding"), F.col("p_embedding")) + 1) / 2)
-    score = dense * F.col("confidence").cast("double") * F.exp(-days / DECAY_DAYS) + PROCEDURE_LEXICAL * lexical_overlap(F.col("q_words"), F.col("p_words"))
-    for n in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
-        near = matching(own, known)
-        parts.append(ranked(near.select("query_id", "content", "summary", "source", F.round(score, DIGITS).alias("score"), F.lit("procedural").alias("kind"), F.lit(0).alias("chunk_idx"), "id"), k))
-    together = parts[0]
-    for p in parts[1:]:
-        together = together.unionByName(p)
-    return together.select(*RESULT, "chunk_idx", "id")
+    asked_for = queries.select("query_id", "context", "text", "embedding", task_context(F.col("text")).alias("c")).select("query_id", "context", "text", "embedding", *(F.col("c")[f].alias(f) for f in FIELDS))
+
+    def score(asked: QueryBlock, context: str, own: pd.DataFrame, dense: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        points = np.clip((dense + 1) / 2, 0, 1) * own["confidence"].to_numpy()[None, :] * own["decay"].to_numpy()[None, :] + PROCEDURE_LEXICAL * shared
+        points = np.where(np.isnan(points), UNKNOWN, np.round(points, DIGITS))
+        return np.where(agreeing(asked.contexts[context][5], own), points, np.nan)
+
+    best = ranked(scored(asked_for, known, ["id", "content", "summary", "source", "chunk_idx"], score, k, block), k)
+    return best.withColumns({"kind": F.lit("procedural"), "score": F.when(F.col("score") != UNKNOWN, F.col("score"))}).select(*RESULT, "chunk_idx", "id")
 
 
 def search(queries: DataFrame, chunks: DataFrame, notes: DataFrame | None, procedures: DataFrame, kind: str = "all", k: int = 5, alpha: float = 0.7, as_of: Column | None = None) -> DataFrame:
