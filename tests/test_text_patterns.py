@@ -1,0 +1,38 @@
+"""Patterns that are read in one pass find what the plain ones find; text is dealt to all cores before heavy work."""
+
+import re
+
+from pyspark.sql import functions as F
+
+from memspark.functions import text as T
+from memspark.functions.staging import dealt
+
+TEXTS = [
+    "", "Foo uses  Bar. foo-bar READS x_1 reads y2 runs z9", "éAbc Abcé struct Foo fn\tbar enumX class _y Über ABC_d", "a uses b cd uses ef\nuses gh uses ij", "a-b:c handles d-e, ſtores Kelvin wraps Kel",
+    "module mod x interface\nIface trait  T impl", "x calls1 yy calls zz", "aa uses uses uses bb",
+]
+
+
+def test_names_and_triples_equal_the_plain_patterns(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "i int, t string")
+    t = F.col("t")
+    titles = F.regexp_extract_all(t, F.lit(f"{T.BEFORE}[A-Z][A-Za-z0-9_]{{2,}}{T.AFTER}"), 0)
+    symbols = F.regexp_extract_all(t, F.lit(rf"{T.BEFORE}(?:{'|'.join(T.SYMBOL_WORDS)})\s+([A-Za-z_][A-Za-z0-9_]*)"), 1)
+    part = lambda k: F.regexp_extract_all(t, F.lit(rf"(?i){T.BEFORE}({T.NAME})\s+({'|'.join(T.VERBS)})\s+({T.NAME})"), k)
+    none = F.array().cast("array<string>")
+    rows = df.select(T.entities(t).alias("e"), F.array_sort(F.array_union(titles, symbols)).alias("e0"), T.triples(F.array(t), none).alias("r"), *(part(k).alias(f"r{k}") for k in (1, 2, 3)), T.tokenize(t).alias("w"), "t")
+    for r in rows.collect():
+        assert r.e == r.e0
+        assert [tuple(x) for x in r.r] == [(a, b.lower(), c) for a, b, c in zip(r.r1, r.r2, r.r3, strict=True)]
+        assert r.w == [w.lower() for w in re.split("[^A-Za-z0-9_]+", r.t) if len(w) > 1]
+
+
+def test_patterns_are_read_in_one_pass(spark):
+    rows = spark.range(1).select(F.array(F.col("id").cast("string")).alias("a")).select(T.triples(F.col("a"), F.col("a")).alias("t"))
+    passes = rows._jdf.queryExecution().analyzed().toString().count("handles")
+    assert passes == 2  # in the test of their number and in the value; three each before
+
+
+def test_small_tables_are_dealt_to_all_cores(spark):
+    rows = dealt(spark.range(1000).coalesce(1).join(spark.range(1000), "id"))
+    assert rows.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism and rows.count() == 1000
